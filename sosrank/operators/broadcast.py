@@ -1,0 +1,36 @@
+"""Size-checked broadcast.
+
+A side is only hinted for broadcast after a bounded check proves it is small;
+beyond the bound the DataFrame is returned unhinted and Catalyst / AQE choose
+a shuffle join (AQE may still convert it at run time from measured sizes).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_BROADCAST_ROWS = 250_000
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> int:
+    """Exact row count if it is <= ``max_rows``, else ``max_rows + 1``.
+
+    The scan stops being useful after ``max_rows + 1`` rows, so the check costs
+    O(max_rows) regardless of how large ``df`` is.
+    """
+    return df.limit(max_rows + 1).count()
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """``F.broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``."""
+    if row_count_at_most(df, max_rows) <= max_rows:
+        return F.broadcast(df)
+    return df
+
+
+def require_small(df: DataFrame, max_rows: int, what: str) -> DataFrame:
+    """Raise when ``df`` exceeds ``max_rows``; used where the output is quadratic in it."""
+    if row_count_at_most(df, max_rows) > max_rows:
+        raise ValueError(f"{what} has more than {max_rows} rows; refusing to build a quadratic grid")
+    return F.broadcast(df)
