@@ -12,14 +12,21 @@ from pyspark.sql import functions as F
 
 DEFAULT_MAX_BROADCAST_ROWS = 250_000
 
+# (application id, semantic hash of the plan, bound) -> bounded row count. The
+# check runs once per distinct plan per application, however many queries reuse it.
+_CHECKED: dict[tuple[str, int, int], int] = {}
+
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> int:
     """Exact row count if it is <= ``max_rows``, else ``max_rows + 1``.
 
-    The scan stops being useful after ``max_rows + 1`` rows, so the check costs
-    O(max_rows) regardless of how large ``df`` is.
+    Every task stops after ``max_rows + 1`` rows (``LocalLimit``), so the check
+    is bounded however large ``df`` is. Results are memoised per plan.
     """
-    return df.limit(max_rows + 1).count()
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
+    if key not in _CHECKED:
+        _CHECKED[key] = df.limit(max_rows + 1).count()
+    return _CHECKED[key]
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:

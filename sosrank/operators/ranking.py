@@ -27,29 +27,58 @@ def _order(col: str, descending: bool) -> Column:
     return F.col(col).desc_nulls_last() if descending else F.col(col).asc_nulls_first()
 
 
+def histogram_ranks(df: DataFrame, order_col: str, specs: Sequence[dict]) -> DataFrame:
+    """Several RANK / PERCENT_RANK columns over the same score from one histogram.
+
+    Each spec is ``{"partition_by": [...], "descending": bool, "rank_col": str|None,
+    "percent_col": str|None}``. One aggregate ``(all partition keys, score) -> count``
+    feeds every spec (re-aggregated to the spec's keys when they are coarser), the
+    per-spec windows run over distinct values only, and the combined lookup is
+    joined back to ``df`` once.
+    """
+    all_keys: list[str] = []
+    for sp in specs:
+        for k in sp.get("partition_by", ()):
+            if k not in all_keys:
+                all_keys.append(k)
+    base = df.groupBy(*all_keys, order_col).agg(F.count(F.lit(1)).alias("_hcnt"))
+    lookup = base.select(*all_keys, order_col)
+    for sp in specs:
+        keys = list(sp.get("partition_by", ()))
+        h = base if keys == all_keys else base.groupBy(*keys, order_col).agg(F.sum("_hcnt").alias("_hcnt"))
+        w = Window.partitionBy(*keys).orderBy(_order(order_col, sp.get("descending", True)))
+        before = F.coalesce(F.sum("_hcnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        total = F.sum("_hcnt").over(Window.partitionBy(*keys))
+        outs = []
+        if sp.get("rank_col"):
+            outs.append((before + F.lit(1)).cast("bigint").alias(sp["rank_col"]))
+        if sp.get("percent_col"):
+            outs.append(
+                F.when(total > 1, before.cast("double") / (total - F.lit(1)).cast("double"))
+                .otherwise(F.lit(0.0))
+                .alias(sp["percent_col"])
+            )
+        h = h.select(*keys, order_col, *outs)
+        lookup = _join_null_safe(lookup, h, keys + [order_col])
+    return _join_null_safe(df, lookup, all_keys + [order_col])
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` with NULL-safe equality, keeping one copy of each key."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
+                     *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, "inner").drop(*[f"_r_{k}" for k in keys])
+
+
 def histogram_rank(df: DataFrame, order_col: str, partition_by: Sequence[str] = (), descending: bool = True,
                    rank_col: str | None = "rank", percent_col: str | None = None) -> DataFrame:
     """Append SQL ``RANK`` (bigint) and/or ``PERCENT_RANK`` (double in [0, 1]) columns."""
-    keys = list(partition_by)
-    h = df.groupBy(*keys, order_col).agg(F.count(F.lit(1)).alias("_hcnt"))
-    w = Window.partitionBy(*keys).orderBy(_order(order_col, descending))
-    before = F.coalesce(F.sum("_hcnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_hcnt").over(Window.partitionBy(*keys))
-    outs = []
-    if rank_col:
-        outs.append((before + F.lit(1)).cast("bigint").alias(rank_col))
-    if percent_col:
-        outs.append(
-            F.when(total > 1, before.cast("double") / (total - F.lit(1)).cast("double"))
-            .otherwise(F.lit(0.0))
-            .alias(percent_col)
-        )
-    h = h.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col(order_col).alias("_h_v"), *outs)
-    cond = F.col(order_col).eqNullSafe(F.col("_h_v"))
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
-    out = df.join(h, cond, "inner")
-    return out.drop("_h_v", *[f"_h_{k}" for k in keys])
+    return histogram_ranks(df, order_col, [{"partition_by": list(partition_by), "descending": descending,
+                                            "rank_col": rank_col, "percent_col": percent_col}])
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sosrank.functions.metrics import adj_pct, pct, safe_div, win_flag
+from sosrank.operators.broadcast import sized_broadcast
 from sosrank.operators.enrich import NEUTRAL_MULTIPLIER, role_view, with_matrix
 
 
@@ -41,8 +42,11 @@ def schedule_totals(contests: DataFrame, competitors: DataFrame, matchups: DataF
                     default: float = NEUTRAL_MULTIPLIER) -> DataFrame:
     """Per (attacker, att_grp): total_contests, wins and mult_sum (sum of multipliers)."""
     c = contests.select("attacker", "defender", win_flag().alias("_w"))
+    # The only fact-sized join: broadcast the (name, grp) view when it is proven
+    # small, else a shuffle join (AQE splits a skewed defender partition).
+    dfn = sized_broadcast(role_view(competitors, "defender", {"grp": "def_grp"}))
     per_grp = (
-        c.join(role_view(competitors, "defender", {"grp": "def_grp"}), "defender")
+        c.join(dfn, "defender")
         .groupBy("attacker", "def_grp")
         .agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_wins"))
     )

@@ -11,64 +11,64 @@ from sosrank.plans.registry import register
 
 @register("activity_by_group", osql.activity_sql())
 def _activity(t):
-    return lb.activity_by_group(t.contests, t.competitors)
+    return lb.activity_by_group(t.outcomes, t.competitors)
 
 
 @register("raw_leaderboard", osql.raw_leaderboard_sql())
 def _raw(t):
-    return lb.raw_leaderboard(t.contests, t.competitors)
+    return lb.raw_leaderboard(t.outcomes, t.competitors)
 
 
 @register("raw_leaderboard_reversed", osql.raw_leaderboard_sql(reversed_roles=True))
 def _raw_rev(t):
-    return lb.raw_leaderboard(t.contests_reversed, t.competitors)
+    return lb.raw_leaderboard(t.outcomes_reversed, t.competitors)
 
 
 @register("matchup_leaderboard", osql.matchup_leaderboard_sql())
 def _matchup(t):
-    return lb.matchup_leaderboard(t.contests, t.competitors, t.matchups)
+    return lb.matchup_leaderboard(t.outcomes, t.competitors, t.matchups)
 
 
 @register("adjusted_win_rate", osql.adjusted_sql())
 def _adjusted(t):
-    return lb.adjusted_win_rate(t.contests, t.competitors, t.matchups)
+    return lb.adjusted_win_rate(t.outcomes, t.competitors, t.matchups)
 
 
 @register("adjusted_win_rate_min600", osql.adjusted_sql(600))
 def _adjusted600(t):
-    return lb.adjusted_win_rate(t.contests, t.competitors, t.matchups, min_contests=600)
+    return lb.adjusted_win_rate(t.outcomes, t.competitors, t.matchups, min_contests=600)
 
 
 @register("adjusted_win_rate_reversed", osql.adjusted_sql(reversed_roles=True))
 def _adjusted_rev(t):
-    return lb.adjusted_win_rate(t.contests_reversed, t.competitors, t.matchups)
+    return lb.adjusted_win_rate(t.outcomes_reversed, t.competitors, t.matchups)
 
 
 @register("adjusted_top_in_group", osql.adjusted_sql(top_in_group=3))
 def _adjusted_top(t):
-    return lb.adjusted_top_in_group(t.contests, t.competitors, t.matchups)
+    return lb.adjusted_top_in_group(t.outcomes, t.competitors, t.matchups)
 
 
 @register("adjusted_top_in_group_reversed", osql.adjusted_sql(top_in_group=3, reversed_roles=True))
 def _adjusted_top_rev(t):
-    return lb.adjusted_top_in_group(t.contests_reversed, t.competitors, t.matchups)
+    return lb.adjusted_top_in_group(t.outcomes_reversed, t.competitors, t.matchups)
 
 
 @register("overrated_index", osql.overrated_sql())
 def _overrated(t):
-    return lb.overrated_index(t.contests, t.competitors, t.matchups)
+    return lb.overrated_index(t.outcomes, t.competitors, t.matchups)
 
 
 @register("overrated_index_reversed", osql.overrated_sql(reversed_roles=True))
 def _overrated_rev(t):
-    return lb.overrated_index(t.contests_reversed, t.competitors, t.matchups)
+    return lb.overrated_index(t.outcomes_reversed, t.competitors, t.matchups)
 
 
 @register("group_dominance", osql.group_dominance_sql())
 def _dominance(t):
-    return lb.group_dominance(t.contests, t.competitors, t.matchups)
+    return lb.group_dominance(t.outcomes, t.competitors, t.matchups)
 
 
 @register("group_dominance_reversed", osql.group_dominance_sql(reversed_roles=True))
 def _dominance_rev(t):
-    return lb.group_dominance(t.contests_reversed, t.competitors, t.matchups)
+    return lb.group_dominance(t.outcomes_reversed, t.competitors, t.matchups)

@@ -15,7 +15,7 @@ from sosrank.functions.metrics import (
     verdict,
 )
 from sosrank.operators.enrich import role_view
-from sosrank.operators.ranking import both_ends, histogram_rank, top_k, top_k_with_rank
+from sosrank.operators.ranking import both_ends, histogram_ranks, top_k, top_k_with_rank
 from sosrank.operators.stats import competitor_stats, round_mean_1dp, win_counts
 
 ADJUSTED_COLUMNS = ["name", "grp", "total_contests", "raw_pct", "adj_pct", "gap", "avg_mult",
@@ -68,8 +68,10 @@ def adjusted_win_rate(contests: DataFrame, competitors: DataFrame, matchups: Dat
     """
     s = competitor_stats(contests, competitors, matchups, min_contests)
     s = s.withColumn("gap", gap("raw_pct", "adj_pct"))
-    s = histogram_rank(s, "adj_pct", ["grp"], descending=True, rank_col="rank_in_grp")
-    s = histogram_rank(s, "adj_pct", [], descending=False, rank_col=None, percent_col="_pr")
+    s = histogram_ranks(s, "adj_pct", [
+        {"partition_by": ["grp"], "descending": True, "rank_col": "rank_in_grp"},
+        {"partition_by": [], "descending": False, "percent_col": "_pr"},
+    ])
     s = s.withColumn("percentile", F.round(F.col("_pr") * F.lit(100.0), 1)).withColumn(
         "tag", analyst_tag("rank_in_grp", "raw_pct", "adj_pct", tag_labels))
     return s.select(*ADJUSTED_COLUMNS).orderBy(F.col("adj_pct").desc_nulls_last(), F.col("name"))

@@ -28,8 +28,27 @@ N_NATIONS = 25  # modulus of the matchup rule over nation keys
 MISSING_OFFSET = 23  # matrix cells with this offset are left out
 
 
+# Declared read schemas of the source tables (the columns this adapter uses).
+# Declaring them avoids a footer-reading job per table at plan-construction time.
+RAW_SCHEMAS = {
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+                "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, "
+                "l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    if name in RAW_SCHEMAS:
+        return spark.read.schema(RAW_SCHEMAS[name]).parquet(path)
+    return spark.read.parquet(path)
 
 
 def _strength(acctbal: Column) -> Column:
@@ -134,32 +153,56 @@ def relations_from_nation(nation: DataFrame) -> DataFrame:
     )
 
 
-def contests_from_tables(lineitem: DataFrame, orders: DataFrame, supplier: DataFrame,
-                         customer: DataFrame, nation: DataFrame, matchups: DataFrame) -> DataFrame:
-    """One contest per lineitem, with the denormalised columns of the fact table."""
+def _contest_rows(lineitem: DataFrame, orders: DataFrame, supplier: DataFrame, customer: DataFrame) -> DataFrame:
     li = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_shipdate")
     o = orders.select("o_orderkey", "o_custkey")
     s = supplier.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     c = customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
-    n = sized_broadcast(nation.select("n_nationkey", "n_name"), 10_000)
-    m = sized_broadcast(matchups.select("att_grp", "def_grp", F.col("multiplier").alias("_m")))
-    j = (
+    return (
         li.join(o, li.l_orderkey == o.o_orderkey)
         .join(s, li.l_suppkey == s.s_suppkey)
         .join(c, o.o_custkey == c.c_custkey)
-        .join(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("att_grp")),
-              "s_nationkey", "left")
-        .join(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("def_grp")),
-              "c_nationkey", "left")
-        .join(m, ["att_grp", "def_grp"], "left")
     )
-    return j.select(
+
+
+def _core_columns() -> list[Column]:
+    return [
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("contest_id"),
         F.col("s_name").alias("attacker"),
         F.col("c_name").alias("defender"),
         F.when(F.col("l_linestatus") == "F", F.col("s_name")).otherwise(F.col("c_name")).alias("winner"),
         _strength(F.col("s_acctbal")).alias("att_strength"),
         _strength(F.col("c_acctbal")).alias("def_strength"),
+    ]
+
+
+def contest_outcomes_from_tables(lineitem: DataFrame, orders: DataFrame, supplier: DataFrame,
+                                 customer: DataFrame) -> DataFrame:
+    """Contests without the denormalised group / multiplier columns.
+
+    The analytic queries re-derive groups and multipliers from the dimensions and
+    never read those columns; Catalyst prunes unused columns but cannot drop the
+    outer joins that would fill them, so the lean view skips them.
+    """
+    j = _contest_rows(lineitem, orders, supplier, customer)
+    return j.select(*_core_columns(), F.to_date("l_shipdate").alias("contest_date"))
+
+
+def contests_from_tables(lineitem: DataFrame, orders: DataFrame, supplier: DataFrame,
+                         customer: DataFrame, nation: DataFrame, matchups: DataFrame) -> DataFrame:
+    """One contest per lineitem, with the denormalised columns of the fact table."""
+    n = sized_broadcast(nation.select("n_nationkey", "n_name"), 10_000)
+    m = sized_broadcast(matchups.select("att_grp", "def_grp", F.col("multiplier").alias("_m")))
+    j = (
+        _contest_rows(lineitem, orders, supplier, customer)
+        .join(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("att_grp")),
+              "s_nationkey", "left")
+        .join(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("def_grp")),
+              "c_nationkey", "left")
+        .join(m, ["att_grp", "def_grp"], "left")
+    )
+    return j.select(
+        *_core_columns(),
         F.coalesce(F.col("_m"), F.lit(1.0)).alias("multiplier"),
         "att_grp",
         "def_grp",
@@ -167,6 +210,19 @@ def contests_from_tables(lineitem: DataFrame, orders: DataFrame, supplier: DataF
     ).select(*CONTEST_COLUMNS)
 
 
+def reverse_outcomes(outcomes: DataFrame) -> DataFrame:
+    """Lean contests with attacker and defender swapped (the winner is unchanged)."""
+    return outcomes.select(
+        "contest_id",
+        F.col("defender").alias("attacker"),
+        F.col("attacker").alias("defender"),
+        "winner",
+        F.col("def_strength").alias("att_strength"),
+        F.col("att_strength").alias("def_strength"),
+        "contest_date",
+    )
+
+
 def reverse_roles(contests: DataFrame, matchups: DataFrame) -> DataFrame:
     """Swap attacker and defender (the winner is unchanged) and look the multiplier up again."""
     m = sized_broadcast(matchups.select("att_grp", "def_grp", F.col("multiplier").alias("_m")))
@@ -218,6 +274,20 @@ class Tables:
                 self.raw("customer"), self.raw("nation"), self.matchups)
         return self._cache["_contests"]
 
+    @property
+    def outcomes(self) -> DataFrame:
+        """Lean contests (no denormalised group / multiplier columns) for the aggregate queries."""
+        if "_outcomes" not in self._cache:
+            self._cache["_outcomes"] = contest_outcomes_from_tables(
+                self.raw("lineitem"), self.raw("orders"), self.raw("supplier"), self.raw("customer"))
+        return self._cache["_outcomes"]
+
+    @property
+    def outcomes_reversed(self) -> DataFrame:
+        if "_outcomes_rev" not in self._cache:
+            self._cache["_outcomes_rev"] = reverse_outcomes(self.outcomes)
+        return self._cache["_outcomes_rev"]
+
     @property
     def contests_reversed(self) -> DataFrame:
         if "_contests_rev" not in self._cache:
