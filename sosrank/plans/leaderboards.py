@@ -59,6 +59,13 @@ def matchup_leaderboard(contests: DataFrame, competitors: DataFrame, matchups: D
 
 def adjusted_win_rate(contests: DataFrame, competitors: DataFrame, matchups: DataFrame,
                       min_contests: int = 30, tag_labels: dict | None = None) -> DataFrame:
+    """The headline, ordered by adjusted rate (best first); see :func:`adjusted_rows`."""
+    return adjusted_rows(contests, competitors, matchups, min_contests, tag_labels).orderBy(
+        F.col("adj_pct").desc_nulls_last(), F.col("name"))
+
+
+def adjusted_rows(contests: DataFrame, competitors: DataFrame, matchups: DataFrame,
+                  min_contests: int = 30, tag_labels: dict | None = None) -> DataFrame:
     """The headline: adjusted rate, gap, rank in group, global percentile and tag, all qualifying rows.
 
     ``rank_in_grp`` is RANK within the group by the rounded adjusted rate
@@ -74,13 +81,14 @@ def adjusted_win_rate(contests: DataFrame, competitors: DataFrame, matchups: Dat
     ])
     s = s.withColumn("percentile", F.round(F.col("_pr") * F.lit(100.0), 1)).withColumn(
         "tag", analyst_tag("rank_in_grp", "raw_pct", "adj_pct", tag_labels))
-    return s.select(*ADJUSTED_COLUMNS).orderBy(F.col("adj_pct").desc_nulls_last(), F.col("name"))
+    return s.select(*ADJUSTED_COLUMNS)
 
 
 def adjusted_top_in_group(contests: DataFrame, competitors: DataFrame, matchups: DataFrame,
                           min_contests: int = 30, k: int = 3) -> DataFrame:
     """Headline rows with rank in group <= k (the percentile is still over all rows)."""
-    return adjusted_win_rate(contests, competitors, matchups, min_contests).where(F.col("rank_in_grp") <= k)
+    return adjusted_rows(contests, competitors, matchups, min_contests).where(F.col("rank_in_grp") <= k).orderBy(
+        F.col("adj_pct").desc_nulls_last(), F.col("name"))
 
 
 def overrated_index(contests: DataFrame, competitors: DataFrame, matchups: DataFrame,

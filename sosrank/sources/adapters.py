@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sosrank.functions.labels import matchup_label
-from sosrank.operators.broadcast import sized_broadcast
+from sosrank.operators.broadcast import row_count_at_most, sized_broadcast
 from sosrank.schemas import COMPETITOR_COLUMNS, CONTEST_COLUMNS, STAT_COLUMNS
 
 # Fixed values of the derivation.
@@ -223,6 +223,52 @@ def reverse_outcomes(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def profile_payloads(competitors: DataFrame) -> DataFrame:
+    """``(id, payload)``: each competitor as a nested profile document.
+
+    Types are an ordered list (second entry only when ``grp2`` is set), stats a
+    list of ``{base_stat, stat:{name}}`` including one unknown stat name, and the
+    image sits under ``sprites.front_default`` (key absent when there is none).
+    Rows of the ``HOUSEHOLD`` segment carry a NULL payload (a failed fetch).
+    """
+    named = lambda c: F.struct(c.alias("name"))
+    types = F.filter(
+        F.array(F.struct(F.lit(1).alias("slot"), named(F.col("grp")).alias("type")),
+                F.struct(F.lit(2).alias("slot"), named(F.col("grp2")).alias("type"))),
+        lambda t: t["type"]["name"].isNotNull())
+    api_names = ["hp", "attack", "defense", "special-attack", "special-defense", "speed"]
+    stats = F.array(
+        *[F.struct(F.col(c).alias("base_stat"), named(F.lit(a)).alias("stat")) for c, a in zip(STAT_COLUMNS, api_names)],
+        F.struct(F.lit(1).alias("base_stat"), named(F.lit("accuracy")).alias("stat")),
+    )
+    sprites = F.struct(F.when(F.col("grp2").isNotNull(), F.col("image_url")).alias("front_default"))
+    doc = F.to_json(F.struct("id", "name", types.alias("types"), stats.alias("stats"), sprites.alias("sprites")))
+    return competitors.select("id", F.when(F.col("grp2") == "HOUSEHOLD", F.lit(None).cast("string"))
+                              .otherwise(doc).alias("payload"))
+
+
+def skills_payloads(lineitem: DataFrame, part: DataFrame) -> DataFrame:
+    """``(entity, payload)``: per order, a skills document built from its lines.
+
+    Each line is a skill named after its part (words joined by ``-``) with two
+    details: ``{level: line number - 1, method: machine if returned else level-up}``
+    and ``{level: quantity, method: level-up}``. Grouping is per order, so each
+    document is bounded by the lines of one order.
+    """
+    li = lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag")
+    j = li.join(part.select("p_partkey", "p_name"), li.l_partkey == part.p_partkey)
+    method = F.when(F.col("l_returnflag") == "R", F.lit("machine")).otherwise(F.lit("level-up"))
+    detail = lambda lvl, m: F.struct(lvl.cast("int").alias("level_learned_at"),
+                                     F.struct(m.alias("name")).alias("move_learn_method"))
+    move = F.struct(
+        F.struct(F.regexp_replace("p_name", " ", "-").alias("name")).alias("move"),
+        F.array(detail(F.col("l_linenumber") - 1, method),
+                detail(F.floor("l_quantity"), F.lit("level-up"))).alias("version_group_details"),
+    )
+    return j.groupBy(F.col("l_orderkey").alias("entity")).agg(
+        F.to_json(F.struct(F.collect_list(move).alias("moves"))).alias("payload"))
+
+
 def reverse_roles(contests: DataFrame, matchups: DataFrame) -> DataFrame:
     """Swap attacker and defender (the winner is unchanged) and look the multiplier up again."""
     m = sized_broadcast(matchups.select("att_grp", "def_grp", F.col("multiplier").alias("_m")))
@@ -300,6 +346,37 @@ class Tables:
             self._cache["_relations"] = relations_from_nation(self.raw("nation"))
         return self._cache["_relations"]
 
+    @property
+    def profile_payloads(self) -> DataFrame:
+        return profile_payloads(self.competitors)
+
+    @property
+    def skills_payloads(self) -> DataFrame:
+        return skills_payloads(self.raw("lineitem"), self.raw("part"))
+
     @property
     def groups(self) -> DataFrame:
         return self.raw("nation").select(F.col("n_name").alias("grp"))
+
+    def group_order(self, max_groups: int = 2_000) -> list[str]:
+        """Canonical group order (by nation key) for wide output columns.
+
+        A pivot's columns are part of the plan's schema, so the (bounded) group
+        names are needed on the driver; the list is size-checked first.
+        """
+        n = self.raw("nation").select("n_nationkey", "n_name")
+        if row_count_at_most(n, max_groups) > max_groups:
+            raise ValueError(f"more than {max_groups} groups; too many pivot columns")
+        return [r["n_name"] for r in n.orderBy("n_nationkey").collect()]
+
+    def expected_counts(self) -> DataFrame:
+        """Expected model row counts derived from the source tables."""
+        cnt = lambda name: self.raw(name).agg(F.count(F.lit(1)).alias("n"))
+        comp = cnt("supplier").select(F.col("n").alias("a")).join(cnt("customer").select(F.col("n").alias("b")))
+        nat = cnt("nation")
+        return (
+            comp.select(F.lit("competitors").alias("table"), (F.col("a") + F.col("b")).alias("expected"))
+            .unionByName(cnt("lineitem").select(F.lit("contests").alias("table"), F.col("n").alias("expected")))
+            .unionByName(nat.select(F.lit("matchups").alias("table"),
+                                    (F.col("n") * (F.col("n") - 1)).alias("expected")))
+        )
