@@ -29,11 +29,14 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> int:
     return _CHECKED[key]
 
 
+def is_broadcastable(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
+    """True when ``df`` is proven to have at most ``max_rows`` rows."""
+    return row_count_at_most(df, max_rows) <= max_rows
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """``F.broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``."""
-    if row_count_at_most(df, max_rows) <= max_rows:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if is_broadcastable(df, max_rows) else df
 
 
 def require_small(df: DataFrame, max_rows: int, what: str) -> DataFrame:

@@ -29,8 +29,9 @@ def matrix_view(matchups: DataFrame, out: str = "_mult") -> DataFrame:
 def with_matrix(df: DataFrame, matchups: DataFrame, out: str = "mult",
                 default: float = NEUTRAL_MULTIPLIER) -> DataFrame:
     """Left join on (att_grp, def_grp); a missing cell takes the neutral ``default``."""
-    return df.join(matrix_view(matchups), ["att_grp", "def_grp"], "left").withColumn(
-        out, F.coalesce(F.col("_mult"), F.lit(default))).drop("_mult")
+    keep = [c for c in df.columns if c != out]
+    return df.join(matrix_view(matchups), ["att_grp", "def_grp"], "left").select(
+        *keep, F.coalesce(F.col("_mult"), F.lit(default)).alias(out))
 
 
 def enrich_contests(contests: DataFrame, competitors: DataFrame, matchups: DataFrame,

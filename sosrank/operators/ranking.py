@@ -42,7 +42,7 @@ def histogram_ranks(df: DataFrame, order_col: str, specs: Sequence[dict]) -> Dat
             if k not in all_keys:
                 all_keys.append(k)
     base = df.groupBy(*all_keys, order_col).agg(F.count(F.lit(1)).alias("_hcnt"))
-    lookup = base.select(*all_keys, order_col)
+    lookup, lookup_keys = None, None
     for sp in specs:
         keys = list(sp.get("partition_by", ()))
         h = base if keys == all_keys else base.groupBy(*keys, order_col).agg(F.sum("_hcnt").alias("_hcnt"))
@@ -59,19 +59,26 @@ def histogram_ranks(df: DataFrame, order_col: str, specs: Sequence[dict]) -> Dat
                 .alias(sp["percent_col"])
             )
         h = h.select(*keys, order_col, *outs)
-        lookup = _join_null_safe(lookup, h, keys + [order_col])
+        if lookup is None:
+            lookup, lookup_keys = h, keys
+        elif set(keys) <= set(lookup_keys):
+            lookup = _join_null_safe(lookup, h, keys + [order_col])
+        else:
+            lookup, lookup_keys = _join_null_safe(h, lookup, lookup_keys + [order_col]), keys
+    if set(lookup_keys) != set(all_keys):
+        lookup = _join_null_safe(base.select(*all_keys, order_col), lookup, lookup_keys + [order_col])
     return _join_null_safe(df, lookup, all_keys + [order_col])
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on ``keys`` with NULL-safe equality, keeping one copy of each key."""
-    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                     *[c for c in right.columns if c not in keys])
+    others = [c for c in right.columns if c not in keys]
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *others)
     cond = None
     for k in keys:
         c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
         cond = c if cond is None else cond & c
-    return left.join(r, cond, "inner").drop(*[f"_r_{k}" for k in keys])
+    return left.join(r, cond, "inner").select(*left.columns, *others)
 
 
 def histogram_rank(df: DataFrame, order_col: str, partition_by: Sequence[str] = (), descending: bool = True,

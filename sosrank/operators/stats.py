@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sosrank.functions.metrics import adj_pct, pct, safe_div, win_flag
-from sosrank.operators.broadcast import sized_broadcast
+from sosrank.operators.broadcast import DEFAULT_MAX_BROADCAST_ROWS, is_broadcastable
 from sosrank.operators.enrich import NEUTRAL_MULTIPLIER, role_view, with_matrix
 
 
@@ -39,18 +39,37 @@ def win_counts(contests: DataFrame, min_contests: int | None = None) -> DataFram
 
 
 def schedule_totals(contests: DataFrame, competitors: DataFrame, matchups: DataFrame,
-                    default: float = NEUTRAL_MULTIPLIER) -> DataFrame:
-    """Per (attacker, att_grp): total_contests, wins and mult_sum (sum of multipliers)."""
+                    default: float = NEUTRAL_MULTIPLIER,
+                    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Per (attacker, att_grp): total_contests, wins and mult_sum (sum of multipliers).
+
+    Two plans with the same result, picked by a bounded size check of the
+    dimension's ``(name, grp)`` view:
+
+    * broadcastable dimension: both role joins and the matrix lookup run
+      map-side on the contest rows, followed by one aggregation (one shuffle of
+      partial aggregates);
+    * larger dimension: the defender join is the only fact-sized (shuffle) join;
+      contests are collapsed to ``(attacker, def_grp)`` before the attacker join
+      and the matrix lookup, which then see at most ``|groups|`` rows per attacker.
+    """
     c = contests.select("attacker", "defender", win_flag().alias("_w"))
-    # The only fact-sized join: broadcast the (name, grp) view when it is proven
-    # small, else a shuffle join (AQE splits a skewed defender partition).
-    dfn = sized_broadcast(role_view(competitors, "defender", {"grp": "def_grp"}))
+    dfn_view = role_view(competitors, "defender", {"grp": "def_grp"})
+    att_view = role_view(competitors, "attacker", {"grp": "att_grp"})
+    if is_broadcastable(dfn_view, max_broadcast_rows):
+        e = c.join(F.broadcast(dfn_view), "defender").join(F.broadcast(att_view), "attacker")
+        e = with_matrix(e, matchups, "_m", default)
+        return e.groupBy("attacker", "att_grp").agg(
+            F.count(F.lit(1)).cast("bigint").alias("total_contests"),
+            F.sum("_w").cast("bigint").alias("wins"),
+            F.sum("_m").alias("mult_sum"),
+        )
     per_grp = (
-        c.join(dfn, "defender")
+        c.join(dfn_view, "defender")
         .groupBy("attacker", "def_grp")
         .agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_wins"))
     )
-    per_grp = per_grp.join(role_view(competitors, "attacker", {"grp": "att_grp"}), "attacker")
+    per_grp = per_grp.join(att_view, "attacker")
     per_grp = with_matrix(per_grp, matchups, "_m", default)
     return per_grp.groupBy("attacker", "att_grp").agg(
         F.sum("_n").cast("bigint").alias("total_contests"),
@@ -60,13 +79,14 @@ def schedule_totals(contests: DataFrame, competitors: DataFrame, matchups: DataF
 
 
 def competitor_stats(contests: DataFrame, competitors: DataFrame, matchups: DataFrame,
-                     min_contests: int = 30, default: float = NEUTRAL_MULTIPLIER) -> DataFrame:
+                     min_contests: int = 30, default: float = NEUTRAL_MULTIPLIER,
+                     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Per competitor with at least ``min_contests`` contests as attacker.
 
     Columns: name, grp, total_contests, wins, raw_pct, adj_pct (by the unrounded
     mean multiplier), avg_mult (rounded to 3 dp), mean_mult (unrounded).
     """
-    t = schedule_totals(contests, competitors, matchups, default).where(
+    t = schedule_totals(contests, competitors, matchups, default, max_broadcast_rows).where(
         F.col("total_contests") >= F.lit(min_contests))
     mean = safe_div("mult_sum", "total_contests")
     return t.select(

@@ -74,14 +74,14 @@ def adjusted_rows(contests: DataFrame, competitors: DataFrame, matchups: DataFra
     more than the distinct values of the score.
     """
     s = competitor_stats(contests, competitors, matchups, min_contests)
-    s = s.withColumn("gap", gap("raw_pct", "adj_pct"))
     s = histogram_ranks(s, "adj_pct", [
         {"partition_by": ["grp"], "descending": True, "rank_col": "rank_in_grp"},
         {"partition_by": [], "descending": False, "percent_col": "_pr"},
     ])
-    s = s.withColumn("percentile", F.round(F.col("_pr") * F.lit(100.0), 1)).withColumn(
-        "tag", analyst_tag("rank_in_grp", "raw_pct", "adj_pct", tag_labels))
-    return s.select(*ADJUSTED_COLUMNS)
+    return s.select(
+        "name", "grp", "total_contests", "raw_pct", "adj_pct", gap("raw_pct", "adj_pct").alias("gap"), "avg_mult",
+        "rank_in_grp", F.round(F.col("_pr") * F.lit(100.0), 1).alias("percentile"),
+        analyst_tag("rank_in_grp", "raw_pct", "adj_pct", tag_labels).alias("tag"))
 
 
 def adjusted_top_in_group(contests: DataFrame, competitors: DataFrame, matchups: DataFrame,
