@@ -86,8 +86,13 @@ def competitor_stats(contests: DataFrame, competitors: DataFrame, matchups: Data
     Columns: name, grp, total_contests, wins, raw_pct, adj_pct (by the unrounded
     mean multiplier), avg_mult (rounded to 3 dp), mean_mult (unrounded).
     """
-    t = schedule_totals(contests, competitors, matchups, default, max_broadcast_rows).where(
-        F.col("total_contests") >= F.lit(min_contests))
+    return stats_from_totals(schedule_totals(contests, competitors, matchups, default, max_broadcast_rows),
+                             min_contests)
+
+
+def stats_from_totals(totals: DataFrame, min_contests: int = 30) -> DataFrame:
+    """Rates from per-(attacker, att_grp) totals (``schedule_totals`` or its streaming state)."""
+    t = totals.where(F.col("total_contests") >= F.lit(min_contests))
     mean = safe_div("mult_sum", "total_contests")
     return t.select(
         F.col("attacker").alias("name"),

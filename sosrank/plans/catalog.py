@@ -281,3 +281,14 @@ def _dq_constraints(t):
 @register("csv_roundtrip", osql.csv_roundtrip_sql())
 def _csv(t):
     return lk.csv_roundtrip(t.spark, t.competitors)
+
+
+# --- streaming ----------------------------------------------------------------------------------
+
+@register("adjusted_win_rate_streaming", osql.adjusted_sql())
+def _adjusted_streaming(t):
+    import uuid
+
+    from sosrank.session import scratch_path
+    from sosrank.streaming.refresh import replay_leaderboard
+    return replay_leaderboard(t.outcomes, t.competitors, t.matchups, scratch_path(t.spark, f"stream-{uuid.uuid4().hex}"))

@@ -73,7 +73,11 @@ def adjusted_rows(contests: DataFrame, competitors: DataFrame, matchups: DataFra
     x100, 1 dp. Both are computed by :func:`histogram_rank`, so no window sees
     more than the distinct values of the score.
     """
-    s = competitor_stats(contests, competitors, matchups, min_contests)
+    return rank_adjusted(competitor_stats(contests, competitors, matchups, min_contests), tag_labels)
+
+
+def rank_adjusted(s: DataFrame, tag_labels: dict | None = None) -> DataFrame:
+    """Gap, rank in group, percentile and tag over per-competitor stats."""
     s = histogram_ranks(s, "adj_pct", [
         {"partition_by": ["grp"], "descending": True, "rank_col": "rank_in_grp"},
         {"partition_by": [], "descending": False, "percent_col": "_pr"},
