@@ -41,6 +41,15 @@ def where_either(df: DataFrame, cols: list[str], value) -> DataFrame:
     return df.where(cond)
 
 
+def where_keys(df: DataFrame, keys: dict) -> DataFrame:
+    """Rows matching every ``column -> value`` pair (a composite-key lookup)."""
+    cond = None
+    for c, v in keys.items():
+        e = F.col(c) == F.lit(v)
+        cond = e if cond is None else cond & e
+    return df.where(cond)
+
+
 def where_pair(df: DataFrame, a, b, cols=("attacker", "defender")) -> DataFrame:
     """Contests between ``a`` and ``b`` in either direction."""
     x, y = F.col(cols[0]), F.col(cols[1])
@@ -131,8 +140,7 @@ def head_to_head_pairs(contests: DataFrame, pairs: DataFrame) -> DataFrame:
 # --- matrix lookups and predictions -------------------------------------------------------------
 
 def matchup_lookup(matchups: DataFrame, att_grp: str, def_grp: str) -> DataFrame:
-    return matchups.where((F.col("att_grp") == F.lit(att_grp)) & (F.col("def_grp") == F.lit(def_grp))).select(
-        "multiplier", "label")
+    return where_keys(matchups, {"att_grp": att_grp, "def_grp": def_grp}).select("multiplier", "label")
 
 
 def contest_pairs(contests: DataFrame) -> DataFrame:

@@ -129,31 +129,43 @@ def both_ends(df: DataFrame, score: str, k: int, tie_break: Sequence[Column], la
     return hi.withColumn(label_col, F.lit(top_label)).unionByName(lo.withColumn(label_col, F.lit(bottom_label)))
 
 
-def number_rows(df: DataFrame, order_col: str, out_col: str = "position", buckets: int | None = None,
-                rel_error: float = 0.001) -> DataFrame:
+def number_rows(df: DataFrame, order_col: str, out_col: str = "position", rows_per_bucket: int = 1_000_000,
+                max_buckets: int = 4096, rel_error: float = 0.001) -> DataFrame:
     """1-based ``ROW_NUMBER`` by a unique numeric key, fully distributed.
 
-    Approximate quantiles (one distributed pass, ``buckets`` numbers to the
-    driver) cut the key range into ordered buckets; bucket sizes become offsets
-    through a window over ``buckets`` rows; rows are numbered inside each bucket
-    by a window partitioned by bucket. Quantile error only affects balance,
-    never the result, because bucket membership is a monotone function of the key.
+    One count decides the bucket count (about ``rows_per_bucket`` rows each).
+    Approximate quantiles (one distributed pass; only the bucket bounds reach
+    the driver) cut the key range into ordered buckets; a binary-search
+    ``Bucketizer`` assigns them, bucket sizes become offsets through a window
+    over the buckets, and rows are numbered inside each bucket by a window
+    partitioned by bucket. Quantile error only affects balance, never the
+    result: bucket membership is a monotone function of the key.
     """
-    spark = df.sparkSession
-    nb = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    probs = [i / nb for i in range(1, nb)]
-    bounds = sorted(set(df.approxQuantile(order_col, probs, rel_error))) if probs else []
+    import math
+
+    from pyspark.ml.feature import Bucketizer
+
+    n = df.count()
+    nb = min(max_buckets, max(1, math.ceil(n / rows_per_bucket)))
     key = F.col(order_col)
-    bucket = F.lit(0)
-    for b in bounds:
-        bucket = bucket + F.when(key > F.lit(b), F.lit(1)).otherwise(F.lit(0))
-    tagged = df.withColumn("_bkt", bucket)
+    if nb == 1:
+        # at most rows_per_bucket rows: one bounded window
+        return df.withColumn(out_col, F.row_number().over(Window.orderBy(key.asc_nulls_first())).cast("bigint"))
+    bounds = sorted(set(df.approxQuantile(order_col, [i / nb for i in range(1, nb)], rel_error)))
+    splits = [-float("inf"), *bounds, float("inf")]
+    tagged = Bucketizer(splits=splits, inputCol="_bkey", outputCol="_braw", handleInvalid="keep").transform(
+        df.withColumn("_bkey", key.cast("double")))
+    # NULL keys sort first: they get their own leading bucket
+    tagged = tagged.withColumn("_bkt", F.when(key.isNull(), F.lit(-1.0)).otherwise(F.col("_braw"))).drop(
+        "_braw", "_bkey")
     sizes = tagged.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_bn"))
     offsets = sizes.select(
-        "_bkt",
+        F.col("_bkt").alias("_obkt"),
         F.coalesce(F.sum("_bn").over(Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"),
     )
     inner = F.row_number().over(Window.partitionBy("_bkt").orderBy(key.asc_nulls_first()))
-    out = tagged.join(F.broadcast(offsets), "_bkt").withColumn(out_col, (F.col("_off") + inner).cast("bigint"))
-    return out.drop("_bkt", "_off")
+    # offsets has one row per bucket: a proven bound for the broadcast
+    out = tagged.join(F.broadcast(offsets), F.col("_bkt") == F.col("_obkt")).withColumn(
+        out_col, (F.col("_off") + inner).cast("bigint"))
+    return out.drop("_bkt", "_obkt", "_off")

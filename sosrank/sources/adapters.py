@@ -26,6 +26,7 @@ from sosrank.schemas import COMPETITOR_COLUMNS, CONTEST_COLUMNS, STAT_COLUMNS
 CUSTOMER_ID_OFFSET = 1_000_000_000
 N_NATIONS = 25  # modulus of the matchup rule over nation keys
 MISSING_OFFSET = 23  # matrix cells with this offset are left out
+FAILED_FETCH_REGION = 4  # relation payloads of this region's nations are missing
 
 
 # Declared read schemas of the source tables (the columns this adapter uses).
@@ -119,13 +120,14 @@ def relations_from_nation(nation: DataFrame) -> DataFrame:
     Lists overlap on purpose so the override precedence matters: offset 1 is in
     both the double and the half list (half wins), offset 10 in both the half
     and the none list (none wins), and every none list names a group outside the
-    known list, which must be ignored. Rows for nation keys divisible by 11 carry
-    a NULL payload (a failed fetch: that row keeps the neutral default).
+    known list, which must be ignored. Nations of region 4 carry a NULL payload
+    (a failed fetch: their row keeps the neutral default).
     """
     n = nation.select("n_nationkey", "n_name")
-    cells = n.select(
+    cells = nation.select(
         F.col("n_nationkey").alias("a"),
         F.col("n_name").alias("grp"),
+        F.col("n_regionkey").alias("region"),
         F.explode(F.sequence(F.lit(0), F.lit(N_NATIONS - 1))).alias("k"),
     ).withColumn("d", (F.col("a") + F.col("k")) % N_NATIONS)
     d = sized_broadcast(n.select(F.col("n_nationkey").alias("d"), F.col("n_name").alias("target")), 10_000)
@@ -135,7 +137,7 @@ def relations_from_nation(nation: DataFrame) -> DataFrame:
     in_double = (k >= 1) & (k <= F.lit(1) + (ak % 7))
     in_half = ((k >= 10) & (k <= F.lit(9) + F.lit(2) * (ak % 6))) | (k == 1)
     in_none = (k == 24) | ((k == 10) & (ak % 6 > 0))
-    lists = cells.groupBy("a", "grp").agg(
+    lists = cells.groupBy("a", "grp", "region").agg(
         F.sort_array(F.collect_list(F.when(in_double, named))).alias("double_damage_to"),
         F.sort_array(F.collect_list(F.when(in_half, named))).alias("half_damage_to"),
         F.sort_array(F.collect_list(F.when(in_none, named))).alias("no_damage_to"),
@@ -149,7 +151,8 @@ def relations_from_nation(nation: DataFrame) -> DataFrame:
         )
     )
     return lists.select(
-        "grp", F.when(F.col("a") % 11 == 0, F.lit(None).cast("string")).otherwise(payload).alias("payload")
+        "grp", F.when(F.col("region") == FAILED_FETCH_REGION, F.lit(None).cast("string")).otherwise(payload)
+        .alias("payload")
     )
 
 

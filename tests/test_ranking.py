@@ -45,11 +45,17 @@ def test_top_k_with_rank_is_global_rank(spark):
 
 def test_number_rows_equals_row_number(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7 % 5003).alias("k"), F.lit("x").alias("p"))
-    got = {r.k: r.position for r in number_rows(df, "k", buckets=6).collect()}
+    got = {r.k: r.position for r in number_rows(df, "k", rows_per_bucket=800).collect()}
     assert sorted(got.values()) == list(range(1, 5001))
     assert all(got[k] == i + 1 for i, k in enumerate(sorted(got)))
 
 
+def test_number_rows_single_bucket(spark):
+    df = spark.range(0, 300).select((F.col("id") * 7 % 301).alias("k"))
+    got = [r.k for r in number_rows(df, "k").orderBy("position").collect()]
+    assert got == sorted(got)
+
+
 def test_top_k_per_group_plans_partial_group_limit(spark):
     df = _data(spark)
     out = top_k_per_group(df, ["grp"], [F.col("v").desc_nulls_last(), F.col("id")], 3)
