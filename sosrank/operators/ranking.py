@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sosrank.operators.broadcast import sized_broadcast
+
 
 def _order(col: str, descending: bool) -> Column:
     return F.col(col).desc_nulls_last() if descending else F.col(col).asc_nulls_first()
@@ -62,18 +64,23 @@ def histogram_ranks(df: DataFrame, order_col: str, specs: Sequence[dict]) -> Dat
         if lookup is None:
             lookup, lookup_keys = h, keys
         elif set(keys) <= set(lookup_keys):
-            lookup = _join_null_safe(lookup, h, keys + [order_col])
+            lookup = _join_null_safe(lookup, h, keys + [order_col], broadcast_right=True)
         else:
-            lookup, lookup_keys = _join_null_safe(h, lookup, lookup_keys + [order_col]), keys
+            lookup, lookup_keys = _join_null_safe(h, lookup, lookup_keys + [order_col], broadcast_right=True), keys
     if set(lookup_keys) != set(all_keys):
-        lookup = _join_null_safe(base.select(*all_keys, order_col), lookup, lookup_keys + [order_col])
-    return _join_null_safe(df, lookup, all_keys + [order_col])
+        lookup = _join_null_safe(base.select(*all_keys, order_col), lookup, lookup_keys + [order_col],
+                                 broadcast_right=True)
+    # The lookup has one row per distinct (keys, score): broadcast it when the check bounds it,
+    # otherwise a shuffle join (AQE splits a hot score value).
+    return _join_null_safe(df, lookup, all_keys + [order_col], broadcast_right=True)
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], broadcast_right: bool = False) -> DataFrame:
     """Inner join on ``keys`` with NULL-safe equality, keeping one copy of each key."""
     others = [c for c in right.columns if c not in keys]
     r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *others)
+    if broadcast_right:
+        r = sized_broadcast(r)
     cond = None
     for k in keys:
         c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))

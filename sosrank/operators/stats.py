@@ -124,3 +124,18 @@ def half_up_div(num, den) -> F.Column:
     step = F.lit(2) * den
     q = (twice - F.pmod(twice, step)).cast("double") / step.cast("double")
     return F.when(den > 0, q)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+
+    Used where a small derived table (one row per competitor) feeds several
+    branches of one plan: without it each branch would re-run the fact-sized
+    aggregation. The files go to the session's ``spark.checkpoint.dir`` (shared
+    storage on a cluster), so a lost executor re-reads them instead of
+    recomputing; ``localCheckpoint`` is never used.
+    """
+    from sosrank.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

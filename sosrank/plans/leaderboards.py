@@ -16,7 +16,7 @@ from sosrank.functions.metrics import (
 )
 from sosrank.operators.enrich import role_view
 from sosrank.operators.ranking import both_ends, histogram_ranks, top_k, top_k_with_rank
-from sosrank.operators.stats import competitor_stats, round_mean_1dp, win_counts
+from sosrank.operators.stats import competitor_stats, materialize, round_mean_1dp, win_counts
 
 ADJUSTED_COLUMNS = ["name", "grp", "total_contests", "raw_pct", "adj_pct", "gap", "avg_mult",
                     "rank_in_grp", "percentile", "tag"]
@@ -73,7 +73,8 @@ def adjusted_rows(contests: DataFrame, competitors: DataFrame, matchups: DataFra
     x100, 1 dp. Both are computed by :func:`histogram_rank`, so no window sees
     more than the distinct values of the score.
     """
-    return rank_adjusted(competitor_stats(contests, competitors, matchups, min_contests), tag_labels)
+    # the stats feed the rank histograms and the join back: compute them once
+    return rank_adjusted(materialize(competitor_stats(contests, competitors, matchups, min_contests)), tag_labels)
 
 
 def rank_adjusted(s: DataFrame, tag_labels: dict | None = None) -> DataFrame:
@@ -101,7 +102,7 @@ def overrated_index(contests: DataFrame, competitors: DataFrame, matchups: DataF
 
     The two arms may overlap when fewer than 2k competitors qualify.
     """
-    s = competitor_stats(contests, competitors, matchups, min_contests)
+    s = materialize(competitor_stats(contests, competitors, matchups, min_contests))  # read by both arms
     s = s.withColumn("gap", gap("raw_pct", "adj_pct"))
     s = s.join(role_view(competitors, "name", {"image_url": "image_url"}), "name")
     out = both_ends(s, "gap", k, [F.col("name")], "category", CATEGORY_OVERRATED, CATEGORY_UNDERRATED)
