@@ -21,6 +21,11 @@ def role_view(competitors: DataFrame, role: str, cols: dict[str, str]) -> DataFr
     return competitors.select(F.col("name").alias(role), *[F.col(src).alias(dst) for src, dst in cols.items()])
 
 
+def dim_view(competitors: DataFrame, role: str, cols: dict[str, str]) -> DataFrame:
+    """:func:`role_view`, hinted for broadcast when a bounded check proves it small."""
+    return sized_broadcast(role_view(competitors, role, cols))
+
+
 def matrix_view(matchups: DataFrame, out: str = "_mult") -> DataFrame:
     """(att_grp, def_grp, multiplier) hinted for broadcast after a bounded size check."""
     return sized_broadcast(matchups.select("att_grp", "def_grp", F.col("multiplier").alias(out)))
@@ -42,8 +47,8 @@ def enrich_contests(contests: DataFrame, competitors: DataFrame, matchups: DataF
     dropped), left join on the matrix with a neutral default.
     """
     c = contests.select("contest_id", "attacker", "defender", "winner")
-    att = role_view(competitors, "attacker", {"grp": "att_grp", "strength": "att_strength"})
-    dfn = role_view(competitors, "defender", {"grp": "def_grp", "strength": "def_strength"})
+    att = dim_view(competitors, "attacker", {"grp": "att_grp", "strength": "att_strength"})
+    dfn = dim_view(competitors, "defender", {"grp": "def_grp", "strength": "def_strength"})
     e = c.join(att, "attacker").join(dfn, "defender")
     e = with_matrix(e, matchups, default=default)
     return e.select("contest_id", "attacker", "defender", "winner", "att_grp", "def_grp",
@@ -52,4 +57,4 @@ def enrich_contests(contests: DataFrame, competitors: DataFrame, matchups: DataF
 
 def with_profile(df: DataFrame, competitors: DataFrame, key: str, cols: dict[str, str]) -> DataFrame:
     """Inner equi-join of ``df[key]`` to competitor ``name``, adding renamed attributes."""
-    return df.join(role_view(competitors, key, cols), key)
+    return df.join(dim_view(competitors, key, cols), key)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sosrank.functions.labels import matchup_text, prob_band
 from sosrank.functions.metrics import win_flag
 from sosrank.functions.probability import pair_win_prob, predicted_winner, winner_prob
-from sosrank.operators.enrich import NEUTRAL_MULTIPLIER, matrix_view, role_view
+from sosrank.operators.enrich import NEUTRAL_MULTIPLIER, dim_view, matrix_view
 from sosrank.operators.ranking import top_k, top_k_per_group
 
 HISTORY_COLUMNS = ["contest_id", "attacker", "defender", "winner", "multiplier", "att_grp", "def_grp",
@@ -157,8 +157,8 @@ def predict_pairs(pairs: DataFrame, competitors: DataFrame, matchups: DataFrame,
     ``p1 = s1*m12 / (s1*m12 + s2*m21)`` (0.5 when both terms are 0).
     """
     p = drop_self(pairs.select("p1", "p2"), "p1", "p2")
-    p = p.join(role_view(competitors, "p1", {"strength": "s1", "grp": "g1"}), "p1")
-    p = p.join(role_view(competitors, "p2", {"strength": "s2", "grp": "g2"}), "p2")
+    p = p.join(dim_view(competitors, "p1", {"strength": "s1", "grp": "g1"}), "p1")
+    p = p.join(dim_view(competitors, "p2", {"strength": "s2", "grp": "g2"}), "p2")
     m = matrix_view(matchups.select("att_grp", "def_grp", F.struct("multiplier", "label").alias("multiplier")),
                     "_cell")
     p = p.join(m.select(F.col("att_grp").alias("g1"), F.col("def_grp").alias("g2"), F.col("_cell").alias("_c12")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sosrank.operators.enrich import role_view
+from sosrank.operators.enrich import dim_view
 from sosrank.operators.pairs import drop_self
 from sosrank.schemas import STAT_COLUMNS
 
@@ -41,8 +41,8 @@ def compare_stats(pairs: DataFrame, competitors: DataFrame) -> DataFrame:
     the stat label).
     """
     p = drop_self(pairs.select("p1", "p2"), "p1", "p2")
-    p = p.join(role_view(competitors, "p1", {c: f"a_{c}" for c in STAT_COLUMNS}), "p1")
-    p = p.join(role_view(competitors, "p2", {c: f"b_{c}" for c in STAT_COLUMNS}), "p2")
+    p = p.join(dim_view(competitors, "p1", {c: f"a_{c}" for c in STAT_COLUMNS}), "p1")
+    p = p.join(dim_view(competitors, "p2", {c: f"b_{c}" for c in STAT_COLUMNS}), "p2")
     rows = F.array(*[
         F.struct(F.lit(i + 1).alias("stat_order"), F.lit(label).alias("stat"),
                  F.col(f"a_{c}").alias("v1"), F.col(f"b_{c}").alias("v2"))

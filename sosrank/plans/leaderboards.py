@@ -14,7 +14,7 @@ from sosrank.functions.metrics import (
     pct,
     verdict,
 )
-from sosrank.operators.enrich import role_view
+from sosrank.operators.enrich import dim_view
 from sosrank.operators.ranking import both_ends, histogram_ranks, top_k, top_k_with_rank
 from sosrank.operators.stats import competitor_stats, materialize, round_mean_1dp, win_counts
 
@@ -29,7 +29,7 @@ def activity_by_group(contests: DataFrame, competitors: DataFrame) -> DataFrame:
     join and the group aggregate see one row per attacker instead of one per contest.
     """
     per_att = contests.groupBy("attacker").agg(F.count(F.lit(1)).alias("_n"))
-    j = per_att.join(role_view(competitors, "attacker", {"grp": "grp", "strength": "_s"}), "attacker")
+    j = per_att.join(dim_view(competitors, "attacker", {"grp": "grp", "strength": "_s"}), "attacker")
     out = j.groupBy("grp").agg(
         F.sum("_n").cast("bigint").alias("total_contests"),
         F.count(F.lit(1)).cast("bigint").alias("distinct_attackers"),
@@ -41,7 +41,7 @@ def activity_by_group(contests: DataFrame, competitors: DataFrame) -> DataFrame:
 
 def raw_leaderboard(contests: DataFrame, competitors: DataFrame, min_contests: int = 30, k: int = 20) -> DataFrame:
     """Top-k raw win rates with the global RANK by the unrounded rate (ties share a rank)."""
-    wc = win_counts(contests, min_contests).join(role_view(competitors, "name", {"grp": "grp"}), "name")
+    wc = win_counts(contests, min_contests).join(dim_view(competitors, "name", {"grp": "grp"}), "name")
     wc = wc.withColumn("_p", pct("wins", "total_contests"))
     top = top_k_with_rank(wc, "_p", k, [F.col("name")], rank_col="overall_rank")
     return top.select("overall_rank", "name", "grp", "total_contests", "wins",
@@ -104,8 +104,10 @@ def overrated_index(contests: DataFrame, competitors: DataFrame, matchups: DataF
     """
     s = materialize(competitor_stats(contests, competitors, matchups, min_contests))  # read by both arms
     s = s.withColumn("gap", gap("raw_pct", "adj_pct"))
-    s = s.join(role_view(competitors, "name", {"image_url": "image_url"}), "name")
     out = both_ends(s, "gap", k, [F.col("name")], "category", CATEGORY_OVERRATED, CATEGORY_UNDERRATED)
+    # Every stats row came from an inner join on the same name, so attaching the image after the
+    # top-k is equivalent and joins only 2k rows to the dimension.
+    out = out.join(competitors.select("name", "image_url"), "name")
     return out.select("category", "name", "grp", "total_contests", "raw_pct", "adj_pct", "gap", "image_url")
 
 
