@@ -45,18 +45,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     store); it is read from the session and never overridden. Only when it is
     missing (local tests) is a fresh scratch folder created.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not current:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: name a shared folder (e.g. on HDFS or an object "
-                             "store) for checkpoints and intermediate tables")
-        current = tempfile.mkdtemp(prefix="sosrank-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", current)
-        except Exception:  # a static conf in some deployments; the context setting below suffices
-            pass
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(base)
+        return base
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a shared folder (e.g. on HDFS or an object "
+                         "store) for checkpoints and intermediate tables")
+    base = tempfile.mkdtemp(prefix="sosrank-ckpt-")
+    sc.setCheckpointDir(base)
+    return base
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
