@@ -29,15 +29,19 @@ def check_row_counts(tables: Mapping[str, DataFrame], expected: DataFrame) -> Da
     """Actual vs expected row counts per table with an ``ok`` flag and the overall ``all_ok``.
 
     ``expected`` has columns ``(table, expected)``; a table missing from either
-    side reports NULL and is not ok.
+    side reports NULL and is not ok. Actual and expected rows are unioned and
+    grouped by table, so no join is needed.
     """
-    actual = table_counts(tables).withColumnRenamed("n", "actual")
-    j = actual.join(expected.select("table", F.col("expected").cast("bigint").alias("expected")), "table", "full")
+    actual = table_counts(tables).select("table", F.col("n").alias("actual"),
+                                         F.lit(None).cast("bigint").alias("expected"))
+    exp = expected.select("table", F.lit(None).cast("bigint").alias("actual"),
+                          F.col("expected").cast("bigint").alias("expected"))
+    j = actual.unionByName(exp).groupBy("table").agg(F.max("actual").alias("actual"),
+                                                     F.max("expected").alias("expected"))
     ok = F.coalesce(F.col("actual") == F.col("expected"), F.lit(False))
-    j = j.withColumn("ok", ok)
     # One row per table: the overall flag is a window over a handful of rows.
-    all_ok = F.min(F.col("ok").cast("int")).over(Window.partitionBy()) == 1
-    return j.withColumn("all_ok", all_ok).select("table", "actual", "expected", "ok", "all_ok")
+    all_ok = F.min(ok.cast("int")).over(Window.partitionBy()) == 1
+    return j.select("table", "actual", "expected", ok.alias("ok"), all_ok.alias("all_ok"))
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -45,12 +49,9 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_dup")).where(F.col("_dup") > 1)
 
 
-def _rule(name: str, violations: DataFrame | Column, df: DataFrame | None = None) -> DataFrame:
-    if isinstance(violations, Column):
-        cnt = df.agg(F.count(F.when(violations, 1)).cast("bigint").alias("violations"))
-    else:
-        cnt = violations.agg(F.count(F.lit(1)).cast("bigint").alias("violations"))
-    return cnt.select(F.lit(name).alias("rule"), "violations")
+def _rule(name: str, violations: DataFrame) -> DataFrame:
+    return violations.agg(F.count(F.lit(1)).cast("bigint").alias("violations")).select(
+        F.lit(name).alias("rule"), "violations")
 
 
 def check_constraints(df: DataFrame, table: str, pk: Sequence[str] = (), unique: Sequence[Sequence[str]] = (),
@@ -58,24 +59,29 @@ def check_constraints(df: DataFrame, table: str, pk: Sequence[str] = (), unique:
                       predicates: Mapping[str, Column] | None = None) -> DataFrame:
     """One row per rule: ``(rule, violations)``.
 
-    * ``pk`` / ``unique``: number of key values occurring more than once;
+    * ``pk`` / ``unique``: number of key values occurring more than once (one
+      aggregation per key, combined map-side);
     * ``not_null``: number of NULLs per column (the PK columns are implied);
-    * ``fks``: ``(column, parent_df, parent_column)``: non-NULL values without a parent;
-    * ``predicates``: name -> boolean Column that must hold on every row (NULL counts as a violation).
+    * ``predicates``: name -> boolean Column that must hold on every row (NULL counts as a violation);
+    * ``fks``: ``(column, parent_df, parent_column)``: non-NULL values without a parent (anti join).
+
+    All row-level rules (NOT NULL and predicates) are counted in a single pass.
     """
     rules: list[DataFrame] = []
-    if pk:
-        rules.append(_rule(f"{table}.pk({','.join(pk)})", duplicate_keys(df, pk)))
-    for u in unique:
-        rules.append(_rule(f"{table}.unique({','.join(u)})", duplicate_keys(df, u)))
-    for c in list(dict.fromkeys([*pk, *not_null])):
-        rules.append(_rule(f"{table}.not_null({c})", F.col(c).isNull(), df))
+    for keys, kind in ([(pk, "pk")] if pk else []) + [(u, "unique") for u in unique]:
+        rules.append(_rule(f"{table}.{kind}({','.join(keys)})", duplicate_keys(df, keys)))
+    row_rules = [(f"{table}.not_null({c})", F.col(c).isNull()) for c in dict.fromkeys([*pk, *not_null])]
+    row_rules += [(f"{table}.{name}", ~F.coalesce(cond, F.lit(False))) for name, cond in (predicates or {}).items()]
+    if row_rules:
+        counts = df.agg(*[F.count(F.when(cond, 1)).cast("bigint").alias(f"_r{i}")
+                          for i, (_, cond) in enumerate(row_rules)])
+        rules.append(counts.select(F.inline(F.array(*[
+            F.struct(F.lit(name).alias("rule"), F.col(f"_r{i}").alias("violations"))
+            for i, (name, _) in enumerate(row_rules)]))))
     for col, parent, pcol in fks:
         orphans = df.select(col).where(F.col(col).isNotNull()).join(
             parent.select(F.col(pcol).alias(col)).distinct(), col, "left_anti")
         rules.append(_rule(f"{table}.fk({col})", orphans))
-    for name, cond in (predicates or {}).items():
-        rules.append(_rule(f"{table}.{name}", ~F.coalesce(cond, F.lit(False)), df))
     out = rules[0]
     for r in rules[1:]:
         out = out.unionByName(r)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sosrank.functions.labels import pad_id, thousands, title_case
 from sosrank.functions.metrics import pct, win_flag
 from sosrank.functions.probability import expected_win_prob
+from sosrank.operators.broadcast import sized_broadcast
 from sosrank.operators.enrich import enrich_contests
 from sosrank.operators.ranking import number_rows
 from sosrank.operators.quality import check_constraints
@@ -23,7 +24,7 @@ def competitor_report(competitors: DataFrame, contests: DataFrame, matchups: Dat
                       min_contests: int = 30) -> DataFrame:
     """Every competitor's profile with its adjusted-rate row, or ``has_stats = false`` when it
     has fewer than ``min_contests`` contests (profile LEFT JOIN headline rows)."""
-    adj = adjusted_rows(contests, competitors, matchups, min_contests).drop("grp")
+    adj = sized_broadcast(adjusted_rows(contests, competitors, matchups, min_contests).drop("grp"))
     prof = competitors.select("id", "name", "grp", "grp2", "strength")
     r = prof.join(adj, "name", "left")
     return r.select(

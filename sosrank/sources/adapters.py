@@ -373,13 +373,11 @@ class Tables:
         return [r["n_name"] for r in n.orderBy("n_nationkey").collect()]
 
     def expected_counts(self) -> DataFrame:
-        """Expected model row counts derived from the source tables."""
-        cnt = lambda name: self.raw(name).agg(F.count(F.lit(1)).alias("n"))
-        comp = cnt("supplier").select(F.col("n").alias("a")).join(cnt("customer").select(F.col("n").alias("b")))
-        nat = cnt("nation")
-        return (
-            comp.select(F.lit("competitors").alias("table"), (F.col("a") + F.col("b")).alias("expected"))
-            .unionByName(cnt("lineitem").select(F.lit("contests").alias("table"), F.col("n").alias("expected")))
-            .unionByName(nat.select(F.lit("matchups").alias("table"),
-                                    (F.col("n") * (F.col("n") - 1)).alias("expected")))
-        )
+        """Expected model row counts derived from the source tables (a union and a group-by, no joins)."""
+        tag = lambda name, table: self.raw(name).select(F.lit(table).alias("table"))
+        rows = tag("supplier", "competitors").unionByName(tag("customer", "competitors")).unionByName(
+            tag("lineitem", "contests"))
+        counts = rows.groupBy("table").agg(F.count(F.lit(1)).alias("expected"))
+        n = self.raw("nation").agg(F.count(F.lit(1)).alias("n"))
+        cells = n.select(F.lit("matchups").alias("table"), (F.col("n") * (F.col("n") - 1)).alias("expected"))
+        return counts.unionByName(cells)
