@@ -29,7 +29,8 @@ def _order(col: str, descending: bool) -> Column:
     return F.col(col).desc_nulls_last() if descending else F.col(col).asc_nulls_first()
 
 
-def histogram_ranks(df: DataFrame, order_col: str, specs: Sequence[dict]) -> DataFrame:
+def histogram_ranks(df: DataFrame, order_col: str, specs: Sequence[dict],
+                    broadcast_lookup: bool | None = None) -> DataFrame:
     """Several RANK / PERCENT_RANK columns over the same score from one histogram.
 
     Each spec is ``{"partition_by": [...], "descending": bool, "rank_col": str|None,
@@ -37,7 +38,11 @@ def histogram_ranks(df: DataFrame, order_col: str, specs: Sequence[dict]) -> Dat
     feeds every spec (re-aggregated to the spec's keys when they are coarser), the
     per-spec windows run over distinct values only, and the combined lookup is
     joined back to ``df`` once.
+
+    ``broadcast_lookup``: True when the caller has proven ``df`` small (every
+    lookup has at most as many rows as ``df``); None checks each lookup's size.
     """
+    bc = broadcast_lookup
     all_keys: list[str] = []
     for sp in specs:
         for k in sp.get("partition_by", ()):
@@ -64,23 +69,29 @@ def histogram_ranks(df: DataFrame, order_col: str, specs: Sequence[dict]) -> Dat
         if lookup is None:
             lookup, lookup_keys = h, keys
         elif set(keys) <= set(lookup_keys):
-            lookup = _join_null_safe(lookup, h, keys + [order_col], broadcast_right=True)
+            lookup = _join_null_safe(lookup, h, keys + [order_col], bc)
         else:
-            lookup, lookup_keys = _join_null_safe(h, lookup, lookup_keys + [order_col], broadcast_right=True), keys
+            lookup, lookup_keys = _join_null_safe(h, lookup, lookup_keys + [order_col], bc), keys
     if set(lookup_keys) != set(all_keys):
-        lookup = _join_null_safe(base.select(*all_keys, order_col), lookup, lookup_keys + [order_col],
-                                 broadcast_right=True)
-    # The lookup has one row per distinct (keys, score): broadcast it when the check bounds it,
+        lookup = _join_null_safe(base.select(*all_keys, order_col), lookup, lookup_keys + [order_col], bc)
+    # The lookup has one row per distinct (keys, score): broadcast it when it is proven small,
     # otherwise a shuffle join (AQE splits a hot score value).
-    return _join_null_safe(df, lookup, all_keys + [order_col], broadcast_right=True)
+    return _join_null_safe(df, lookup, all_keys + [order_col], bc)
+
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
+                    broadcast_right: bool | None = False) -> DataFrame:
+    """Inner join on ``keys`` with NULL-safe equality, keeping one copy of each key.
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], broadcast_right: bool = False) -> DataFrame:
-    """Inner join on ``keys`` with NULL-safe equality, keeping one copy of each key."""
+    ``broadcast_right``: True hints the right side (already proven small), None
+    hints it after a bounded size check, False leaves the choice to Catalyst / AQE.
+    """
     others = [c for c in right.columns if c not in keys]
     r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *others)
-    if broadcast_right:
+    if broadcast_right is None:
         r = sized_broadcast(r)
+    elif broadcast_right:
+        r = F.broadcast(r)
     cond = None
     for k in keys:
         c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))

@@ -14,6 +14,7 @@ from sosrank.functions.metrics import (
     pct,
     verdict,
 )
+from sosrank.operators.broadcast import is_broadcastable
 from sosrank.operators.enrich import dim_view
 from sosrank.operators.ranking import both_ends, histogram_ranks, top_k, top_k_with_rank
 from sosrank.operators.stats import competitor_stats, materialize, round_mean_1dp, win_counts
@@ -74,15 +75,21 @@ def adjusted_rows(contests: DataFrame, competitors: DataFrame, matchups: DataFra
     more than the distinct values of the score.
     """
     # the stats feed the rank histograms and the join back: compute them once
-    return rank_adjusted(materialize(competitor_stats(contests, competitors, matchups, min_contests)), tag_labels)
+    s = materialize(competitor_stats(contests, competitors, matchups, min_contests))
+    # one bounded check on the (materialised) stats also bounds every rank lookup derived from them;
+    # if the stats are larger, each lookup (one row per distinct score) is checked on its own
+    return rank_adjusted(s, tag_labels, True if is_broadcastable(s) else None)
 
 
-def rank_adjusted(s: DataFrame, tag_labels: dict | None = None) -> DataFrame:
-    """Gap, rank in group, percentile and tag over per-competitor stats."""
+def rank_adjusted(s: DataFrame, tag_labels: dict | None = None, small: bool | None = None) -> DataFrame:
+    """Gap, rank in group, percentile and tag over per-competitor stats.
+
+    ``small``: True when ``s`` is proven small (lookups are broadcast), None to check each lookup.
+    """
     s = histogram_ranks(s, "adj_pct", [
         {"partition_by": ["grp"], "descending": True, "rank_col": "rank_in_grp"},
         {"partition_by": [], "descending": False, "percent_col": "_pr"},
-    ])
+    ], broadcast_lookup=small)
     return s.select(
         "name", "grp", "total_contests", "raw_pct", "adj_pct", gap("raw_pct", "adj_pct").alias("gap"), "avg_mult",
         "rank_in_grp", F.round(F.col("_pr") * F.lit(100.0), 1).alias("percentile"),
