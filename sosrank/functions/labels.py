@@ -64,19 +64,25 @@ def skill_display_name(s) -> Column:
     return F.initcap(F.regexp_replace(_c(s), "-", " "))
 
 
+def _fmt(pattern: str, v) -> Column:
+    # format_string renders NULL as text; keep NULL as NULL
+    col = _c(v)
+    return F.when(col.isNotNull(), F.format_string(pattern, col))
+
+
 def pct_text(v) -> Column:
-    """``12.3%`` with one decimal."""
-    return F.format_string("%.1f%%", _c(v))
+    """``12.3%`` with one decimal (NULL stays NULL)."""
+    return _fmt("%.1f%%", v)
 
 
 def signed_text(v) -> Column:
-    """``+2.0`` / ``-1.5`` with one decimal and an explicit sign."""
-    return F.format_string("%+.1f", _c(v))
+    """``+2.0`` / ``-1.5`` with one decimal and an explicit sign (NULL stays NULL)."""
+    return _fmt("%+.1f", v)
 
 
 def pad_id(v) -> Column:
-    """``#007``: id zero-padded to three digits."""
-    return F.format_string("#%03d", _c(v))
+    """``#007``: id zero-padded to three digits (NULL stays NULL)."""
+    return _fmt("#%03d", v)
 
 
 def thousands(v) -> Column:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sosrank.functions.labels import pad_id, thousands, title_case
+from sosrank.functions.labels import pad_id, pct_text, signed_text, thousands, title_case
 from sosrank.functions.metrics import pct, win_flag
 from sosrank.functions.probability import expected_win_prob
 from sosrank.operators.broadcast import sized_broadcast
@@ -33,6 +33,10 @@ def competitor_report(competitors: DataFrame, contests: DataFrame, matchups: Dat
         pad_id("id").alias("id_text"),
         "total_contests", "raw_pct", "adj_pct", "gap",
         (-F.col("gap")).alias("delta"),
+        pct_text("raw_pct").alias("raw_text"),
+        pct_text("adj_pct").alias("adj_text"),
+        F.when(F.col("gap") != 0, F.concat(signed_text(-F.col("gap")), F.lit("pp")))
+        .when(F.col("gap") == 0, F.lit("0")).alias("delta_text"),
         "rank_in_grp", "percentile", "tag",
         F.col("total_contests").isNotNull().alias("has_stats"),
     )
