@@ -17,13 +17,20 @@ DEFAULT_MAX_BROADCAST_ROWS = 250_000
 _CHECKED: dict[tuple[str, int, int], int] = {}
 
 
+def _app_id(df: DataFrame) -> str:
+    try:
+        return df.sparkSession.sparkContext.applicationId
+    except Exception:  # no SparkContext on the client (Spark Connect)
+        return df.sparkSession.conf.get("spark.app.id", "app")
+
+
 def row_count_at_most(df: DataFrame, max_rows: int) -> int:
     """Exact row count if it is <= ``max_rows``, else ``max_rows + 1``.
 
     Every task stops after ``max_rows + 1`` rows (``LocalLimit``), so the check
     is bounded however large ``df`` is. Results are memoised per plan.
     """
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
+    key = (_app_id(df), df.semanticHash(), max_rows)
     if key not in _CHECKED:
         _CHECKED[key] = df.limit(max_rows + 1).count()
     return _CHECKED[key]

@@ -45,8 +45,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     store); it is read from the session and never overridden. Only when it is
     missing (local tests) is a fresh scratch folder created.
     """
-    sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: checkpoints use the server's spark.checkpoint.dir
+        if not base:
+            raise ValueError("spark.checkpoint.dir is not set on the server")
+        return base
     if base:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(base)
