@@ -13,6 +13,8 @@ import time
 
 import duckdb
 
+STRICT = os.environ.get("SOSRANK_STRICT", "0") == "1"  # exact float equality
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -32,7 +34,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 9)
+        return v if STRICT else round(v, 9)
     if isinstance(v, _dt.datetime):
         return v.replace(tzinfo=None)
     if hasattr(v, "item"):
@@ -50,6 +52,17 @@ def _rows(cols, rows):
     return [cols[i] for i in order], sorted(out, key=repr)
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+                 "boolean": "BOOLEAN"}
+
+
+def type_diff(sdf, con, sql: str) -> dict:
+    """Columns whose Spark and DuckDB types differ."""
+    st = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    dt = {r[0]: r[1] for r in con.execute("DESCRIBE " + sql).fetchall()}
+    return {k: (st.get(k), dt.get(k)) for k in set(st) | set(dt) if st.get(k) != dt.get(k)}
+
+
 def compare(spark, con, sf_dir: str, name: str, fn, sql: str | None):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
@@ -66,8 +79,11 @@ def compare(spark, con, sf_dir: str, name: str, fn, sql: str | None):
     res["oracle_rows"] = len(orows)
     sc, sr = _rows(scols, srows)
     oc, orr = _rows(ocols, orows)
+    tdiff = type_diff(sdf, con, sql)
     if sc != oc:
         res["status"] = f"columns differ: spark={sc} oracle={oc}"
+    elif tdiff:
+        res["status"] = f"types differ: {tdiff}"
     elif len(sr) != len(orr):
         res["status"] = "row count differs"
     elif sr != orr:
