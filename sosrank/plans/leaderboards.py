@@ -33,7 +33,8 @@ def activity_by_group(contests: DataFrame, competitors: DataFrame) -> DataFrame:
     j = per_att.join(dim_view(competitors, "attacker", {"grp": "grp", "strength": "_s"}), "attacker")
     out = j.groupBy("grp").agg(
         F.sum("_n").cast("bigint").alias("total_contests"),
-        F.count(F.lit(1)).cast("bigint").alias("distinct_attackers"),
+        # exact even if a name appears twice in the dimension; input is one row per attacker match
+        F.count_distinct("attacker").cast("bigint").alias("distinct_attackers"),
         F.round(F.try_divide(F.sum(F.col("_s") * F.col("_n")).cast("double"), F.sum("_n").cast("double")),
                 1).alias("avg_strength"),
     )
