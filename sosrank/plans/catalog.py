@@ -161,7 +161,7 @@ def _h2h_all(t):
 
 @register("matchup_lookup", osql.matchup_lookup_sql(GROUP_A, GROUP_B))
 def _lookup(t):
-    return pairs.matchup_lookup(t.matchups, GROUP_A, GROUP_B)
+    return pairs.matchup_lookup(t.observed_matchups, GROUP_A, GROUP_B)
 
 
 @register("predict_pairs", osql.predict_pairs_sql())
@@ -203,33 +203,33 @@ def _display(t):
 
 @register("matrix_long", osql.matrix_long_sql())
 def _matrix_long(t):
-    return matrix.matrix_long(t.matchups)
+    return matrix.matrix_long(t.observed_matchups)
 
 
 @register("label_distribution", osql.label_distribution_sql())
 def _labels(t):
-    return matrix.label_distribution(t.matchups)
+    return matrix.label_distribution(t.observed_matchups)
 
 
 @register("matchup_text", osql.matchup_text_sql())
 def _matchup_text(t):
-    m = t.matchups
+    m = t.observed_matchups
     return m.select("att_grp", "def_grp", "multiplier", fn.matchup_text("multiplier").alias("text"))
 
 
 @register("build_matchups", osql.build_matchups_sql())
 def _build(t):
-    return matrix.build_matchups(t.groups, t.relations)
+    return matrix.build_matchups(t.groups, t.observed_relations)
 
 
 @register("matrix_wide", osql.matrix_wide_sql())
 def _wide(t):
-    return matrix.matrix_wide(t.matchups, t.group_order())
+    return matrix.matrix_wide(t.observed_matchups, t.group_order())
 
 
 @register("matrix_wide_hidden", osql.matrix_wide_sql(hide_neutral=True))
 def _wide_hidden(t):
-    return matrix.matrix_wide(t.matchups, t.group_order(), hide_neutral=True)
+    return matrix.matrix_wide(t.observed_matchups, t.group_order(), hide_neutral=True)
 
 
 @register("stats_long", osql.stats_long_sql())

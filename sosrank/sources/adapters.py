@@ -8,7 +8,10 @@ library's data model (the same derivation is written in SQL in
 * contests    = one per lineitem: the supplier attacks the ordering customer
   and wins iff ``l_linestatus = 'F'``;
 * matchups    = nation-by-nation multipliers from a fixed rule, with the
-  ``k = 23`` diagonal left out so the neutral default is exercised.
+  ``k = 23`` diagonal left out so the neutral default is exercised;
+* observed relations = per-group relation payloads derived from the attacker
+  win share of every group pair over all contests (input of the matrix
+  construction and display queries, so their work grows with the data).
 """
 
 from __future__ import annotations
@@ -114,48 +117,6 @@ def matchups_from_nation(nation: DataFrame) -> DataFrame:
     )
 
 
-def relations_from_nation(nation: DataFrame) -> DataFrame:
-    """Per-group relation payloads (JSON text) that rebuild a full matrix.
-
-    Lists overlap on purpose so the override precedence matters: offset 1 is in
-    both the double and the half list (half wins), offset 10 in both the half
-    and the none list (none wins), and every none list names a group outside the
-    known list, which must be ignored. Nations of region 4 carry a NULL payload
-    (a failed fetch: their row keeps the neutral default).
-    """
-    n = nation.select("n_nationkey", "n_name")
-    cells = nation.select(
-        F.col("n_nationkey").alias("a"),
-        F.col("n_name").alias("grp"),
-        F.col("n_regionkey").alias("region"),
-        F.explode(F.sequence(F.lit(0), F.lit(N_NATIONS - 1))).alias("k"),
-    ).withColumn("d", (F.col("a") + F.col("k")) % N_NATIONS)
-    d = sized_broadcast(n.select(F.col("n_nationkey").alias("d"), F.col("n_name").alias("target")), 10_000)
-    cells = cells.join(d, "d")
-    k, ak = F.col("k"), F.col("a")
-    named = F.struct(F.col("target").alias("name"))
-    in_double = (k >= 1) & (k <= F.lit(1) + (ak % 7))
-    in_half = ((k >= 10) & (k <= F.lit(9) + F.lit(2) * (ak % 6))) | (k == 1)
-    in_none = (k == 24) | ((k == 10) & (ak % 6 > 0))
-    lists = cells.groupBy("a", "grp", "region").agg(
-        F.sort_array(F.collect_list(F.when(in_double, named))).alias("double_damage_to"),
-        F.sort_array(F.collect_list(F.when(in_half, named))).alias("half_damage_to"),
-        F.sort_array(F.collect_list(F.when(in_none, named))).alias("no_damage_to"),
-    )
-    outsider = F.array(F.struct(F.lit("UNKNOWN_GROUP").alias("name")))
-    payload = F.to_json(
-        F.struct(
-            "double_damage_to",
-            "half_damage_to",
-            F.concat(F.col("no_damage_to"), outsider).alias("no_damage_to"),
-        )
-    )
-    return lists.select(
-        "grp", F.when(F.col("region") == FAILED_FETCH_REGION, F.lit(None).cast("string")).otherwise(payload)
-        .alias("payload")
-    )
-
-
 def _contest_rows(lineitem: DataFrame, orders: DataFrame, supplier: DataFrame, customer: DataFrame) -> DataFrame:
     li = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_shipdate")
     o = orders.select("o_orderkey", "o_custkey")
@@ -191,6 +152,43 @@ def contest_outcomes_from_tables(lineitem: DataFrame, orders: DataFrame, supplie
     return j.select(*_core_columns(), F.to_date("l_shipdate").alias("contest_date"))
 
 
+# Fixed values of the observed-relations rule: attacker win share per group pair.
+SHARE_NONE_BELOW = 0.48   # share < 0.48         -> no_damage_to
+SHARE_HALF_BELOW = 0.505  # share < 0.505        -> half_damage_to
+SHARE_DOUBLE_ABOVE = 0.5  # share > 0.5          -> double_damage_to (overlaps the half list)
+
+
+def relations_from_contests(contests: DataFrame, nation: DataFrame) -> DataFrame:
+    """Per attacker group, relation payloads (JSON text) observed in the contests.
+
+    The attacker win share of every (att_grp, def_grp) pair over *all* contests
+    (a partial aggregate, G^2 output rows) places the defender group in
+    overlapping lists, so the override precedence decides: share > 0.5 double,
+    share < 0.505 half, share < 0.48 none. Every none list also names a group
+    outside the known list. Attacker groups of region 4 carry a NULL payload (a
+    failed fetch); groups that never attacked have no payload row.
+    """
+    pairs = contests.groupBy("att_grp", "def_grp").agg(
+        F.try_divide(F.sum(F.when(F.col("winner") == F.col("attacker"), 1).otherwise(0)) * F.lit(1.0),
+                     F.count(F.lit(1))).alias("share"))
+    share, named = F.col("share"), F.struct(F.col("def_grp").alias("name"))
+    lists = pairs.groupBy("att_grp").agg(
+        F.sort_array(F.collect_list(F.when(share > SHARE_DOUBLE_ABOVE, named))).alias("double_damage_to"),
+        F.sort_array(F.collect_list(F.when(share < SHARE_HALF_BELOW, named))).alias("half_damage_to"),
+        F.sort_array(F.collect_list(F.when(share < SHARE_NONE_BELOW, named))).alias("no_damage_to"),
+    )
+    region = sized_broadcast(nation.select(F.col("n_name").alias("att_grp"), F.col("n_regionkey").alias("region")),
+                             10_000)
+    lists = lists.join(region, "att_grp", "left")
+    outsider = F.array(F.struct(F.lit("UNKNOWN_GROUP").alias("name")))
+    payload = F.to_json(F.struct(
+        "double_damage_to", "half_damage_to", F.concat(F.col("no_damage_to"), outsider).alias("no_damage_to")))
+    return lists.select(
+        F.col("att_grp").alias("grp"),
+        F.when(F.col("region") == FAILED_FETCH_REGION, F.lit(None).cast("string")).otherwise(payload)
+        .alias("payload"))
+
+
 def contests_from_tables(lineitem: DataFrame, orders: DataFrame, supplier: DataFrame,
                          customer: DataFrame, nation: DataFrame, matchups: DataFrame) -> DataFrame:
     """One contest per lineitem, with the denormalised columns of the fact table."""
@@ -344,18 +342,17 @@ class Tables:
         return self._cache["_contests_rev"]
 
     @property
-    def relations(self) -> DataFrame:
-        if "_relations" not in self._cache:
-            self._cache["_relations"] = relations_from_nation(self.raw("nation"))
-        return self._cache["_relations"]
-
-    @property
-    def profile_payloads(self) -> DataFrame:
-        return profile_payloads(self.competitors)
+    def observed_relations(self) -> DataFrame:
+        """Relation payloads observed over all contests (see :func:`relations_from_contests`)."""
+        return relations_from_contests(self.contests, self.raw("nation"))
 
     @property
-    def skills_payloads(self) -> DataFrame:
-        return skills_payloads(self.raw("lineitem"), self.raw("part"))
+    def observed_matchups(self) -> DataFrame:
+        """The matrix rebuilt from the observed relations; its work grows with the contests."""
+        if "_observed" not in self._cache:
+            from sosrank.operators.matrix import build_matchups
+            self._cache["_observed"] = build_matchups(self.groups, self.observed_relations)
+        return self._cache["_observed"]
 
     @property
     def groups(self) -> DataFrame:
