@@ -278,6 +278,11 @@ def _dq_constraints(t):
     return lk.model_constraints(t.competitors, t.contests, t.matchups)
 
 
+@register("contests_csv_roundtrip", osql.contests_csv_roundtrip_sql())
+def _contests_csv(t):
+    return lk.contests_csv_roundtrip(t.spark, t.contests)
+
+
 @register("csv_roundtrip", osql.csv_roundtrip_sql())
 def _csv(t):
     return lk.csv_roundtrip(t.spark, t.competitors)

@@ -112,3 +112,18 @@ def csv_roundtrip(spark: SparkSession, competitors: DataFrame) -> DataFrame:
     path = scratch_path(spark, f"csv-{uuid.uuid4().hex}")
     write_csv(competitors, path, COMPETITOR_COLUMNS)
     return read_table(spark, path, COMPETITORS, "csv")
+
+
+CONTESTS_TEXT_DATE = ("contest_id STRING, attacker STRING, defender STRING, winner STRING, att_strength INT, "
+                      "def_strength INT, multiplier DOUBLE, att_grp STRING, def_grp STRING, contest_date STRING")
+
+
+def contests_csv_roundtrip(spark: SparkSession, contests: DataFrame) -> DataFrame:
+    """Write the fact table as CSV with text dates (``YYYY-MM-DD``) and read it back, parsing the dates."""
+    from sosrank.schemas import CONTEST_COLUMNS
+
+    path = scratch_path(spark, f"csv-{uuid.uuid4().hex}")
+    text = contests.withColumn("contest_date", F.date_format("contest_date", "yyyy-MM-dd"))
+    write_csv(text, path, CONTEST_COLUMNS)
+    back = read_table(spark, path, CONTESTS_TEXT_DATE, "csv")
+    return back.withColumn("contest_date", F.to_date("contest_date", "yyyy-MM-dd"))
