@@ -341,6 +341,14 @@ class Tables:
             self._cache["_contests_rev"] = reverse_roles(self.contests, self.matchups)
         return self._cache["_contests_rev"]
 
+    @property
+    def profile_payloads(self) -> DataFrame:
+        return profile_payloads(self.competitors)
+
+    @property
+    def skills_payloads(self) -> DataFrame:
+        return skills_payloads(self.raw("lineitem"), self.raw("part"))
+
     @property
     def observed_relations(self) -> DataFrame:
         """Relation payloads observed over all contests (see :func:`relations_from_contests`)."""
