@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from sosrank.functions.labels import matchup_text, prob_band
 from sosrank.functions.metrics import win_flag
 from sosrank.functions.probability import pair_win_prob, predicted_winner, winner_prob
-from sosrank.operators.enrich import NEUTRAL_MULTIPLIER, dim_view, matrix_view
+from sosrank.operators.broadcast import sized_broadcast
+from sosrank.operators.enrich import NEUTRAL_MULTIPLIER, dim_view
 from sosrank.operators.ranking import top_k, top_k_per_group
 
 HISTORY_COLUMNS = ["contest_id", "attacker", "defender", "winner", "multiplier", "att_grp", "def_grp",
@@ -159,12 +160,12 @@ def predict_pairs(pairs: DataFrame, competitors: DataFrame, matchups: DataFrame,
     p = drop_self(pairs.select("p1", "p2"), "p1", "p2")
     p = p.join(dim_view(competitors, "p1", {"strength": "s1", "grp": "g1"}), "p1")
     p = p.join(dim_view(competitors, "p2", {"strength": "s2", "grp": "g2"}), "p2")
-    m = matrix_view(matchups.select("att_grp", "def_grp", F.struct("multiplier", "label").alias("multiplier")),
-                    "_cell")
-    p = p.join(m.select(F.col("att_grp").alias("g1"), F.col("def_grp").alias("g2"), F.col("_cell").alias("_c12")),
-               ["g1", "g2"], "left")
-    p = p.join(m.select(F.col("att_grp").alias("g2"), F.col("def_grp").alias("g1"), F.col("_cell").alias("_c21")),
-               ["g1", "g2"], "left")
+    m = sized_broadcast(matchups.select("att_grp", "def_grp", "multiplier", "label"))
+    fwd = m.select(F.col("att_grp").alias("g1"), F.col("def_grp").alias("g2"),
+                   F.struct("multiplier", "label").alias("_c12"))
+    rev = m.select(F.col("att_grp").alias("g2"), F.col("def_grp").alias("g1"),
+                   F.struct("multiplier", "label").alias("_c21"))
+    p = p.join(fwd, ["g1", "g2"], "left").join(rev, ["g1", "g2"], "left")
     m12 = F.coalesce(F.col("_c12.multiplier"), F.lit(default))
     m21 = F.coalesce(F.col("_c21.multiplier"), F.lit(default))
     p = p.select("p1", "p2", "s1", "s2", m12.alias("m12"), m21.alias("m21"),

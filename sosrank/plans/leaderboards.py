@@ -72,8 +72,8 @@ def adjusted_rows(contests: DataFrame, competitors: DataFrame, matchups: DataFra
 
     ``rank_in_grp`` is RANK within the group by the rounded adjusted rate
     (descending); ``percentile`` is PERCENT_RANK by the same value ascending,
-    x100, 1 dp. Both are computed by :func:`histogram_rank`, so no window sees
-    more than the distinct values of the score.
+    x100, 1 dp. Both come from :func:`histogram_ranks`, so no window sees more
+    than the distinct values of the score.
     """
     # the stats feed the rank histograms and the join back: compute them once
     s = materialize(competitor_stats(contests, competitors, matchups, min_contests))
