@@ -30,7 +30,7 @@ def _order(col: str, descending: bool) -> Column:
 
 
 def histogram_ranks(df: DataFrame, order_col: str, specs: Sequence[dict],
-                    broadcast_lookup: bool | None = None) -> DataFrame:
+                    broadcast_lookup: bool | None = None, bounded: bool = False) -> DataFrame:
     """Several RANK / PERCENT_RANK columns over the same score from one histogram.
 
     Each spec is ``{"partition_by": [...], "descending": bool, "rank_col": str|None,
@@ -41,7 +41,12 @@ def histogram_ranks(df: DataFrame, order_col: str, specs: Sequence[dict],
 
     ``broadcast_lookup``: True when the caller has proven ``df`` small (every
     lookup has at most as many rows as ``df``); None checks each lookup's size.
+    ``bounded``: the caller has proven ``df`` small, so the histogram (never
+    larger than ``df``) is ranked in one partition with RANGE frames, saving the
+    per-spec exchanges.
     """
+    if bounded:
+        return _bounded_histogram_ranks(df, order_col, specs)
     bc = broadcast_lookup
     all_keys: list[str] = []
     for sp in specs:
@@ -79,6 +84,38 @@ def histogram_ranks(df: DataFrame, order_col: str, specs: Sequence[dict],
     return _join_null_safe(df, lookup, all_keys + [order_col], bc)
 
 
+def _bounded_histogram_ranks(df: DataFrame, order_col: str, specs: Sequence[dict]) -> DataFrame:
+    """All specs over one histogram in a single (proven small) partition.
+
+    "Rows strictly before" is the running count over a RANGE frame (all peers
+    included) minus the peers' own count, so coarser specs need no re-aggregation.
+    """
+    all_keys: list[str] = []
+    for sp in specs:
+        for k in sp.get("partition_by", ()):
+            if k not in all_keys:
+                all_keys.append(k)
+    base = df.groupBy(*all_keys, order_col).agg(F.count(F.lit(1)).alias("_hcnt")).coalesce(1)
+    outs = []
+    for sp in specs:
+        keys = list(sp.get("partition_by", ()))
+        w = Window.partitionBy(*keys).orderBy(_order(order_col, sp.get("descending", True)))
+        upto = F.sum("_hcnt").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        peers = F.sum("_hcnt").over(Window.partitionBy(*keys, order_col))
+        before = upto - peers
+        total = F.sum("_hcnt").over(Window.partitionBy(*keys))
+        if sp.get("rank_col"):
+            outs.append((before + F.lit(1)).cast("bigint").alias(sp["rank_col"]))
+        if sp.get("percent_col"):
+            outs.append(
+                F.when(total > 1, before.cast("double") / (total - F.lit(1)).cast("double"))
+                .otherwise(F.lit(0.0))
+                .alias(sp["percent_col"])
+            )
+    lookup = base.select(*all_keys, order_col, *outs)
+    return _join_null_safe(df, lookup, all_keys + [order_col], True)
+
+
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
                     broadcast_right: bool | None = False) -> DataFrame:
     """Inner join on ``keys`` with NULL-safe equality, keeping one copy of each key.

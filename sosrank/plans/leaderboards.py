@@ -77,20 +77,21 @@ def adjusted_rows(contests: DataFrame, competitors: DataFrame, matchups: DataFra
     """
     # the stats feed the rank histograms and the join back: compute them once
     s = materialize(competitor_stats(contests, competitors, matchups, min_contests))
-    # one bounded check on the (materialised) stats also bounds every rank lookup derived from them;
-    # if the stats are larger, each lookup (one row per distinct score) is checked on its own
+    # one bounded check on the (materialised) stats also bounds the rank histogram and lookups;
+    # if the stats are larger, ranking is fully distributed and each lookup is checked on its own
     return rank_adjusted(s, tag_labels, True if is_broadcastable(s) else None)
 
 
 def rank_adjusted(s: DataFrame, tag_labels: dict | None = None, small: bool | None = None) -> DataFrame:
     """Gap, rank in group, percentile and tag over per-competitor stats.
 
-    ``small``: True when ``s`` is proven small (lookups are broadcast), None to check each lookup.
+    ``small``: True when ``s`` is proven small (bounded single-partition ranking, broadcast lookup),
+    None for the distributed ranking with per-lookup size checks.
     """
     s = histogram_ranks(s, "adj_pct", [
         {"partition_by": ["grp"], "descending": True, "rank_col": "rank_in_grp"},
         {"partition_by": [], "descending": False, "percent_col": "_pr"},
-    ], broadcast_lookup=small)
+    ], broadcast_lookup=small, bounded=bool(small))
     return s.select(
         "name", "grp", "total_contests", "raw_pct", "adj_pct", gap("raw_pct", "adj_pct").alias("gap"), "avg_mult",
         "rank_in_grp", F.round(F.col("_pr") * F.lit(100.0), 1).alias("percentile"),

@@ -17,12 +17,16 @@ def _data(spark, n=600, seed=7):
     return spark.createDataFrame(rows, "id long, grp string, v double")
 
 
-def test_histogram_ranks_match_windows(spark):
+import pytest
+
+
+@pytest.mark.parametrize("bounded", [False, True])
+def test_histogram_ranks_match_windows(spark, bounded):
     df = _data(spark)
     got = histogram_ranks(df, "v", [
         {"partition_by": ["grp"], "descending": True, "rank_col": "r_grp"},
         {"partition_by": [], "descending": False, "rank_col": "r_all", "percent_col": "p_all"},
-    ])
+    ], bounded=bounded)
     want = df.select(
         "id",
         F.rank().over(Window.partitionBy("grp").orderBy(F.col("v").desc_nulls_last())).alias("w_grp"),
