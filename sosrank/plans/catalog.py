@@ -262,7 +262,8 @@ def _top_skills(t):
 @register("event_props", osql.event_props_sql())
 def _event_props(t):
     e = t.raw("events")
-    return e.select("event_id", "event_type", nested.json_scalar("props", "$.k").cast("int").alias("k"))
+    # try_cast: a malformed value gives NULL instead of an ANSI cast error
+    return e.select("event_id", "event_type", nested.json_scalar("props", "$.k").try_cast("int").alias("k"))
 
 
 # --- data quality and files ---------------------------------------------------------------------
