@@ -28,3 +28,25 @@ def test_sql_matches_functions(spark, name, min_contests):
                                     "matchups": t.matchups})(), min_contests)
     assert got.columns == fn.columns
     assert sorted(got.collect()) == sorted(fn.collect())
+
+
+def test_lookups_match_functions(spark):
+    from sosrank.operators import matrix, pairs
+    from sosrank.plans.sql_surface import run_lookup
+
+    t = Tables(spark, SF_SMALL)
+    register_model_views(t.competitors, t.matchups, t.contests)
+    a, b = "Supplier#000000001", "Customer#000000025"
+    cases = [
+        (run_lookup(spark, "profile", a), pairs.profile(t.competitors, a)),
+        (run_lookup(spark, "recent_contests", a, a), pairs.recent_contests(t.contests, a)),
+        (run_lookup(spark, "head_to_head", a, b, b, a), pairs.head_to_head(t.contests, a, b)),
+        (run_lookup(spark, "matchup_lookup", "NATION_3", "NATION_7"), pairs.matchup_lookup(t.matchups, "NATION_3", "NATION_7")),
+        (run_lookup(spark, "pair_history", a, b, b, a), pairs.pair_history(t.contests, a, b)),
+        (run_lookup(spark, "matrix_long"), matrix.matrix_long(t.matchups)),
+    ]
+    for got, want in cases:
+        assert got.columns == want.columns
+        assert sorted(got.collect()) == sorted(want.collect())
+    assert run_lookup(spark, "contest_count").first().cnt == t.contests.count()
+    assert run_lookup(spark, "profile", a).count() == 1
