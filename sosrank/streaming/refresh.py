@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sosrank.functions.metrics import win_flag
-from sosrank.operators.broadcast import sized_broadcast
+from sosrank.operators.broadcast import is_broadcastable, sized_broadcast
 from sosrank.operators.enrich import NEUTRAL_MULTIPLIER, role_view, with_matrix
 from sosrank.operators.stats import stats_from_totals
 from sosrank.plans.leaderboards import rank_adjusted
@@ -52,7 +52,10 @@ def start_leaderboard_refresh(contests: DataFrame, competitors: DataFrame, match
         # The ranking reads the totals several times: persist the micro-batch once.
         b = batch.persist()
         try:
-            rank_adjusted(stats_from_totals(b, min_contests)).write.mode("overwrite").parquet(target_path)
+            stats = stats_from_totals(b, min_contests)
+            # one bounded check on the micro-batch's stats bounds every rank lookup
+            small = True if is_broadcastable(stats) else None
+            rank_adjusted(stats, small=small).write.mode("overwrite").parquet(target_path)
         finally:
             b.unpersist()
 
