@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sosrank.plans import leaderboards as lb
-from sosrank.plans import oracle_sql as osql
 from sosrank.sources.adapters import Tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
