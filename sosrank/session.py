@@ -40,6 +40,33 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None,
     return spark
 
 
+MB = 1024 * 1024
+
+
+def cluster_conf(shuffle_bytes: int, executors: int, cores_per_executor: int,
+                 target_partition_bytes: int = 200 * MB, scan_split_bytes: int = 256 * MB) -> dict[str, str]:
+    """Session settings for a cluster run, sized from the expected shuffle volume.
+
+    Shuffle partitions are the larger of the total core count and
+    ``shuffle_bytes / target_partition_bytes``, so each reducer holds about
+    ``target_partition_bytes`` (AQE coalesces smaller ones at run time and splits
+    skewed join partitions). The checkpoint folder is not set here: it must name
+    shared storage and is read from the cluster's configuration.
+    """
+    cores = max(1, executors * cores_per_executor)
+    partitions = max(cores, -(-shuffle_bytes // target_partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(scan_split_bytes),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.ui.showConsoleProgress": "false",
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only when unset.
 

@@ -57,3 +57,12 @@ def test_adapter_counts(spark):
     assert t.contests.count() == t.raw("lineitem").count()
     labels = {r.label: r["count"] for r in t.matchups.groupBy("label").count().collect()}
     assert labels == {"immune": 25, "not_very_effective": 120, "normal": 361, "super_effective": 94}
+
+
+def test_cluster_conf_sizes_partitions():
+    from sosrank.session import MB, cluster_conf
+    c = cluster_conf(shuffle_bytes=40 * 1024 * 1024 * MB, executors=1000, cores_per_executor=4)
+    assert int(c["spark.sql.shuffle.partitions"]) == 204800  # 40 TB / 200 MB
+    small = cluster_conf(shuffle_bytes=10 * MB, executors=10, cores_per_executor=4)
+    assert int(small["spark.sql.shuffle.partitions"]) == 40  # never below the core count
+    assert small["spark.sql.adaptive.skewJoin.enabled"] == "true"
