@@ -62,7 +62,7 @@ def test_adapter_counts(spark):
 def test_cluster_conf_sizes_partitions():
     from sosrank.session import MB, cluster_conf
     c = cluster_conf(shuffle_bytes=40 * 1024 * 1024 * MB, executors=1000, cores_per_executor=4)
-    assert int(c["spark.sql.shuffle.partitions"]) == 204800  # 40 TB / 200 MB
+    assert int(c["spark.sql.shuffle.partitions"]) == 209716  # ceil(40 TiB / 200 MiB)
     small = cluster_conf(shuffle_bytes=10 * MB, executors=10, cores_per_executor=4)
     assert int(small["spark.sql.shuffle.partitions"]) == 40  # never below the core count
     assert small["spark.sql.adaptive.skewJoin.enabled"] == "true"
