@@ -4,7 +4,7 @@ Runs on ``local[$BENCH_CPUS]`` against ``$BENCH_SF_DIR`` (default
 /root/testdata/sf0.1) and prints one JSON line. Like the reference's workflow
 (load the database once, then query it), the model tables are derived and
 written once ("load_sec"), every query runs once to warm the JVM, and each
-headline query is then timed against the model (median of ``$BENCH_REPS``
+headline query is then timed against the model (median of ``$BENCH_REPS`` (default 5)
 runs). The flagship query is also timed end to end from the raw source
 tables ("from_raw").
 """
@@ -57,7 +57,7 @@ def timed(fn, reps: int, warm: bool = True) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    reps = int(os.environ.get("BENCH_REPS", "3"))
+    reps = int(os.environ.get("BENCH_REPS", "5"))
     spark = local_session(cpus, driver_memory=os.environ.get("BENCH_DRIVER_MEMORY", "16g"))
 
     t0 = time.perf_counter()
