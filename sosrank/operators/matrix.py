@@ -29,22 +29,19 @@ def relation_edges(relations: DataFrame, payload_col: str = "payload", grp_col:
     """Explode relation payloads into ``(att_grp, def_grp, multiplier, prio)`` edges.
 
     A missing list counts as empty; a NULL or unparsable payload yields no edges.
+    The three lists are tagged and concatenated per row and exploded once, so
+    the relations input is read a single time.
     """
     parsed = relations.select(F.col(grp_col).alias("att_grp"),
                               F.from_json(F.col(payload_col), RELATIONS_PAYLOAD).alias("_r"))
-    arms = []
-    for name, mult, prio in RELATION_LISTS:
-        arms.append(
-            parsed.select(
-                "att_grp",
-                F.explode(F.coalesce(F.col(f"_r.{name}"), F.array())).alias("_t"),
-            ).select("att_grp", F.col("_t.name").alias("def_grp"), F.lit(mult).alias("multiplier"),
-                     F.lit(prio).alias("prio"))
-        )
-    out = arms[0]
-    for a in arms[1:]:
-        out = out.unionByName(a)
-    return out
+    def tag(mult: float, prio: int):
+        return lambda t: F.struct(t["name"].alias("def_grp"), F.lit(mult).alias("multiplier"),
+                                  F.lit(prio).alias("prio"))
+
+    tagged = [F.transform(F.coalesce(F.col(f"_r.{name}"), F.array()), tag(mult, prio))
+              for name, mult, prio in RELATION_LISTS]
+    return parsed.select("att_grp", F.explode(F.concat(*tagged)).alias("_e")).select(
+        "att_grp", "_e.def_grp", "_e.multiplier", "_e.prio")
 
 
 def apply_overrides(edges: DataFrame) -> DataFrame:
