@@ -349,7 +349,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS,
 #: DuckDB, for the query's columns: a window's first start by (doc_id, start), and the words that later ones cover.
 ORACLE = """
 WITH t AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
   FROM documents
 ), starts AS (
   SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM t WHERE len(w) >= 20
