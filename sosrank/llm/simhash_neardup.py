@@ -97,7 +97,9 @@ def near_links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     outer, inner = _ball((max_bits + 1) // 2), _ball(max_bits // 2)
     masks = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(i < len(inner)).alias("inner"))
                       for i, m in enumerate(outer)])
-    entries = classes.select("fp", F.explode(masks).alias("e")).select(
+    # a small table of classes makes many entries: deal them out first
+    dealt = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    entries = dealt.select("fp", F.explode(masks).alias("e")).select(
         F.col("fp").bitwiseXOR(F.col("e.mask")).alias("key"), "fp", F.col("e.inner").alias("inner"))
     buckets = (entries.groupBy("key")
                .agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("a"), F.collect_list("fp").alias("members"))

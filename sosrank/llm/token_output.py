@@ -37,7 +37,8 @@ MIN_COUNT = 12
 ROUND_SHARE = 1 / 64
 #: Replacing ends when a round shortens the shard by less than this share.
 MIN_GAIN = 0.02
-_HASH_BITS = 20
+#: Size of the table that pairs are counted in: it stays in a core's cache.
+_HASH_BITS = 18
 
 
 @dataclass
@@ -63,19 +64,19 @@ class Grammar:
         return out
 
 
-def _chosen(rank: np.ndarray) -> np.ndarray:
-    """Positions whose pair is replaced: of overlapping pairs the better rank, in a run of one pair every second."""
-    n = len(rank)
-    before = np.full(n, np.iinfo(np.int64).max)
-    before[1:] = rank[:-1]
-    after = np.full(n, np.iinfo(np.int64).max)
-    after[:-1] = rank[1:]
-    fresh = rank != before
-    run = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    peak = (rank < np.iinfo(np.int64).max) & ((np.arange(n) - run) % 2 == 0) & (rank <= after)
-    # the first of a run must beat the pair before it; a run's last may lose to the one after it
-    first_ok = rank < before
-    return peak & (first_ok[run] | (np.arange(n) > run))
+def _chosen(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the pairs at places ``at`` (ascending) are replaced: of two that overlap the better rank, in a run of
+    one pair every second."""
+    n = len(at)
+    touches = np.zeros(n + 1, bool)  # whether a pair overlaps the one before it
+    touches[1:n] = at[1:] == at[:-1] + 1
+    same, better_before, better_after = (np.zeros(n, bool) for _ in range(3))
+    same[1:] = touches[1:n] & (rank[1:] == rank[:-1])
+    better_before[1:] = touches[1:n] & (rank[:-1] < rank[1:])
+    better_after[:-1] = touches[1:n] & (rank[1:] < rank[:-1])
+    place = np.arange(n)
+    run = np.maximum.accumulate(np.where(same, 0, place))
+    return ((place - run) % 2 == 0) & ~better_after & ~(better_before[run] & (place == run))
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> Grammar:
@@ -86,7 +87,6 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> Grammar:
     last[ends] = True
     rules, rounds, size = [], [], base
     mask = (1 << _HASH_BITS) - 1
-    never = np.iinfo(np.int64).max
     pair_of = np.zeros(mask + 1, np.int64)
     while len(seq) > 1:
         # one pair a bucket of a hash table is counted; the few others in it wait for a round with another hash
@@ -102,12 +102,14 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> Grammar:
             break
         good = good[np.argsort(-counts[good], kind="stable")]
         picked = pair_of[good]
-        place = np.full(mask + 1, never)
-        place[good] = np.arange(len(good))
-        rank = np.full(len(seq), never)
-        rank[:-1][counted] = place[bucket[counted]]
-        hit = np.flatnonzero(_chosen(rank))
-        seq[hit] = size + rank[hit]
+        place = np.full(mask + 1, -1, np.int32)
+        place[good] = np.arange(len(good), dtype=np.int32)
+        rank = place[bucket]
+        at = np.flatnonzero((rank >= 0) & counted)
+        rank = rank[at]
+        take = _chosen(at, rank)
+        hit = at[take]
+        seq[hit] = size + rank[take]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         last[hit] = last[hit + 1]
