@@ -50,6 +50,8 @@ FEATURES = ("hits", "hit_rate", "weight_rate", "max_weight", "strong_rate", "hit
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MIXED = re.compile(r"[^\W\d_]+[@$!*#0-9]+[^\W\d_]+")
+_INSIDE = re.compile(r"[@$!*#0-9][^\W\d_]")
+_CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
 _PLAIN = str.maketrans("013457@$!", "oieastasi", "*#")
 _SIGNS = re.compile(r"[^\w\s]")
 _SHOUTED = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
@@ -82,9 +84,9 @@ class Featurizer:
         at = [i for i, w in enumerate(weights) if w]
         you = {i for i, w in enumerate(words) if w in SECOND_PERSON}
         near = sum(any(i + j in you for j in range(-NEAR, NEAR + 1)) for i in at) if you else 0
-        mixed = _MIXED.findall(low)
+        mixed = _MIXED.findall(low) if _INSIDE.search(low) else []
         hidden = sum(bool(weight(m.translate(_PLAIN))) for m in mixed)
-        capitals = sum(map(str.isupper, text)) if not text.islower() else 0
+        capitals = sum(map(len, _CAPITALS.findall(text)))
         return [math.log1p(len(at)), len(at) / n, sum(weights) / n, max(weights, default=0.0),
                 sum(w > 5 for w in weights) / n, math.log1p(near), near / n, len(you) / n, len(mixed) / n,
                 float(hidden), capitals / chars, len(_SHOUTED.findall(text)) / n, text.count("!") / chars,
