@@ -7,8 +7,8 @@ furniture are the text. Furniture is what an element's name, role, class or id s
 article, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments. Inside an article element
 furniture scores nothing, so that it is left out without cutting the article in two.
 
-Weights are fitted on the labelled ones of at most FIT_PAGES pages with the lowest hash of their text; extraction reads
-every page whole.
+Weights are fitted on the labelled ones of about FIT_PAGES pages, chosen by a hash of their text; extraction reads every
+page whole.
 
 Results in odd cases: null or empty html, and pages without words, give an empty text; elements that are not closed
 end with the page, or where the article starts; of regions that score alike the first is taken; rows repeated with one
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sosrank.llm.common import ship
 
-#: Pages that the weights are fitted on, at most.
+#: Pages that the weights are fitted on, at most (in expectation).
 FIT_PAGES = 2_000
 #: What a word, a word in a link, a word in furniture and a tag score where nothing is learned.
 DEFAULT_WEIGHTS = {"word": 1.0, "link": -1.0, "furniture": -3.0, "tag": -1.5}
@@ -183,8 +183,9 @@ def extract(html: str | None, weights: dict[str, float]) -> str:
 def learn_weights(pages: DataFrame, html_col: str = "html", fit_pages: int = FIT_PAGES) -> dict[str, float]:
     """Weights from the labelled ones of ``fit_pages`` pages; the counts are summed by Spark, a row a class."""
     ship(pages.sparkSession)
-    sample = (pages.select(F.col(html_col).alias("html")).filter("html IS NOT NULL")
-              .withColumn("h", F.xxhash64("html")).orderBy("h").limit(fit_pages).select("html"))
+    share = max(1, (1 << 40) * fit_pages // max(1, pages.count()))
+    sample = (pages.select(F.col(html_col).alias("html"))
+              .filter(F.pmod(F.xxhash64(F.lit("fit"), "html"), F.lit(1 << 40)) < share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

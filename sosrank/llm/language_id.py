@@ -5,7 +5,7 @@ every dictionary, block by block, and the language with the smallest total wins.
 as rejected (``reliable`` false); ``lang_pred`` still names the winner, as the contract of the query asks.
 
 The dictionaries are fitted on a bounded sample: for each language the DOCS_PER_LANG labelled documents with the
-lowest hash of their id, CHARS_PER_DOC characters each. Prediction reads every character of every text.
+lowest hash of their id (of those with a letter), CHARS_PER_DOC characters each. Prediction reads every character of every text.
 
 Results in odd cases: a null text, or one without a letter, is ``und`` with score 0 and not reliable; ties go to the
 language with more labelled rows; rows repeated with one id are predicted alike; without any labelled row every text is
@@ -19,7 +19,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sosrank.llm.common import ship
@@ -74,20 +74,23 @@ class Compressors:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
         docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int = CHARS_PER_DOC) -> dict[str, bytes]:
     """Dictionaries by language, at most ``docs_per_lang * chars_per_doc`` characters each; commonest language first."""
-    order = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    scale = 1 << 40
+    order = F.pmod(F.xxhash64(F.lit("fit"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(scale))
     clean = F.trim(F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}]+", " "))
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), order.alias("h"), F.col(text_col).alias("text"))
-    # keeps at most docs_per_lang rows of a language in each task before the shuffle
-    top = Window.partitionBy("lang").orderBy("h", F.substr("text", F.lit(1), F.lit(chars_per_doc)))
-    chosen = rows.withColumn("n", F.row_number().over(top)).filter(F.col("n") <= docs_per_lang)
-    picked = chosen.select("lang", F.substr(clean, F.lit(1), F.lit(chars_per_doc)).alias("text")).collect()
+    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    counts = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
+        return {}
+    # about twice as many rows of a language as are wanted, whatever the number it has; the driver takes the first
+    below = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(scale * 2 * docs_per_lang // r.n))])
+    chosen = rows.select(F.col(lang_col).alias("lang"), order.alias("h"),
+                         F.substr(clean, F.lit(1), F.lit(chars_per_doc)).alias("text"))
     parts: dict[str, list[str]] = {}
-    for r in sorted(picked):
-        if r.text:
-            parts.setdefault(r.lang, []).append(r.text)
-    rows_of = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").collect()
-    return {r.lang: " ".join(parts[r.lang]).encode() for r in rows_of if r.lang in parts}
+    for r in sorted(chosen.filter(F.col("h") < below[F.col("lang")]).select("lang", "h", "text").collect()):
+        if r.text and len(parts.setdefault(r.lang, [])) < docs_per_lang:
+            parts[r.lang].append(r.text)
+    common = sorted(counts, key=lambda r: (-r.n, r[0]))
+    return {r[0]: " ".join(parts[r[0]]).encode() for r in common if parts.get(r[0])}
 
 
 _made: dict[int, tuple[dict[str, bytes], Compressors]] = {}

@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 #: Words, and letter runs without the signs after them, whose ids a worker process remembers.
-WORDS, CORES = 500_000, 600_000
+WORDS, CORES = 350_000, 450_000
 #: Letter runs that are encoded in one text.
 JOINED = 64
 _RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
