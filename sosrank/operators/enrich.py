@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sosrank.operators.broadcast import sized_broadcast
-
 NEUTRAL_MULTIPLIER = 1.0
 
 
@@ -22,13 +20,13 @@ def role_view(competitors: DataFrame, role: str, cols: dict[str, str]) -> DataFr
 
 
 def dim_view(competitors: DataFrame, role: str, cols: dict[str, str]) -> DataFrame:
-    """:func:`role_view`, hinted for broadcast when a bounded check proves it small."""
-    return sized_broadcast(role_view(competitors, role, cols))
+    """:func:`role_view`; whether it is broadcast is left to Spark."""
+    return role_view(competitors, role, cols)
 
 
 def matrix_view(matchups: DataFrame, out: str = "_mult") -> DataFrame:
-    """(att_grp, def_grp, multiplier) hinted for broadcast after a bounded size check."""
-    return sized_broadcast(matchups.select("att_grp", "def_grp", F.col("multiplier").alias(out)))
+    """(att_grp, def_grp, multiplier) with the multiplier renamed."""
+    return matchups.select("att_grp", "def_grp", F.col("multiplier").alias(out))
 
 
 def with_matrix(df: DataFrame, matchups: DataFrame, out: str = "mult",

@@ -16,13 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sosrank.functions.labels import matchup_label
-from sosrank.operators.broadcast import require_small
 from sosrank.operators.enrich import NEUTRAL_MULTIPLIER
 from sosrank.schemas import RELATIONS_PAYLOAD
 
 # Relation list -> (multiplier, precedence); a higher precedence wins a cell.
 RELATION_LISTS = [("double_damage_to", 2.0, 1), ("half_damage_to", 0.5, 2), ("no_damage_to", 0.0, 3)]
-MAX_GROUPS = 2_000  # the grid is groups^2 cells
 
 
 def relation_edges(relations: DataFrame, payload_col: str = "payload", grp_col: str = "grp") -> DataFrame:
@@ -52,19 +50,17 @@ def apply_overrides(edges: DataFrame) -> DataFrame:
 def grid(groups: DataFrame, grp_col: str = "grp") -> DataFrame:
     """All (att_grp, def_grp) cells over a group list.
 
-    The output is groups^2 by definition; the group list is size-checked
-    (``MAX_GROUPS``) and broadcast, so the product is a map-side nested loop over
-    a bounded side.
+    The output is groups^2 by definition, which is the one product in the library.
     """
     g = groups.select(F.col(grp_col).alias("att_grp")).distinct()
-    d = require_small(groups.select(F.col(grp_col).alias("def_grp")).distinct(), MAX_GROUPS, "group list")
+    d = groups.select(F.col(grp_col).alias("def_grp")).distinct()
     return g.crossJoin(d)
 
 
 def build_matchups(groups: DataFrame, relations: DataFrame, default: float = NEUTRAL_MULTIPLIER) -> DataFrame:
     """The full long matrix (att_grp, def_grp, multiplier, label) from relation payloads."""
     known = groups.select(F.col("grp").alias("def_grp")).distinct()
-    edges = relation_edges(relations).join(require_small(known, MAX_GROUPS, "group list"), "def_grp", "left_semi")
+    edges = relation_edges(relations).join(known, "def_grp", "left_semi")
     cells = apply_overrides(edges)
     out = grid(groups).join(cells, ["att_grp", "def_grp"], "left")
     mult = F.coalesce(F.col("multiplier"), F.lit(default))
@@ -87,11 +83,12 @@ def matrix_wide(matchups: DataFrame, order: Sequence[str], hide_neutral: bool =
 
     ``order`` is the canonical column order (the groups to show); a cell absent
     from the long matrix is NULL and ``hide_neutral`` blanks the neutral cells.
-    The explicit value list spares the pivot its distinct-values job; rows are
-    the attacker groups present.
+    The explicit value list spares the pivot its distinct-values job. Rows are the
+    attacker groups present, in the order of ``order``; groups outside it are left out.
     """
     value = F.col("multiplier")
     if hide_neutral:
         value = F.when(value != F.lit(neutral), value)
     wide = matchups.withColumn("_v", value).groupBy("att_grp").pivot("def_grp", list(order)).agg(F.max("_v"))
-    return wide.select("att_grp", *order)
+    at = F.array_position(F.array(*[F.lit(g) for g in order]), F.col("att_grp"))
+    return wide.where(at > 0).orderBy(at).select("att_grp", *order)

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from sosrank.functions.labels import matchup_text, prob_band
 from sosrank.functions.metrics import win_flag
 from sosrank.functions.probability import pair_win_prob, predicted_winner, winner_prob
-from sosrank.operators.broadcast import sized_broadcast
 from sosrank.operators.enrich import NEUTRAL_MULTIPLIER, dim_view
 from sosrank.operators.ranking import top_k, top_k_per_group
 
@@ -71,9 +70,14 @@ def profile(competitors: DataFrame, name: str) -> DataFrame:
 # --- recent history -----------------------------------------------------------------------------
 
 def recent_contests(contests: DataFrame, name: str, k: int = 10) -> DataFrame:
-    """The latest k contests of one competitor in either role."""
-    return top_k(where_either(contests, ["attacker", "defender"], name).select(*HISTORY_COLUMNS),
-                 latest_first(), k)
+    """The latest k contests of one competitor in either role.
+
+    One branch a role, so that each filter reaches the table the name comes from; a branch keeps its k latest.
+    """
+    mine = [where_eq(contests, "attacker", name),
+            where_eq(contests, "defender", name).where(F.col("attacker") != F.lit(name))]
+    a, d = (top_k(c.select(*HISTORY_COLUMNS), latest_first(), k) for c in mine)
+    return top_k(a.unionByName(d), latest_first(), k)
 
 
 def recent_contests_all(contests: DataFrame, k: int = 10) -> DataFrame:
@@ -160,7 +164,7 @@ def predict_pairs(pairs: DataFrame, competitors: DataFrame, matchups: DataFrame,
     p = drop_self(pairs.select("p1", "p2"), "p1", "p2")
     p = p.join(dim_view(competitors, "p1", {"strength": "s1", "grp": "g1"}), "p1")
     p = p.join(dim_view(competitors, "p2", {"strength": "s2", "grp": "g2"}), "p2")
-    m = sized_broadcast(matchups.select("att_grp", "def_grp", "multiplier", "label"))
+    m = matchups.select("att_grp", "def_grp", "multiplier", "label")
     fwd = m.select(F.col("att_grp").alias("g1"), F.col("def_grp").alias("g2"),
                    F.struct("multiplier", "label").alias("_c12"))
     rev = m.select(F.col("att_grp").alias("g2"), F.col("def_grp").alias("g1"),

@@ -49,43 +49,64 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_dup")).where(F.col("_dup") > 1)
 
 
-def _rule(name: str, violations: DataFrame) -> DataFrame:
-    return violations.agg(F.count(F.lit(1)).cast("bigint").alias("violations")).select(
-        F.lit(name).alias("rule"), "violations")
-
-
 def check_constraints(df: DataFrame, table: str, pk: Sequence[str] = (), unique: Sequence[Sequence[str]] = (),
                       not_null: Sequence[str] = (), fks: Sequence[tuple[str, DataFrame, str]] = (),
                       predicates: Mapping[str, Column] | None = None) -> DataFrame:
     """One row per rule: ``(rule, violations)``.
 
-    * ``pk`` / ``unique``: number of key values occurring more than once (one
-      aggregation per key, combined map-side);
+    * ``pk`` / ``unique``: number of key values occurring more than once;
     * ``not_null``: number of NULLs per column (the PK columns are implied);
     * ``predicates``: name -> boolean Column that must hold on every row (NULL counts as a violation);
-    * ``fks``: ``(column, parent_df, parent_column)``: non-NULL values without a parent (anti join).
+    * ``fks``: ``(column, parent_df, parent_column)``: non-NULL values without a parent.
 
-    All row-level rules (NOT NULL and predicates) are counted in a single pass.
+    ``df`` is read once: each row gives one entry a key and foreign key, and one for the row rules. Entries are
+    counted by value, combined before the shuffle, so a hot value is one row a task; the distinct values then look
+    up their parents.
     """
-    rules: list[DataFrame] = []
-    for keys, kind in ([(pk, "pk")] if pk else []) + [(u, "unique") for u in unique]:
-        rules.append(_rule(f"{table}.{kind}({','.join(keys)})", duplicate_keys(df, keys)))
     row_rules = [(f"{table}.not_null({c})", F.col(c).isNull()) for c in dict.fromkeys([*pk, *not_null])]
     row_rules += [(f"{table}.{name}", ~F.coalesce(cond, F.lit(False))) for name, cond in (predicates or {}).items()]
-    if row_rules:
-        counts = df.agg(*[F.count(F.when(cond, 1)).cast("bigint").alias(f"_r{i}")
-                          for i, (_, cond) in enumerate(row_rules)])
-        rules.append(counts.select(F.inline(F.array(*[
-            F.struct(F.lit(name).alias("rule"), F.col(f"_r{i}").alias("violations"))
-            for i, (name, _) in enumerate(row_rules)]))))
-    for col, parent, pcol in fks:
-        orphans = df.select(col).where(F.col(col).isNotNull()).join(
-            parent.select(F.col(pcol).alias(col)).distinct(), col, "left_anti")
-        rules.append(_rule(f"{table}.fk({col})", orphans))
-    out = rules[0]
-    for r in rules[1:]:
-        out = out.unionByName(r)
-    return out
+    keyed = ([(f"{table}.pk({','.join(pk)})", pk)] if pk else []) + [(f"{table}.unique({','.join(u)})", u)
+                                                                    for u in unique]
+    text = lambda cols: F.to_json(F.array(*[F.col(c).cast("string") for c in cols]))
+    entries = [F.struct(F.lit(rule).alias("rule"), F.lit("key").alias("kind"), text(cols).alias("value"),
+                        F.lit(1).alias("n")) for rule, cols in keyed]
+    entries += [F.struct(F.lit(f"{table}.fk({c})").alias("rule"), F.lit("parent").alias("kind"),
+                         text([c]).alias("value"), F.col(c).isNotNull().cast("int").alias("n")) for c, _, _ in fks]
+    entries += [F.struct(F.lit(rule).alias("rule"), F.lit("row").alias("kind"), F.lit("").alias("value"),
+                         bad.cast("int").alias("n")) for rule, bad in row_rules]
+    counted = (df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+               .groupBy("rule", "kind", "value").agg(F.sum("n").alias("n")))
+    known = F.lit(False)
+    if fks:
+        parents = None
+        for c, parent, pcol in fks:
+            p = parent.select(F.lit(f"{table}.fk({c})").alias("rule"), text([pcol]).alias("value"))
+            parents = p if parents is None else parents.unionByName(p)
+        parents = parents.distinct().withColumn("_known", F.lit(True))
+        counted = counted.join(parents, ["rule", "value"], "left")
+        known = F.coalesce(F.col("_known"), F.lit(False))
+    bad = (F.when(F.col("kind") == "key", (F.col("n") > 1).cast("int"))
+           .when(F.col("kind") == "parent", F.when(known, 0).otherwise(F.col("n"))).otherwise(F.col("n")))
+    found = counted.groupBy("rule").agg(F.sum(bad).cast("bigint").alias("violations"))
+    # an empty table has no entries: every rule is listed all the same
+    rules = [*[r for r, _ in keyed], *[f"{table}.fk({c})" for c, _, _ in fks], *[r for r, _ in row_rules]]
+    every = df.sparkSession.sql("SELECT 1 AS one").select(F.explode(F.array(*[F.lit(r) for r in rules])).alias("rule"))
+    return every.join(found, "rule", "left").select("rule", F.coalesce("violations", F.lit(0)).cast("bigint")
+                                                    .alias("violations"))
+
+
+def seed_violations(contests: DataFrame) -> DataFrame:
+    """Contests with known faults, by the strengths of the sides: unknown sides, missing and foreign winners, contests
+    with oneself, repeated and missing ids."""
+    s = F.col("att_strength") + F.col("def_strength")
+    fault = lambda r, value, col: F.when(s % 101 == r, value).otherwise(F.col(col))
+    none = F.lit(None).cast("string")
+    changed = {"attacker": fault(1, F.lit("nobody"), "attacker"),
+               "defender": F.when(s % 101 == 2, none).when(s % 101 == 3, F.col("attacker")).otherwise(F.col("defender")),
+               "winner": F.when(s % 101 == 4, none).when(s % 101 == 5, F.lit("nobody")).otherwise(F.col("winner")),
+               "contest_id": F.when(s % 101 == 6, F.concat(F.lit("x"), s.cast("string"))).when(s % 101 == 7, none)
+               .otherwise(F.col("contest_id"))}
+    return contests.select(*[changed.get(c, F.col(c)).alias(c) for c in contests.columns])
 
 
 def require_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -22,15 +22,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sosrank.operators.broadcast import sized_broadcast
-
 
 def _order(col: str, descending: bool) -> Column:
     return F.col(col).desc_nulls_last() if descending else F.col(col).asc_nulls_first()
 
 
-def histogram_ranks(df: DataFrame, order_col: str, specs: Sequence[dict],
-                    broadcast_lookup: bool | None = None, bounded: bool = False) -> DataFrame:
+def histogram_ranks(df: DataFrame, order_col: str, specs: Sequence[dict]) -> DataFrame:
     """Several RANK / PERCENT_RANK columns over the same score from one histogram.
 
     Each spec is ``{"partition_by": [...], "descending": bool, "rank_col": str|None,
@@ -38,16 +35,7 @@ def histogram_ranks(df: DataFrame, order_col: str, specs: Sequence[dict],
     feeds every spec (re-aggregated to the spec's keys when they are coarser), the
     per-spec windows run over distinct values only, and the combined lookup is
     joined back to ``df`` once.
-
-    ``broadcast_lookup``: True when the caller has proven ``df`` small (every
-    lookup has at most as many rows as ``df``); None checks each lookup's size.
-    ``bounded``: the caller has proven ``df`` small, so the histogram (never
-    larger than ``df``) is ranked in one partition with RANGE frames, saving the
-    per-spec exchanges.
     """
-    if bounded:
-        return _bounded_histogram_ranks(df, order_col, specs)
-    bc = broadcast_lookup
     all_keys: list[str] = []
     for sp in specs:
         for k in sp.get("partition_by", ()):
@@ -74,61 +62,20 @@ def histogram_ranks(df: DataFrame, order_col: str, specs: Sequence[dict],
         if lookup is None:
             lookup, lookup_keys = h, keys
         elif set(keys) <= set(lookup_keys):
-            lookup = _join_null_safe(lookup, h, keys + [order_col], bc)
+            lookup = _join_null_safe(lookup, h, keys + [order_col])
         else:
-            lookup, lookup_keys = _join_null_safe(h, lookup, lookup_keys + [order_col], bc), keys
+            lookup, lookup_keys = _join_null_safe(h, lookup, lookup_keys + [order_col]), keys
     if set(lookup_keys) != set(all_keys):
-        lookup = _join_null_safe(base.select(*all_keys, order_col), lookup, lookup_keys + [order_col], bc)
-    # The lookup has one row per distinct (keys, score): broadcast it when it is proven small,
-    # otherwise a shuffle join (AQE splits a hot score value).
-    return _join_null_safe(df, lookup, all_keys + [order_col], bc)
+        lookup = _join_null_safe(base.select(*all_keys, order_col), lookup, lookup_keys + [order_col])
+    # The lookup has one row per distinct (keys, score); AQE broadcasts it if it is measured small, and splits a
+    # hot score value otherwise.
+    return _join_null_safe(df, lookup, all_keys + [order_col])
 
 
-def _bounded_histogram_ranks(df: DataFrame, order_col: str, specs: Sequence[dict]) -> DataFrame:
-    """All specs over one histogram in a single (proven small) partition.
-
-    "Rows strictly before" is the running count over a RANGE frame (all peers
-    included) minus the peers' own count, so coarser specs need no re-aggregation.
-    """
-    all_keys: list[str] = []
-    for sp in specs:
-        for k in sp.get("partition_by", ()):
-            if k not in all_keys:
-                all_keys.append(k)
-    base = df.groupBy(*all_keys, order_col).agg(F.count(F.lit(1)).alias("_hcnt")).coalesce(1)
-    outs = []
-    for sp in specs:
-        keys = list(sp.get("partition_by", ()))
-        w = Window.partitionBy(*keys).orderBy(_order(order_col, sp.get("descending", True)))
-        upto = F.sum("_hcnt").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        peers = F.sum("_hcnt").over(Window.partitionBy(*keys, order_col))
-        before = upto - peers
-        total = F.sum("_hcnt").over(Window.partitionBy(*keys))
-        if sp.get("rank_col"):
-            outs.append((before + F.lit(1)).cast("bigint").alias(sp["rank_col"]))
-        if sp.get("percent_col"):
-            outs.append(
-                F.when(total > 1, before.cast("double") / (total - F.lit(1)).cast("double"))
-                .otherwise(F.lit(0.0))
-                .alias(sp["percent_col"])
-            )
-    lookup = base.select(*all_keys, order_col, *outs)
-    return _join_null_safe(df, lookup, all_keys + [order_col], True)
-
-
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
-                    broadcast_right: bool | None = False) -> DataFrame:
-    """Inner join on ``keys`` with NULL-safe equality, keeping one copy of each key.
-
-    ``broadcast_right``: True hints the right side (already proven small), None
-    hints it after a bounded size check, False leaves the choice to Catalyst / AQE.
-    """
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` with NULL-safe equality, keeping one copy of each key."""
     others = [c for c in right.columns if c not in keys]
     r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *others)
-    if broadcast_right is None:
-        r = sized_broadcast(r)
-    elif broadcast_right:
-        r = F.broadcast(r)
     cond = None
     for k in keys:
         c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
@@ -184,35 +131,18 @@ def both_ends(df: DataFrame, score: str, k: int, tie_break: Sequence[Column], la
     return hi.withColumn(label_col, F.lit(top_label)).unionByName(lo.withColumn(label_col, F.lit(bottom_label)))
 
 
-def number_rows(df: DataFrame, order_col: str, out_col: str = "position", rows_per_bucket: int = 1_000_000,
-                max_buckets: int = 4096, rel_error: float = 0.001) -> DataFrame:
-    """1-based ``ROW_NUMBER`` by a unique numeric key, fully distributed.
+def number_rows(df: DataFrame, order_col: str, out_col: str = "position",
+                keys_per_bucket: int = 1_000_000) -> DataFrame:
+    """1-based ``ROW_NUMBER`` by a unique integer key, fully distributed.
 
-    One count decides the bucket count (about ``rows_per_bucket`` rows each).
-    Approximate quantiles (one distributed pass; only the bucket bounds reach
-    the driver) cut the key range into ordered buckets; a binary-search
-    ``Bucketizer`` assigns them, bucket sizes become offsets through a window
-    over the buckets, and rows are numbered inside each bucket by a window
-    partitioned by bucket. Quantile error only affects balance, never the
-    result: bucket membership is a monotone function of the key.
+    Rows are dealt to buckets of ``keys_per_bucket`` neighbouring key values, so a
+    bucket holds at most that many rows whatever the number of rows. Bucket sizes
+    become offsets through a window over the buckets, and rows are numbered inside
+    each bucket. A NULL key comes first.
     """
-    import math
-
-    from pyspark.ml.feature import Bucketizer
-
-    n = df.count()
-    nb = min(max_buckets, max(1, math.ceil(n / rows_per_bucket)))
     key = F.col(order_col)
-    if nb == 1:
-        # at most rows_per_bucket rows: one bounded window
-        return df.withColumn(out_col, F.row_number().over(Window.orderBy(key.asc_nulls_first())).cast("bigint"))
-    bounds = sorted(set(df.approxQuantile(order_col, [i / nb for i in range(1, nb)], rel_error)))
-    splits = [-float("inf"), *bounds, float("inf")]
-    tagged = Bucketizer(splits=splits, inputCol="_bkey", outputCol="_braw", handleInvalid="keep").transform(
-        df.withColumn("_bkey", key.cast("double")))
-    # NULL keys sort first: they get their own leading bucket
-    tagged = tagged.withColumn("_bkt", F.when(key.isNull(), F.lit(-1.0)).otherwise(F.col("_braw"))).drop(
-        "_braw", "_bkey")
+    bucket = F.floor(key / F.lit(keys_per_bucket)).cast("bigint")
+    tagged = df.withColumn("_bkt", F.coalesce(bucket, F.lit(-(1 << 62))))
     sizes = tagged.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_bn"))
     offsets = sizes.select(
         F.col("_bkt").alias("_obkt"),
@@ -220,7 +150,6 @@ def number_rows(df: DataFrame, order_col: str, out_col: str = "position", rows_p
                    F.lit(0)).alias("_off"),
     )
     inner = F.row_number().over(Window.partitionBy("_bkt").orderBy(key.asc_nulls_first()))
-    # offsets has one row per bucket: a proven bound for the broadcast
-    out = tagged.join(F.broadcast(offsets), F.col("_bkt") == F.col("_obkt")).withColumn(
+    out = tagged.join(offsets, F.col("_bkt") == F.col("_obkt")).withColumn(
         out_col, (F.col("_off") + inner).cast("bigint"))
     return out.drop("_bkt", "_obkt", "_off")

@@ -9,10 +9,8 @@ so contests are collapsed *before* the matrix is touched:
              --join attacker, join matrix--> groupBy(attacker, att_grp)
 
 The mean is then ``sum(mult * n) / sum(n)``, which equals ``avg(mult)`` over the
-contest rows exactly (multipliers are multiples of 0.5, so every partial sum is
-an exactly representable double). Only one fact-sized exchange remains (the
-defender join, broadcast when the dimension is small); the matrix join and the
-attacker join see the collapsed rows. Partial aggregation runs map-side, so a
+contest rows: the sum is exact in decimals. Only one fact-sized exchange remains
+(the defender join); the matrix join and the attacker join see the collapsed rows. Partial aggregation runs map-side, so a
 hot attacker or a hot group is combined before the shuffle, and AQE splits a
 skewed defender partition of the join.
 """
@@ -23,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sosrank.functions.metrics import adj_pct, pct, safe_div, win_flag
-from sosrank.operators.broadcast import DEFAULT_MAX_BROADCAST_ROWS, is_broadcastable
 from sosrank.operators.enrich import NEUTRAL_MULTIPLIER, role_view, with_matrix
 
 
@@ -39,55 +36,39 @@ def win_counts(contests: DataFrame, min_contests: int | None = None) -> DataFram
 
 
 def schedule_totals(contests: DataFrame, competitors: DataFrame, matchups: DataFrame,
-                    default: float = NEUTRAL_MULTIPLIER,
-                    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                    default: float = NEUTRAL_MULTIPLIER) -> DataFrame:
     """Per (attacker, att_grp): total_contests, wins and mult_sum (sum of multipliers).
 
-    Two plans with the same result, picked by a bounded size check of the
-    dimension's ``(name, grp)`` view:
-
-    * broadcastable dimension: both role joins and the matrix lookup run
-      map-side on the contest rows, followed by one aggregation (one shuffle of
-      partial aggregates);
-    * larger dimension: the defender join is the only fact-sized (shuffle) join;
-      contests are collapsed to ``(attacker, def_grp)`` before the attacker join
-      and the matrix lookup, which then see at most ``|groups|`` rows per attacker.
+    Contests are collapsed to counts per ``(attacker, def_grp)`` before the
+    attacker join and the matrix lookup, which then see at most ``|groups|`` rows
+    per attacker. The defender join is the only join of fact rows; whether it is
+    broadcast is left to Spark, which measures the side. Multipliers are summed
+    as decimals of nine places, so the sum does not depend on the order of rows.
     """
     c = contests.select("attacker", "defender", win_flag().alias("_w"))
-    dfn_view = role_view(competitors, "defender", {"grp": "def_grp"})
-    att_view = role_view(competitors, "attacker", {"grp": "att_grp"})
-    if is_broadcastable(dfn_view, max_broadcast_rows):
-        e = c.join(F.broadcast(dfn_view), "defender").join(F.broadcast(att_view), "attacker")
-        e = with_matrix(e, matchups, "_m", default)
-        return e.groupBy("attacker", "att_grp").agg(
-            F.count(F.lit(1)).cast("bigint").alias("total_contests"),
-            F.sum("_w").cast("bigint").alias("wins"),
-            F.sum("_m").alias("mult_sum"),
-        )
     per_grp = (
-        c.join(dfn_view, "defender")
+        c.join(role_view(competitors, "defender", {"grp": "def_grp"}), "defender")
         .groupBy("attacker", "def_grp")
         .agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_wins"))
     )
-    per_grp = per_grp.join(att_view, "attacker")
+    per_grp = per_grp.join(role_view(competitors, "attacker", {"grp": "att_grp"}), "attacker")
     per_grp = with_matrix(per_grp, matchups, "_m", default)
+    weighted = F.col("_m").cast("decimal(18,9)") * F.col("_n").cast("decimal(19,0)")
     return per_grp.groupBy("attacker", "att_grp").agg(
         F.sum("_n").cast("bigint").alias("total_contests"),
         F.sum("_wins").cast("bigint").alias("wins"),
-        F.sum(F.col("_m") * F.col("_n")).alias("mult_sum"),
+        F.sum(weighted).cast("double").alias("mult_sum"),
     )
 
 
 def competitor_stats(contests: DataFrame, competitors: DataFrame, matchups: DataFrame,
-                     min_contests: int = 30, default: float = NEUTRAL_MULTIPLIER,
-                     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                     min_contests: int = 30, default: float = NEUTRAL_MULTIPLIER) -> DataFrame:
     """Per competitor with at least ``min_contests`` contests as attacker.
 
     Columns: name, grp, total_contests, wins, raw_pct, adj_pct (by the unrounded
     mean multiplier), avg_mult (rounded to 3 dp), mean_mult (unrounded).
     """
-    return stats_from_totals(schedule_totals(contests, competitors, matchups, default, max_broadcast_rows),
-                             min_contests)
+    return stats_from_totals(schedule_totals(contests, competitors, matchups, default), min_contests)
 
 
 def stats_from_totals(totals: DataFrame, min_contests: int = 30) -> DataFrame:
@@ -125,17 +106,3 @@ def half_up_div(num, den) -> F.Column:
     q = (twice - F.pmod(twice, step)).cast("double") / step.cast("double")
     return F.when(den > 0, q)
 
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
-
-    Used where a small derived table (one row per competitor) feeds several
-    branches of one plan: without it each branch would re-run the fact-sized
-    aggregation. The files go to the session's ``spark.checkpoint.dir`` (shared
-    storage on a cluster), so a lost executor re-reads them instead of
-    recomputing; ``localCheckpoint`` is never used.
-    """
-    from sosrank.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -159,9 +159,15 @@ def _h2h_all(t):
     return pairs.head_to_head_all(t.outcomes)
 
 
+@register("head_to_head_pairs", osql.head_to_head_all_sql())
+def _h2h_pairs(t):
+    met = pairs.contest_pairs(t.outcomes)
+    return pairs.head_to_head_pairs(t.outcomes, met.select(met.p2.alias("p1"), met.p1.alias("p2")))
+
+
 @register("matchup_lookup", osql.matchup_lookup_sql(GROUP_A, GROUP_B))
 def _lookup(t):
-    return pairs.matchup_lookup(t.observed_matchups, GROUP_A, GROUP_B)
+    return pairs.matchup_lookup(t.matchups, GROUP_A, GROUP_B)
 
 
 @register("predict_pairs", osql.predict_pairs_sql())
@@ -203,17 +209,17 @@ def _display(t):
 
 @register("matrix_long", osql.matrix_long_sql())
 def _matrix_long(t):
-    return matrix.matrix_long(t.observed_matchups)
+    return matrix.matrix_long(t.matchups)
 
 
 @register("label_distribution", osql.label_distribution_sql())
 def _labels(t):
-    return matrix.label_distribution(t.observed_matchups)
+    return matrix.label_distribution(t.matchups)
 
 
 @register("matchup_text", osql.matchup_text_sql())
 def _matchup_text(t):
-    m = t.observed_matchups
+    m = t.matchups
     return m.select("att_grp", "def_grp", "multiplier", fn.matchup_text("multiplier").alias("text"))
 
 
@@ -224,12 +230,12 @@ def _build(t):
 
 @register("matrix_wide", osql.matrix_wide_sql())
 def _wide(t):
-    return matrix.matrix_wide(t.observed_matchups, t.group_order())
+    return matrix.matrix_wide(t.matchups, t.group_order())
 
 
 @register("matrix_wide_hidden", osql.matrix_wide_sql(hide_neutral=True))
 def _wide_hidden(t):
-    return matrix.matrix_wide(t.observed_matchups, t.group_order(), hide_neutral=True)
+    return matrix.matrix_wide(t.matchups, t.group_order(), hide_neutral=True)
 
 
 @register("stats_long", osql.stats_long_sql())
@@ -251,7 +257,7 @@ def _json_profile(t):
 
 @register("levelled_skills", osql.levelled_skills_sql())
 def _levelled(t):
-    return nested.levelled_skills(t.skills_payloads)
+    return nested.levelled_skills(t.skills_payloads).select("entity", "skill", "level")
 
 
 @register("top_skills", osql.top_skills_sql())
@@ -276,7 +282,7 @@ def _dq_counts(t):
 
 @register("dq_constraints", osql.dq_constraints_sql())
 def _dq_constraints(t):
-    return lk.model_constraints(t.competitors, t.contests, t.matchups)
+    return lk.model_constraints(t.competitors, quality.seed_violations(t.contests), t.matchups)
 
 
 @register("contests_csv_roundtrip", osql.contests_csv_roundtrip_sql())
@@ -288,13 +294,3 @@ def _contests_csv(t):
 def _csv(t):
     return lk.csv_roundtrip(t.spark, t.competitors)
 
-
-# --- streaming ----------------------------------------------------------------------------------
-
-@register("adjusted_win_rate_streaming", osql.adjusted_sql())
-def _adjusted_streaming(t):
-    import uuid
-
-    from sosrank.session import scratch_path
-    from sosrank.streaming.refresh import replay_leaderboard
-    return replay_leaderboard(t.outcomes, t.competitors, t.matchups, scratch_path(t.spark, f"stream-{uuid.uuid4().hex}"))

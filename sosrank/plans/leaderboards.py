@@ -14,10 +14,9 @@ from sosrank.functions.metrics import (
     pct,
     verdict,
 )
-from sosrank.operators.broadcast import is_broadcastable
 from sosrank.operators.enrich import dim_view
 from sosrank.operators.ranking import both_ends, histogram_ranks, top_k, top_k_with_rank
-from sosrank.operators.stats import competitor_stats, materialize, round_mean_1dp, win_counts
+from sosrank.operators.stats import competitor_stats, round_mean_1dp, win_counts
 
 ADJUSTED_COLUMNS = ["name", "grp", "total_contests", "raw_pct", "adj_pct", "gap", "avg_mult",
                     "rank_in_grp", "percentile", "tag"]
@@ -75,23 +74,15 @@ def adjusted_rows(contests: DataFrame, competitors: DataFrame, matchups: DataFra
     x100, 1 dp. Both come from :func:`histogram_ranks`, so no window sees more
     than the distinct values of the score.
     """
-    # the stats feed the rank histograms and the join back: compute them once
-    s = materialize(competitor_stats(contests, competitors, matchups, min_contests))
-    # one bounded check on the (materialised) stats also bounds the rank histogram and lookups;
-    # if the stats are larger, ranking is fully distributed and each lookup is checked on its own
-    return rank_adjusted(s, tag_labels, True if is_broadcastable(s) else None)
+    return rank_adjusted(competitor_stats(contests, competitors, matchups, min_contests), tag_labels)
 
 
-def rank_adjusted(s: DataFrame, tag_labels: dict | None = None, small: bool | None = None) -> DataFrame:
-    """Gap, rank in group, percentile and tag over per-competitor stats.
-
-    ``small``: True when ``s`` is proven small (bounded single-partition ranking, broadcast lookup),
-    None for the distributed ranking with per-lookup size checks.
-    """
+def rank_adjusted(s: DataFrame, tag_labels: dict | None = None) -> DataFrame:
+    """Gap, rank in group, percentile and tag over per-competitor stats."""
     s = histogram_ranks(s, "adj_pct", [
         {"partition_by": ["grp"], "descending": True, "rank_col": "rank_in_grp"},
         {"partition_by": [], "descending": False, "percent_col": "_pr"},
-    ], broadcast_lookup=small, bounded=bool(small))
+    ])
     return s.select(
         "name", "grp", "total_contests", "raw_pct", "adj_pct", gap("raw_pct", "adj_pct").alias("gap"), "avg_mult",
         "rank_in_grp", F.round(F.col("_pr") * F.lit(100.0), 1).alias("percentile"),
@@ -111,13 +102,18 @@ def overrated_index(contests: DataFrame, competitors: DataFrame, matchups: DataF
 
     The two arms may overlap when fewer than 2k competitors qualify.
     """
-    s = materialize(competitor_stats(contests, competitors, matchups, min_contests))  # read by both arms
+    s = competitor_stats(contests, competitors, matchups, min_contests)
     s = s.withColumn("gap", gap("raw_pct", "adj_pct"))
     out = both_ends(s, "gap", k, [F.col("name")], "category", CATEGORY_OVERRATED, CATEGORY_UNDERRATED)
     # Every stats row came from an inner join on the same name, so attaching the image after the
     # top-k is equivalent and joins only 2k rows to the dimension.
     out = out.join(competitors.select("name", "image_url"), "name")
-    return out.select("category", "name", "grp", "total_contests", "raw_pct", "adj_pct", "gap", "image_url")
+    over = F.col("category") == CATEGORY_OVERRATED
+    # the overrated arm by gap descending, then the underrated arm ascending; the order is set after the join
+    signed = F.when(over, -F.col("gap")).otherwise(F.col("gap"))
+    nulls_last = F.when(over, F.col("gap").isNull()).otherwise(F.col("gap").isNotNull())
+    return out.orderBy(over.desc(), nulls_last, signed, "name").select(
+        "category", "name", "grp", "total_contests", "raw_pct", "adj_pct", "gap", "image_url")
 
 
 def group_dominance(contests: DataFrame, competitors: DataFrame, matchups: DataFrame,

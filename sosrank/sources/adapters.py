@@ -11,7 +11,7 @@ library's data model (the same derivation is written in SQL in
   ``k = 23`` diagonal left out so the neutral default is exercised;
 * observed relations = per-group relation payloads derived from the attacker
   win share of every group pair over all contests (input of the matrix
-  construction and display queries, so their work grows with the data).
+  construction query, so its work grows with the data).
 """
 
 from __future__ import annotations
@@ -22,14 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sosrank.functions.labels import matchup_label
-from sosrank.operators.broadcast import row_count_at_most, sized_broadcast
 from sosrank.schemas import COMPETITOR_COLUMNS, CONTEST_COLUMNS, STAT_COLUMNS
 
 # Fixed values of the derivation.
 CUSTOMER_ID_OFFSET = 1_000_000_000
 N_NATIONS = 25  # modulus of the matchup rule over nation keys
 MISSING_OFFSET = 23  # matrix cells with this offset are left out
-FAILED_FETCH_REGION = 4  # relation payloads of this region's nations are missing
 
 
 # Declared read schemas of the source tables (the columns this adapter uses).
@@ -65,7 +63,7 @@ def _stats(id_col: Column) -> list[Column]:
 
 def competitors_from_tables(supplier: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
     """Suppliers and customers as one competitor dimension."""
-    n = sized_broadcast(nation.select("n_nationkey", "n_name"), 10_000)
+    n = nation.select("n_nationkey", "n_name")
     sup = supplier.join(n, supplier.s_nationkey == n.n_nationkey).select(
         F.col("s_suppkey").cast("bigint").alias("id"),
         F.col("s_name").alias("name"),
@@ -104,7 +102,7 @@ def matchups_from_nation(nation: DataFrame) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.lit(N_NATIONS - 1))).alias("k"),
     ).where(F.col("k") != MISSING_OFFSET)
     a = a.withColumn("d", (F.col("a") + F.col("k")) % N_NATIONS)
-    d = sized_broadcast(n.select(F.col("n_nationkey").alias("d"), F.col("n_name").alias("def_grp")), 10_000)
+    d = n.select(F.col("n_nationkey").alias("d"), F.col("n_name").alias("def_grp"))
     k, ak = F.col("k"), F.col("a")
     mult = (
         F.when(k == 24, F.lit(0.0))
@@ -158,15 +156,14 @@ SHARE_HALF_BELOW = 0.505  # share < 0.505        -> half_damage_to
 SHARE_DOUBLE_ABOVE = 0.5  # share > 0.5          -> double_damage_to (overlaps the half list)
 
 
-def relations_from_contests(contests: DataFrame, nation: DataFrame) -> DataFrame:
+def relations_from_contests(contests: DataFrame) -> DataFrame:
     """Per attacker group, relation payloads (JSON text) observed in the contests.
 
     The attacker win share of every (att_grp, def_grp) pair over *all* contests
     (a partial aggregate, G^2 output rows) places the defender group in
     overlapping lists, so the override precedence decides: share > 0.5 double,
     share < 0.505 half, share < 0.48 none. Every none list also names a group
-    outside the known list. Attacker groups of region 4 carry a NULL payload (a
-    failed fetch); groups that never attacked have no payload row.
+    outside the known list. Groups that never attacked have no payload row.
     """
     pairs = contests.groupBy("att_grp", "def_grp").agg(
         F.try_divide(F.sum(F.when(F.col("winner") == F.col("attacker"), 1).otherwise(0)) * F.lit(1.0),
@@ -177,23 +174,17 @@ def relations_from_contests(contests: DataFrame, nation: DataFrame) -> DataFrame
         F.sort_array(F.collect_list(F.when(share < SHARE_HALF_BELOW, named))).alias("half_damage_to"),
         F.sort_array(F.collect_list(F.when(share < SHARE_NONE_BELOW, named))).alias("no_damage_to"),
     )
-    region = sized_broadcast(nation.select(F.col("n_name").alias("att_grp"), F.col("n_regionkey").alias("region")),
-                             10_000)
-    lists = lists.join(region, "att_grp", "left")
     outsider = F.array(F.struct(F.lit("UNKNOWN_GROUP").alias("name")))
     payload = F.to_json(F.struct(
         "double_damage_to", "half_damage_to", F.concat(F.col("no_damage_to"), outsider).alias("no_damage_to")))
-    return lists.select(
-        F.col("att_grp").alias("grp"),
-        F.when(F.col("region") == FAILED_FETCH_REGION, F.lit(None).cast("string")).otherwise(payload)
-        .alias("payload"))
+    return lists.select(F.col("att_grp").alias("grp"), payload.alias("payload"))
 
 
 def contests_from_tables(lineitem: DataFrame, orders: DataFrame, supplier: DataFrame,
                          customer: DataFrame, nation: DataFrame, matchups: DataFrame) -> DataFrame:
     """One contest per lineitem, with the denormalised columns of the fact table."""
-    n = sized_broadcast(nation.select("n_nationkey", "n_name"), 10_000)
-    m = sized_broadcast(matchups.select("att_grp", "def_grp", F.col("multiplier").alias("_m")))
+    n = nation.select("n_nationkey", "n_name")
+    m = matchups.select("att_grp", "def_grp", F.col("multiplier").alias("_m"))
     j = (
         _contest_rows(lineitem, orders, supplier, customer)
         .join(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("att_grp")),
@@ -228,9 +219,11 @@ def profile_payloads(competitors: DataFrame) -> DataFrame:
     """``(id, payload)``: each competitor as a nested profile document.
 
     Types are an ordered list (second entry only when ``grp2`` is set), stats a
-    list of ``{base_stat, stat:{name}}`` including one unknown stat name, and the
-    image sits under ``sprites.front_default`` (key absent when there is none).
-    Rows of the ``HOUSEHOLD`` segment carry a NULL payload (a failed fetch).
+    list of ``{base_stat, stat:{name}}`` including one unknown and one missing stat
+    name and, before the true entry, an outdated one of the first stat; the image
+    sits under ``sprites.front_default`` (key absent when there is none). Besides
+    the whole documents, every tenth id has a second record that failed: NULL,
+    cut off, or of another shape.
     """
     named = lambda c: F.struct(c.alias("name"))
     types = F.filter(
@@ -239,13 +232,17 @@ def profile_payloads(competitors: DataFrame) -> DataFrame:
         lambda t: t["type"]["name"].isNotNull())
     api_names = ["hp", "attack", "defense", "special-attack", "special-defense", "speed"]
     stats = F.array(
+        F.struct(F.lit(0).alias("base_stat"), named(F.lit(api_names[0])).alias("stat")),
+        F.struct(F.lit(3).alias("base_stat"), named(F.lit(None).cast("string")).alias("stat")),
         *[F.struct(F.col(c).alias("base_stat"), named(F.lit(a)).alias("stat")) for c, a in zip(STAT_COLUMNS, api_names)],
         F.struct(F.lit(1).alias("base_stat"), named(F.lit("accuracy")).alias("stat")),
     )
     sprites = F.struct(F.when(F.col("grp2").isNotNull(), F.col("image_url")).alias("front_default"))
     doc = F.to_json(F.struct("id", "name", types.alias("types"), stats.alias("stats"), sprites.alias("sprites")))
-    return competitors.select("id", F.when(F.col("grp2") == "HOUSEHOLD", F.lit(None).cast("string"))
-                              .otherwise(doc).alias("payload"))
+    failed = (F.when(F.col("id") % 30 == 0, F.lit(None).cast("string")).when(F.col("id") % 30 == 10, F.lit("{bad"))
+              .otherwise(F.lit("[]")))
+    records = F.when(F.col("id") % 10 == 0, F.array(failed, doc)).otherwise(F.array(doc))
+    return competitors.select("id", F.explode(records).alias("payload"))
 
 
 def skills_payloads(lineitem: DataFrame, part: DataFrame) -> DataFrame:
@@ -266,13 +263,15 @@ def skills_payloads(lineitem: DataFrame, part: DataFrame) -> DataFrame:
         F.array(detail(F.col("l_linenumber") - 1, method),
                 detail(F.floor("l_quantity"), F.lit("level-up"))).alias("version_group_details"),
     )
+    # moves stand in the order of the lines
+    lines = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", move.alias("move"))))
     return j.groupBy(F.col("l_orderkey").alias("entity")).agg(
-        F.to_json(F.struct(F.collect_list(move).alias("moves"))).alias("payload"))
+        F.to_json(F.struct(F.transform(lines, lambda x: x["move"]).alias("moves"))).alias("payload"))
 
 
 def reverse_roles(contests: DataFrame, matchups: DataFrame) -> DataFrame:
     """Swap attacker and defender (the winner is unchanged) and look the multiplier up again."""
-    m = sized_broadcast(matchups.select("att_grp", "def_grp", F.col("multiplier").alias("_m")))
+    m = matchups.select("att_grp", "def_grp", F.col("multiplier").alias("_m"))
     r = contests.select(
         "contest_id",
         F.col("defender").alias("attacker"),
@@ -352,30 +351,18 @@ class Tables:
     @property
     def observed_relations(self) -> DataFrame:
         """Relation payloads observed over all contests (see :func:`relations_from_contests`)."""
-        return relations_from_contests(self.contests, self.raw("nation"))
-
-    @property
-    def observed_matchups(self) -> DataFrame:
-        """The matrix rebuilt from the observed relations; its work grows with the contests."""
-        if "_observed" not in self._cache:
-            from sosrank.operators.matrix import build_matchups
-            self._cache["_observed"] = build_matchups(self.groups, self.observed_relations)
-        return self._cache["_observed"]
+        return relations_from_contests(self.contests)
 
     @property
     def groups(self) -> DataFrame:
         return self.raw("nation").select(F.col("n_name").alias("grp"))
 
-    def group_order(self, max_groups: int = 2_000) -> list[str]:
+    def group_order(self) -> list[str]:
         """Canonical group order (by nation key) for wide output columns.
 
-        A pivot's columns are part of the plan's schema, so the (bounded) group
-        names are needed on the driver; the list is size-checked first.
+        A pivot's columns are part of the plan's schema, so the group names, one a column, are needed on the driver.
         """
-        n = self.raw("nation").select("n_nationkey", "n_name")
-        if row_count_at_most(n, max_groups) > max_groups:
-            raise ValueError(f"more than {max_groups} groups; too many pivot columns")
-        return [r["n_name"] for r in n.orderBy("n_nationkey").collect()]
+        return [r["n_name"] for r in self.raw("nation").orderBy("n_nationkey").select("n_name").collect()]
 
     def expected_counts(self) -> DataFrame:
         """Expected model row counts derived from the source tables (a union and a group-by, no joins)."""

@@ -13,8 +13,9 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sosrank.schemas import COMPETITORS, CONTESTS, MATCHUPS
+from sosrank.schemas import COMPETITORS, CONTEST_COLUMNS, CONTESTS, MATCHUPS
 from sosrank.session import scratch_path
 from sosrank.sources.adapters import Tables, reverse_outcomes
 
@@ -29,7 +30,7 @@ class Model:
         read = lambda name, schema: spark.read.schema(schema).parquet(os.path.join(path, name))
         self.competitors = read("competitors", COMPETITORS)
         self.matchups = read("matchups", MATCHUPS)
-        self.contests = read("contests", CONTESTS)
+        self.contests = read("contests", CONTESTS).select(*CONTEST_COLUMNS)
 
     @property
     def outcomes(self) -> DataFrame:
@@ -40,17 +41,18 @@ class Model:
         return reverse_outcomes(self.outcomes)
 
 
-def materialize_model(tables: Tables, path: str | None = None, contest_files: int | None = None) -> Model:
+def materialize_model(tables: Tables, path: str | None = None) -> Model:
     """Write competitors, matchups and contests as Parquet and return them read back.
 
-    ``contest_files`` sets the number of contest files (a round-robin
-    repartition, so file sizes are even whatever the key skew); by default the
-    session's shuffle-partition count.
+    Contests are partitioned by month and sorted by attacker within a file, so
+    that date and name filters skip files and row groups. They are rebalanced by
+    month first: AQE splits a large month into files of the advisory size.
     """
     spark = tables.spark
     path = path or scratch_path(spark, f"model-{uuid.uuid4().hex}")
-    n = contest_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tables.competitors.write.mode("overwrite").parquet(os.path.join(path, "competitors"))
     tables.matchups.coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "matchups"))
-    tables.contests.repartition(n).write.mode("overwrite").parquet(os.path.join(path, "contests"))
+    by_month = tables.contests.withColumn("contest_month", F.date_format("contest_date", "yyyy-MM"))
+    (by_month.hint("rebalance", "contest_month").sortWithinPartitions("contest_month", "attacker")
+     .write.mode("overwrite").partitionBy("contest_month").parquet(os.path.join(path, "contests")))
     return Model(spark, path)

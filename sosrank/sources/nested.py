@@ -21,20 +21,24 @@ TOP_SKILLS = 8
 
 
 def parse_json(df: DataFrame, col: str, schema, out: str = "_doc") -> DataFrame:
-    """Parse a JSON string column (PERMISSIVE: malformed or NULL input gives NULL)."""
+    """Parse a JSON string column (PERMISSIVE: NULL input gives NULL, malformed input a struct of NULLs)."""
     return df.withColumn(out, F.from_json(F.col(col), schema))
 
 
-def drop_failed(df: DataFrame, col: str) -> DataFrame:
-    """Drop records whose payload is missing or failed to parse."""
-    return df.where(F.col(col).isNotNull())
+def drop_failed(df: DataFrame, *required: str) -> DataFrame:
+    """Drop records whose payload is missing or failed to parse: one of the ``required`` fields is NULL then."""
+    for field in required:
+        df = df.where(F.col(field).isNotNull())
+    return df
 
 
 def stats_from_array(stats: Column) -> list[Column]:
-    """``[{base_stat, stat:{name}}]`` -> one column per known stat (unknown names ignored)."""
-    as_map = F.map_from_arrays(F.transform(stats, lambda e: e["stat"]["name"]),
-                               F.transform(stats, lambda e: e["base_stat"]))
-    return [F.element_at(as_map, F.lit(api)).alias(col) for api, col in STAT_NAME_MAP]
+    """``[{base_stat, stat:{name}}]`` -> one column per known stat: its last entry; other and missing names are ignored."""
+    def last(api: str) -> Column:
+        own = F.filter(stats, lambda e: e["stat"]["name"] == F.lit(api))
+        return F.try_element_at(own, F.lit(-1))["base_stat"]
+
+    return [last(api).alias(col) for api, col in STAT_NAME_MAP]
 
 
 def key_or_default(json_col: Column, key: str, path: str, default: str = "") -> Column:
@@ -55,7 +59,7 @@ def profiles_from_json(df: DataFrame, payload_col: str = "payload") -> DataFrame
     group; strength is the sum of the six stats; the image URL defaults to ""
     only when the ``front_default`` key is absent. Failed payloads are dropped.
     """
-    p = drop_failed(parse_json(df, payload_col, PROFILE_PAYLOAD), "_doc")
+    p = drop_failed(parse_json(df, payload_col, PROFILE_PAYLOAD), "_doc.id", "_doc.name")
     types = F.transform(F.col("_doc.types"), lambda t: t["type"]["name"])
     stats = stats_from_array(F.col("_doc.stats"))
     out = p.select(
@@ -74,32 +78,32 @@ def profiles_from_json(df: DataFrame, payload_col: str = "payload") -> DataFrame
 
 
 def levelled_skills(df: DataFrame, entity_col: str = "entity", payload_col: str = "payload") -> DataFrame:
-    """``(entity, skill, level)``: for each skill, the *first* level-up detail, kept only if level > 0.
+    """``(entity, pos, skill, level)``: for each skill, by its place in the payload, the *first* level-up detail, kept only if level > 0.
 
     The first matching detail is chosen before the level test, so a skill whose
     first level-up detail has level 0 is excluded even if a later one is positive.
     """
-    p = drop_failed(parse_json(df, payload_col, SKILLS_PAYLOAD), "_doc")
-    moves = p.select(F.col(entity_col).alias("entity"), F.explode(F.col("_doc.moves")).alias("_m"))
+    p = drop_failed(parse_json(df, payload_col, SKILLS_PAYLOAD), "_doc.moves")
+    moves = p.select(F.col(entity_col).alias("entity"), F.posexplode(F.col("_doc.moves")).alias("pos", "_m"))
     first = F.get(F.filter(F.col("_m.version_group_details"),
                            lambda d: d["move_learn_method"]["name"] == F.lit(LEVEL_UP_METHOD)), 0)
-    s = moves.select("entity", F.col("_m.move.name").alias("_raw"), first["level_learned_at"].alias("level"))
+    s = moves.select("entity", "pos", F.col("_m.move.name").alias("_raw"), first["level_learned_at"].alias("level"))
     s = s.where(F.coalesce(F.col("level"), F.lit(0)) > 0)
-    return s.select("entity", skill_display_name("_raw").alias("skill"), "level")
+    return s.select("entity", "pos", skill_display_name("_raw").alias("skill"), "level")
 
 
-def first_k_distinct(df: DataFrame, entity: str, key: str, order: str, k: int) -> DataFrame:
-    """Keep-first dedup by ``key`` (lowest ``order``), then the first k per entity by ``order``, key."""
-    d = df.groupBy(entity, key).agg(F.min(order).alias(order))
-    w = Window.partitionBy(entity).orderBy(F.col(order), F.col(key))
+def first_k_distinct(df: DataFrame, entity: str, key: str, order: list[str], k: int) -> DataFrame:
+    """Keep-first dedup by ``key`` (lowest ``order``), then the first k per entity by ``order``."""
+    d = df.groupBy(entity, key).agg(F.min(F.struct(*order)).alias("_first")).select(entity, key, "_first.*")
+    w = Window.partitionBy(entity).orderBy(*order)
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def top_skills(df: DataFrame, entity_col: str = "entity", payload_col: str = "payload",
                k: int = TOP_SKILLS) -> DataFrame:
-    """Per entity, up to k distinct skills with the lowest levels."""
+    """Per entity, up to k distinct skills with the lowest levels; ties stand in the order of the payload."""
     s = levelled_skills(df, entity_col, payload_col)
-    return first_k_distinct(s, "entity", "skill", "level", k).select("entity", "rank", "skill", "level")
+    return first_k_distinct(s, "entity", "skill", ["level", "pos"], k).select("entity", "rank", "skill", "level")
 
 
 def json_scalar(json_col, path: str) -> Column:

@@ -10,14 +10,11 @@ all contests seen so far.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sosrank.functions.metrics import win_flag
-from sosrank.operators.broadcast import is_broadcastable, sized_broadcast
 from sosrank.operators.enrich import NEUTRAL_MULTIPLIER, role_view, with_matrix
 from sosrank.operators.stats import stats_from_totals
 from sosrank.plans.leaderboards import rank_adjusted
@@ -27,13 +24,13 @@ def contest_totals_stream(contests: DataFrame, competitors: DataFrame, matchups:
                           default: float = NEUTRAL_MULTIPLIER) -> DataFrame:
     """Streaming per-(attacker, att_grp) totals: stream-static joins, then a stateful aggregate."""
     c = contests.select("attacker", "defender", win_flag().alias("_w"))
-    c = c.join(sized_broadcast(role_view(competitors, "defender", {"grp": "def_grp"})), "defender")
-    c = c.join(sized_broadcast(role_view(competitors, "attacker", {"grp": "att_grp"})), "attacker")
+    c = c.join(role_view(competitors, "defender", {"grp": "def_grp"}), "defender")
+    c = c.join(role_view(competitors, "attacker", {"grp": "att_grp"}), "attacker")
     c = with_matrix(c, matchups, "_m", default)
     return c.groupBy("attacker", "att_grp").agg(
         F.count(F.lit(1)).cast("bigint").alias("total_contests"),
         F.sum("_w").cast("bigint").alias("wins"),
-        F.sum("_m").alias("mult_sum"),
+        F.sum(F.col("_m").cast("decimal(18,9)")).cast("double").alias("mult_sum"),
     )
 
 
@@ -53,9 +50,7 @@ def start_leaderboard_refresh(contests: DataFrame, competitors: DataFrame, match
         b = batch.persist()
         try:
             stats = stats_from_totals(b, min_contests)
-            # one bounded check on the micro-batch's stats bounds every rank lookup
-            small = True if is_broadcastable(stats) else None
-            rank_adjusted(stats, small=small).write.mode("overwrite").parquet(target_path)
+            rank_adjusted(stats).write.mode("overwrite").parquet(target_path)
         finally:
             b.unpersist()
 
@@ -67,23 +62,3 @@ def start_leaderboard_refresh(contests: DataFrame, competitors: DataFrame, match
         w = w.trigger(processingTime=processing_time)
     return w.start()
 
-
-def replay_leaderboard(contests: DataFrame, competitors: DataFrame, matchups: DataFrame, base_path: str,
-                       files: int = 4, min_contests: int = 30) -> DataFrame:
-    """Land ``contests`` as ``files`` files, stream them one file per micro-batch, return the final table.
-
-    Used to check that the incremental state reproduces the batch result.
-    """
-    spark = contests.sparkSession
-    src = os.path.join(base_path, "incoming")
-    contests.select("contest_id", "attacker", "defender", "winner").repartition(files).write.mode(
-        "overwrite").parquet(src)
-    stream = spark.readStream.schema("contest_id string, attacker string, defender string, winner string").option(
-        "maxFilesPerTrigger", 1).parquet(src)
-    target = os.path.join(base_path, "leaderboard")
-    q = start_leaderboard_refresh(stream, competitors, matchups, target, os.path.join(base_path, "_checkpoint"),
-                                  min_contests, available_now=True)
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(target)

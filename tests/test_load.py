@@ -9,7 +9,7 @@ from tests.helpers import SF_SMALL
 
 def test_model_matches_raw_derivation(spark):
     t = Tables(spark, SF_SMALL)
-    m = materialize_model(t, contest_files=3)
+    m = materialize_model(t)
     assert m.contests.count() == t.contests.count()
     for f in (lambda x: lb.adjusted_win_rate(x.outcomes, x.competitors, x.matchups),
               lambda x: lb.group_dominance(x.outcomes, x.competitors, x.matchups),

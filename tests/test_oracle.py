@@ -4,7 +4,8 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from sosrank.plans.registry import oracle_sql, queries
 from tests.helpers import SF_SMALL
 from tests.oracle import compare, duck
 

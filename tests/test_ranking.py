@@ -17,16 +17,12 @@ def _data(spark, n=600, seed=7):
     return spark.createDataFrame(rows, "id long, grp string, v double")
 
 
-import pytest
-
-
-@pytest.mark.parametrize("bounded", [False, True])
-def test_histogram_ranks_match_windows(spark, bounded):
+def test_histogram_ranks_match_windows(spark):
     df = _data(spark)
     got = histogram_ranks(df, "v", [
         {"partition_by": ["grp"], "descending": True, "rank_col": "r_grp"},
         {"partition_by": [], "descending": False, "rank_col": "r_all", "percent_col": "p_all"},
-    ], bounded=bounded)
+    ])
     want = df.select(
         "id",
         F.rank().over(Window.partitionBy("grp").orderBy(F.col("v").desc_nulls_last())).alias("w_grp"),
@@ -49,7 +45,7 @@ def test_top_k_with_rank_is_global_rank(spark):
 
 def test_number_rows_equals_row_number(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7 % 5003).alias("k"), F.lit("x").alias("p"))
-    got = {r.k: r.position for r in number_rows(df, "k", rows_per_bucket=800).collect()}
+    got = {r.k: r.position for r in number_rows(df, "k", keys_per_bucket=800).collect()}
     assert sorted(got.values()) == list(range(1, 5001))
     assert all(got[k] == i + 1 for i, k in enumerate(sorted(got)))
 

