@@ -185,6 +185,7 @@ def learn_weights(pages: DataFrame, html_col: str = "html", fit_pages: int = FIT
     ship(pages.sparkSession)
     share = max(1, (1 << 40) * fit_pages // max(1, pages.count()))
     sample = (pages.select(F.col(html_col).alias("html"))
+              .filter(F.col("html").isNotNull())
               .filter(F.pmod(F.xxhash64(F.lit("fit"), "html"), F.lit(1 << 40)) < share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
