@@ -19,10 +19,11 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from sosrank.operators import pairs  # noqa: E402
+from sosrank.operators import matrix, pairs  # noqa: E402
 from sosrank.plans import leaderboards as lb  # noqa: E402
+from sosrank.plans import lookups as lk  # noqa: E402
 from sosrank.session import local_session  # noqa: E402
-from sosrank.sources.adapters import Tables  # noqa: E402
+from sosrank.sources.adapters import Tables, relations_from_contests  # noqa: E402
 from sosrank.sources.load import materialize_model  # noqa: E402
 
 HEADLINE = {
@@ -33,6 +34,10 @@ HEADLINE = {
     "head_to_head_all": lambda m: pairs.head_to_head_all(m.outcomes),
     "raw_leaderboard": lambda m: lb.raw_leaderboard(m.outcomes, m.competitors),
     "activity_by_group": lambda m: lb.activity_by_group(m.outcomes, m.competitors),
+    "dq_constraints": lambda m: lk.model_constraints(m.competitors, m.contests, m.matchups),
+    "competitor_report": lambda m: lk.competitor_report(m.competitors, m.outcomes, m.matchups),
+    "build_matchups": lambda m: matrix.build_matchups(m.competitors.select("grp").distinct(),
+                                                      relations_from_contests(m.contests)),
     "predict_pairs": lambda m: pairs.predict_pairs(pairs.contest_pairs(m.outcomes), m.competitors, m.matchups),
 }
 
@@ -45,7 +50,7 @@ def _run(df) -> int:
 
 def timed(fn, reps: int, warm: bool = True) -> float:
     if warm:
-        fn()  # warm-up: JIT, broadcast size checks, file listing
+        fn()  # warm-up: JIT, file listing
     ts = []
     for _ in range(reps):
         t0 = time.perf_counter()
