@@ -1,36 +1,45 @@
 """Token ids of whole texts by the ``tokenizers`` library, for the operators that store or pack them.
 
 The vocabulary drops white space and never joins across it, so a text's ids are those of its words in turn. Words
-recur: each worker process remembers the ids of the first WORDS words and CORES lower-case letter runs that it meets,
-and encodes others with the library each time. A text with white space on which Python and the library might differ
+recur: each worker process remembers the ids of the first WORDS words and RUNS runs that it meets, and encodes others
+with the library each time. A text with white space on which Python and the library might differ
 is encoded whole.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import chain, islice
 
 import numpy as np
 
-#: Words, and letter runs without the signs after them, whose ids a worker process remembers.
-WORDS, CORES = 350_000, 450_000
-#: Letter runs that are encoded in one text.
-JOINED = 64
+#: Words, and runs of their signs, whose ids a worker process remembers.
+WORDS, RUNS = 350_000, 450_000
+#: Runs that are encoded in one text.
+JOINED = 256
 _RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
-#: A run of Latin-1 letters, which lower case and composition treat sign by sign, and signs after it.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
+#: Words of these signs are split here: lower case and composition treat them sign by sign.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: Fixed value: how the vocabulary's file splits lower-case text, over those signs.
+_RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
 class WordEncoder(dict):
     """Word -> its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, vocabulary_json: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(vocabulary_json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cores: dict[str, bytes] = {}
+        # runs need no normalising and no splitting but at the blanks between them
+        self.run_tokenizer = Tokenizer.from_str(vocabulary_json)
+        self.run_tokenizer.encode_special_tokens = True
+        self.run_tokenizer.normalizer = None
+        self.run_tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.runs: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -38,20 +47,16 @@ class WordEncoder(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _encode_cores(self, cores: list[str]) -> dict[str, bytes]:
-        """Ids of lower-case letter runs and runs of signs, many in one call: each ends with a word-end token."""
-        texts = [" ".join(cores[i:i + JOINED]) for i in range(0, len(cores), JOINED)]
-        out, at = {}, 0
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            ids = np.array(e.ids, np.int64)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            packed, start = ids.astype("<u4").tobytes(), 0
-            for end in cuts.tolist():
-                out[cores[at]] = packed[4 * start:4 * end]
-                at, start = at + 1, end
-        if at != len(cores):
+    def _encode_runs(self, runs: list[str]) -> dict[str, bytes]:
+        """Ids of runs, many in one call: each ends with a word-end token."""
+        texts = [" ".join(runs[i:i + JOINED]) for i in range(0, len(runs), JOINED)]
+        found = self.run_tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(runs):
             raise ValueError("the vocabulary does not mark word ends as expected")
-        return out
+        packed = ids.tobytes()
+        return {run: packed[a:b] for run, a, b in zip(runs, [0, *cuts], cuts, strict=False)}
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         get, split, missing = self.get, [], {}
@@ -73,25 +78,32 @@ class WordEncoder(dict):
 
     def _learn(self, missing: dict[str, bytes | None]) -> None:
         """Fill in the ids of words that are not remembered."""
-        plain, known = {}, self.cores
+        known, single, several, others, new = self.runs, {}, {}, [], {}
         for word in missing:
-            m = _PLAIN.fullmatch(word)
-            if m:
-                plain[word] = (m[1].lower(), m[2])
+            if word.isascii() and word.isalpha():
+                single[word] = runs = word.lower()
+                if runs not in known:
+                    new[runs] = None
+            elif _PLAIN.fullmatch(word):
+                several[word] = runs = tuple(_RUN.findall(word.lower()))
+                for run in runs:
+                    if run not in known:
+                        new[run] = None
             else:
-                missing[word] = self.whole(word)
-        new = self._encode_cores(list(dict.fromkeys(c for pair in plain.values() for c in pair
-                                                    if c and c not in known)))
-        for word, (core, signs) in plain.items():
-            ids = new[core] if core in new else known[core]
-            if signs:
-                ids += new[signs] if signs in new else known[signs]
-            missing[word] = ids
-        for cache, found, limit in ((known, new, CORES), (self, missing, WORDS)):
+                others.append(word)
+        if new:
+            new = self._encode_runs(list(new))
+        for word, run in single.items():
+            missing[word] = new[run] if run in new else known[run]
+        for word, runs in several.items():
+            missing[word] = b"".join([new[r] if r in new else known[r] for r in runs])
+        for word, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            missing[word] = np.array(e.ids, "<u4").tobytes()
+        for cache, found, limit in ((known, new, RUNS), (self, missing, WORDS)):
             if len(cache) + len(found) <= limit:
                 cache.update(found)
-            else:
-                cache.update(list(found.items())[:max(0, limit - len(cache))])
+            elif len(cache) < limit:
+                cache.update(islice(found.items(), limit - len(cache)))
 
 
 _made: dict[str, WordEncoder] = {}
