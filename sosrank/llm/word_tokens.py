@@ -15,8 +15,8 @@ import numpy as np
 
 #: Words, and runs of their signs, whose ids a worker process remembers.
 WORDS, RUNS = 350_000, 450_000
-#: Runs that are encoded in one text.
-JOINED = 256
+#: Runs that are encoded in one text, and texts in one call.
+JOINED, CALL = 256, 32
 _RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
 #: Words of these signs are split here: lower case and composition treat them sign by sign.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -33,10 +33,8 @@ class WordEncoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_str(vocabulary_json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        # runs need no normalising and no splitting but at the blanks between them
-        self.run_tokenizer = Tokenizer.from_str(vocabulary_json)
-        self.run_tokenizer.encode_special_tokens = True
-        self.run_tokenizer.normalizer = None
+        # runs need no normalising and no splitting but at the blanks between them; the model is shared
+        self.run_tokenizer = Tokenizer(self.tokenizer.model)
         self.run_tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.runs: dict[str, bytes] = {}
@@ -49,14 +47,18 @@ class WordEncoder(dict):
 
     def _encode_runs(self, runs: list[str]) -> dict[str, bytes]:
         """Ids of runs, many in one call: each ends with a word-end token."""
-        texts = [" ".join(runs[i:i + JOINED]) for i in range(0, len(runs), JOINED)]
-        found = self.run_tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ids = np.fromiter(chain.from_iterable(e.ids for e in found), "<u4")
-        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(cuts) != len(runs):
-            raise ValueError("the vocabulary does not mark word ends as expected")
-        packed = ids.tobytes()
-        return {run: packed[a:b] for run, a, b in zip(runs, [0, *cuts], cuts, strict=False)}
+        out: dict[str, bytes] = {}
+        for at in range(0, len(runs), JOINED * CALL):
+            some = runs[at:at + JOINED * CALL]
+            texts = [" ".join(some[i:i + JOINED]) for i in range(0, len(some), JOINED)]
+            found = self.run_tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(e.ids for e in found), "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(some):
+                raise ValueError("the vocabulary does not mark word ends as expected")
+            packed = ids.tobytes()
+            out.update((run, packed[a:b]) for run, a, b in zip(some, [0, *cuts], cuts, strict=False))
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         get, split, missing = self.get, [], {}
