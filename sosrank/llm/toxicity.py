@@ -104,21 +104,20 @@ def _featurizer(key: int, lexicon: dict[str, float]) -> Featurizer:
 
 
 def features(rows: DataFrame, lexicon: dict[str, float], text_col: str = "text") -> DataFrame:
-    """The other columns of ``rows`` and ``features`` (array of doubles)."""
+    """The other columns of ``rows`` and ``features`` (array of doubles); only texts go to the Python workers."""
     others = [c for c in rows.columns if c != text_col]
-    rows = rows.select(*others, text_col)
     ship(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
     key = hash(tuple(sorted(lexicon.items())))
-    out = rows.select(*others).schema.add("features", ArrayType(DoubleType()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         make = _featurizer(key, shared.value)
-        for batch in batches:
-            found = [make(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.float64()))], out.names)
+        for some in texts:
+            yield pa.array([make(t.as_py()) for t in some], pa.list_(pa.float64()))
 
-    return rows.mapInArrow(run, out)
+    # one call a row, wherever the result is used
+    made = F.arrow_udf(run, ArrayType(DoubleType())).asNondeterministic()
+    return rows.select(*others, made(F.col(text_col)).alias("features"))
 
 
 def _token_counts(texts: DataFrame, wanted: set[str] | None) -> DataFrame:
