@@ -40,10 +40,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 _shipped: set[str] = set()
 
+#: Bytes of a batch that goes to a Python worker, where the session sets no bound of its own: whatever the length of
+#: texts, a batch and its copies on both sides stay small against an executor's memory.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, which need not have it installed (once an application)."""
+    """Make this package importable in Python workers, which need not have it installed (once an application), and
+    bound the batches that go there."""
     sc = spark.sparkContext
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
