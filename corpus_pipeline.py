@@ -52,10 +52,10 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id stays."""
+    """Of each group of near duplicates, the document with the smallest id stays; a null id comes after all others."""
     found = simhash_neardup.near_duplicates(docs, SHINGLE_WORDS, MAX_BITS)
-    kept = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id")
-            .agg(F.min("text_key").alias("text_key")).select(_key("text_key").alias("_key")))
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_key"))
+    kept = found.groupBy("root").agg(first.alias("_first")).select("_first.*").select(_key("text_key").alias("_key"))
     return _only(docs, _key(_text_key()), kept)
 
 

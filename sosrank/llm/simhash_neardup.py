@@ -110,14 +110,17 @@ def near_links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """One row a document: ``doc_id, fingerprint, component_id`` (the smallest id reachable over links), ``text_key``."""
+    """One row a document: ``doc_id, fingerprint, component_id`` (the smallest id reachable over links), ``text_key``
+    and ``root``, the component's smallest fingerprint: unlike an id, it is never null and tells every two components
+    apart."""
     prints = written(fingerprints(docs, k, id_col, text_col), "prints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     roots = connected_components(near_links(classes, max_bits))
     of = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "first_id")
     lowest = of.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = of.join(lowest, "root").select("fp", "component_id")
+    named = of.join(lowest, "root").select("fp", "component_id", "root")
     # shuffled on both sides, so that AQE can split the partition of a fingerprint with very many copies
     return prints.join(named.hint("merge"), "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key",
+        "root")

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as cp
 
 
@@ -23,3 +25,13 @@ def test_stages_keep_columns_and_decide(spark, make_docs, messy, tmp_path):
     for name, stage in cp.STAGES:
         assert stage(spark, messy, d).count() > 0, name
         assert stage(spark, messy.limit(0), d).count() == 0, name
+
+
+def test_near_stage_keeps_one_row_a_group_not_an_id(spark, make_docs, tmp_path):
+    rng = random.Random(1)
+    text = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=40)) for _ in range(6)]
+    docs = make_docs([(None, text[0], "en"), (None, text[1], "en"), (7, text[2], "en"), (7, text[3], "en"),
+                      (None, text[4], "en"), (9, text[4] + " ", "en"), (9, text[5], "en"), (8, text[5] + " ", "en")])
+    near = cp.near_stage(spark, docs, str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text) for r in near.collect()) == sorted(
+        [(0, text[0]), (0, text[1]), (7, text[2]), (7, text[3]), (9, text[4] + " "), (8, text[5] + " ")])
