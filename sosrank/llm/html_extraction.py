@@ -10,8 +10,9 @@ furniture scores nothing, so that it is left out without cutting the article in
 Weights are fitted on the labelled ones of about FIT_PAGES pages, chosen by a hash of their text; extraction reads every
 page whole.
 
-Results in odd cases: null or empty html, and pages without words, give an empty text; elements that are not closed
-end with the page, or where the article starts; of regions that score alike the first is taken; rows repeated with one
+Results in odd cases: null or empty html, and pages without words, give an empty text; an element without an end tag
+ends where HTML ends it: with its parent, or at a start tag that implies its end (a block after <p>, <li> after <li>);
+furniture that is still open ends where the article starts or ends, or with the page; of regions that score alike the first is taken; rows repeated with one
 id are extracted alike; without labelled pages DEFAULT_WEIGHTS hold; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -65,6 +66,28 @@ INLINE = frozenset(
     " strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
+#: Elements that an end tag or an implied end does not reach out of, by HTML's rules; the second for p, the third and
+#: fourth for the end and the start of items of lists.
+_SCOPE = ("table", "td", "th", "caption", "marquee", "applet")
+_P_SCOPE, _LI_SCOPE = (*_SCOPE, "button"), (*_SCOPE, "ol", "ul")
+_ITEM_SCOPE = (*_SCOPE, *("ol ul menu dir dl section article main aside nav header footer blockquote figure form"
+                          " fieldset details button center").split())
+_CELLS, _ROW, _GROUPS = ("td", "th", "caption"), ("tr",), ("tbody", "thead", "tfoot", "colgroup")
+#: Start tag: the open elements whose end it implies, with what they must not stand outside of.
+IMPLIED: dict[str, list[tuple[tuple[str, ...], tuple[str, ...]]]] = {
+    name: [(("p",), _P_SCOPE)] for name in (
+        "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form"
+        " h1 h2 h3 h4 h5 h6 header hgroup hr listing main menu nav ol p plaintext pre search section summary table ul"
+        " xmp").split()}
+IMPLIED |= {"li": [(("li",), _ITEM_SCOPE), (("p",), _P_SCOPE)], "a": [(("a",), _SCOPE)],
+            "button": [(("button",), _SCOPE)]}
+IMPLIED |= dict.fromkeys(("dd", "dt"), [(("dd", "dt"), _ITEM_SCOPE), (("p",), _P_SCOPE)])
+IMPLIED |= dict.fromkeys(("td", "th"), [(_CELLS, ("table",))])
+IMPLIED |= {"tr": [(_CELLS, ("table",)), (_ROW, ("table",))]}
+IMPLIED |= dict.fromkeys(_GROUPS, [(_CELLS, ("table",)), (_ROW, ("table",)), (_GROUPS, ("table",))])
+#: End tags that reach further or less far than _SCOPE.
+_END_SCOPE = {"p": _P_SCOPE, "li": _LI_SCOPE, "table": ()} | dict.fromkeys((*_CELLS, *_ROW, *_GROUPS), ("table",))
+
 
 def _is_furniture(name: str, attrs: str, in_article: bool) -> bool:
     if name in FURNITURE_TAGS or name == "header" and not in_article:
@@ -88,12 +111,52 @@ def _says_furniture(attrs: str) -> bool:
     return False
 
 
+class _Open:
+    """The elements that are open at a place of a page; a step takes time by what it closes, not by how many are open."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def _last(self, names: tuple[str, ...]) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def _cut(self, size: int) -> None:
+        while len(self.names) > size:
+            self.at[self.names.pop()].pop()
+        while self.blocks and self.blocks[-1] >= size:
+            self.blocks.pop()
+
+    def imply(self, name: str) -> None:
+        """End what the start tag ``name`` ends."""
+        for ended, scope in IMPLIED.get(name, ()):
+            i = self._last(ended)
+            if i > self._last(scope):
+                self._cut(i)
+
+    def start(self, name: str) -> None:
+        self.at.setdefault(name, []).append(len(self.names))
+        if name not in INLINE:
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+
+    def end(self, name: str) -> bool:
+        """End the last open ``name`` with all inside, if its end tag reaches it from here; say whether."""
+        i = self._last((name,))
+        if i < 0 or (self.blocks and self.blocks[-1] > i if name in INLINE
+                     else i < self._last(_END_SCOPE.get(name, _SCOPE))):
+            return False
+        self._cut(i)
+        return True
+
+
 def events(html: str) -> Iterator[tuple[str, str, bool, bool]]:
     """The page in order: ``(kind, what, in furniture, in article)``.
 
     ``kind`` is ``tag`` (``what``: its name, with a slash if it ends), ``word`` or ``link`` (``what``: a run of text).
     """
-    at, article, links, zone, depth = 0, 0, 0, "", 0
+    at, article, links, zone, base, opened = 0, 0, 0, "", 0, _Open()
     for m in _TOKEN.finditer(html):
         if m.start() > at:
             yield "link" if links else "word", html[at:m.start()], bool(zone), article > 0
@@ -103,17 +166,26 @@ def events(html: str) -> Iterator[tuple[str, str, bool, bool]]:
             continue
         name, ends = name.lower(), bool(m["end"])
         closed = ends or m["attrs"].endswith("/") or name in VOID
+        if ends:
+            reached = opened.end(name)
+        else:
+            opened.imply(name)
+        own = False
+        if zone and len(opened.names) <= base:
+            own = ends and len(opened.names) == base  # otherwise its parent's end, or a start tag that implies its own
+            zone = ""
+        elif zone and name in ARTICLE_TAGS and ends and article and not reached:
+            zone = ""  # the article's end, where the nesting is broken
         if zone and not ends and (name in ARTICLE_TAGS and not _says_furniture(m["attrs"])
                                   or name == "h1" and not article) and zone not in ("header", "form"):
             zone = ""  # furniture that was never closed ends where the article starts
-        if zone:
-            if name == zone:
-                depth += -1 if ends else 0 if closed else 1
-                if not depth:
-                    zone = ""
-        elif not ends and _is_furniture(name, m["attrs"], article > 0):
-            if not closed:
-                zone, depth = name, 1
+        furniture = not (zone or ends) and _is_furniture(name, m["attrs"], article > 0)
+        if not (ends or closed):
+            if furniture:
+                zone, base = name, len(opened.names)
+            opened.start(name)
+        if zone or own or furniture:
+            pass
         elif name in ARTICLE_TAGS:
             article = max(0, article + (-1 if ends else 1))
         elif name == "a":

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -87,6 +88,31 @@ def test_extraction_without_article_markup():
                                                     "And a second block of it here.")
 
 
+@pytest.mark.parametrize("inside, want", [
+    ('<p class="ad">Buy<p>Real one</p><p>Two</p>', "Real one\nTwo"),
+    ('<p class="ad">Buy<div>Real one</div>Two', "Real one\nTwo"),
+    ('<p>Real one<p class="ad">Buy<ul><li>Two</ul>', "Real one\nTwo"),
+    ('<ul><li class="ad">Buy<ul><li>now</ul><li>Real one<li>Two</ul>', "Real one\nTwo"),
+    ('<dl><dt class="ad">Buy<dd>Real one<dd class="ad">Buy<dt>Two</dl>', "Real one\nTwo"),
+    ('<table><tr><td class="ad">Buy<td>Real one<tr class="ad"><td>Buy<tr><td>Two</table>', "Real one\nTwo"),
+    ('<section><div class="ad">Buy <p>now</section><p>Real one</p><p>Two</p>', "Real one\nTwo"),
+    ('<p><span class="ad">Buy</p><p>Real one</p>Two', "Real one\nTwo"),
+    ('<p>Real one</p><span><div class="ad">Buy</span> now<div>or</div> later</div>Two', "Real one\nTwo"),
+    ('<p>Real one</p><div class="ad"><p>Buy<p>now</p></p><ul><li>x<li>y</ul></div><p>Two', "Real one\nTwo"),
+    ('<p>Real one</p><p>Two</p><div class="ad">Buy <p>now', "Real one\nTwo")])
+def test_furniture_ends_where_html_ends_it(inside, want):
+    weights = hx.DEFAULT_WEIGHTS | {"tag": -0.1}
+    for page in (f"<body><article>{inside}</article>", f"<div><article><p>Start</p></div>{inside}</article>"):
+        got = hx.extract(page + "<article><p>After it all</p></article>", weights)
+        assert got.removeprefix("Start\n") == want + "\nAfter it all"
+
+
+def test_furniture_scan_is_linear_in_open_elements():
+    page = "<article><div class=ad>" + "<span><div><p>" * 20_000 + "</b></i></li>" * 20_000 + "</article>Kept text"
+    start = time.process_time()
+    assert hx.extract(page, hx.DEFAULT_WEIGHTS) == "Kept text" and time.process_time() - start < 20
+
+
 def test_extraction_odd_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "plain words only"),
             (5, "u", "<div class=ad>never closed <article><p>Kept text.</p>"), (6, "u", "a < b & c &lt; d <"),
