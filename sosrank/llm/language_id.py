@@ -5,7 +5,8 @@ every dictionary, block by block, and the language with the smallest total wins.
 as rejected (``reliable`` false); ``lang_pred`` still names the winner, as the contract of the query asks.
 
 The dictionaries are fitted on a bounded sample: for each language the DOCS_PER_LANG labelled documents with the
-lowest hash of their id (of those with a letter), CHARS_PER_DOC characters each. Prediction reads every character of every text.
+lowest hash of their id (of those with a letter), CHARS_PER_DOC characters each, from a place of the text that a hash
+chooses, so that openings which a source's texts share do not fill them. Prediction reads every character of every text.
 
 Results in odd cases: a null text, or one without a letter, is ``und`` with score 0 and not reliable; ties go to the
 language with more labelled rows; rows repeated with one id are predicted alike; without any labelled row every text is
@@ -83,8 +84,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
         return {}
     # about twice as many rows of a language as are wanted, whatever the number it has; the driver takes the first
     below = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(scale * 2 * docs_per_lang // r.n))])
+    spare = F.greatest(F.char_length(clean) - chars_per_doc, F.lit(0))
+    start = F.pmod(F.xxhash64(F.lit("start"), F.col(text_col)), spare + 1).cast("int") + 1
     chosen = rows.select(F.col(lang_col).alias("lang"), order.alias("h"),
-                         F.substr(clean, F.lit(1), F.lit(chars_per_doc)).alias("text"))
+                         F.substr(clean, start, F.lit(chars_per_doc)).alias("text"))
     parts: dict[str, list[str]] = {}
     for r in sorted(chosen.filter(F.col("h") < below[F.col("lang")]).select("lang", "h", "text").collect()):
         if r.text and len(parts.setdefault(r.lang, [])) < docs_per_lang:

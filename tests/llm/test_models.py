@@ -125,3 +125,12 @@ def test_extraction_odd_rows(spark):
     assert got[6] == "a < b & c < d <" and all(r.n_chars == len(r.text) for r in out)
     assert got[7] == " ".join(["w"] * 50_000)
     assert hx.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_dictionaries_reach_beyond_a_shared_opening(make_docs):
+    opening, rng = "shared opening of every text " * 60, random.Random(3)
+    docs = make_docs([(i, opening + " ".join("".join(rng.choices("bcdfgaeiou", k=7)) for _ in range(2_000)), "en")
+                      for i in range(20)])
+    words = li.fit(docs)["en"].decode().split()
+    assert len(" ".join(words)) > 20 * 1_000
+    assert sum(w in ("shared", "opening", "of", "every", "text") for w in words) < len(words) / 4
