@@ -1,11 +1,13 @@
-"""SimHash near-duplicate groups by multi-index hashing.
-
-A fingerprint is cut into two 32-bit segments, each with a table. In a segment's table a fingerprint is entered under
-every value of a small Hamming ball around that segment; the other segment stays whole in the key. Two fingerprints
-at most d bits apart have a value between them that is in both balls (radius ceil(d/2) of one, floor(d/2) of the
-other), whichever segments the bits are in, so they meet under one key. Keeping the other segment in the key bounds a
-bucket by the ball (65 fingerprints for d = 2) even where thousands of near copies share a segment, so no pairs of a
-group are listed: all of a bucket link to its smallest inner member, and each link is verified over all 64 bits.
+"""SimHash near-duplicate groups by hashing Hamming balls of whole fingerprints.
+
+This is the full-width variant: there are no segments and no table a segment. A fingerprint is entered under every
+value of a small Hamming ball around all its 64 bits. Two fingerprints at most d bits apart have a value between them
+that is in both balls (radius ceil(d/2) of one, floor(d/2) of the other), wherever the bits are, so they meet under one
+key and no pair is lost. For d = 2 the entries are those of two segment tables whose keys keep the other segment; for 3
+and 4 the balls span segments. The reason: a key of one segment alone gathers all fingerprints that share it, without
+bound where there are thousands of near copies, while a whole value bounds a bucket by the ball (65 fingerprints for
+d = 2). No pairs of a group are listed: all of a bucket link to its smallest inner member, and each link is verified
+over all 64 bits.
 Equal fingerprints count once in the tables.
 
 Results in odd cases: null text counts as empty; texts without words share the fingerprint zero and link like any
