@@ -35,8 +35,6 @@ MIN_COUNT = 12
 #: A round replaces the pairs that are at least this share as frequent as the most frequent one; the rest wait, as
 #: their counts change by the replacements.
 ROUND_SHARE = 1 / 64
-#: Replacing ends when a round shortens the shard by less than this share.
-MIN_GAIN = 0.02
 #: Size of the table that pairs are counted in: it stays in a core's cache.
 _HASH_BITS = 18
 
@@ -98,13 +96,19 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> Grammar:
         counted = (pair_of[bucket] == keys) & (keys >= 0)
         counts = np.bincount(bucket[counted], minlength=mask + 1)
         good = np.flatnonzero(counts >= max(MIN_COUNT, int(counts.max() * ROUND_SHARE)))
-        if not len(good):
-            break
-        good = good[np.argsort(-counts[good], kind="stable")]
-        picked = pair_of[good]
-        place = np.full(mask + 1, -1, np.int32)
+        if len(good):
+            good = good[np.argsort(-counts[good], kind="stable")]
+            picked, slots = pair_of[good], bucket
+        else:  # a pair may have lost its bucket to a rarer one: count all exactly before ending
+            found, slots, counts = np.unique(keys, return_inverse=True, return_counts=True)
+            good = np.flatnonzero((counts >= MIN_COUNT) & (found >= 0))
+            if not len(good):
+                break
+            good = good[np.argsort(-counts[good], kind="stable")]
+            picked, counted = found[good], keys >= 0
+        place = np.full(max(len(counts), mask + 1), -1, np.int32)
         place[good] = np.arange(len(good), dtype=np.int32)
-        rank = place[bucket]
+        rank = place[slots]
         at = np.flatnonzero((rank >= 0) & counted)
         rank = rank[at]
         take = _chosen(at, rank)
@@ -113,13 +117,10 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> Grammar:
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         last[hit] = last[hit + 1]
-        gain = len(hit) / len(seq)
         seq, last = seq[keep], last[keep]
         rules.append(np.stack([picked >> 32, picked & 0xFFFFFFFF], axis=1))
         rounds.append(len(picked))
         size += len(picked)
-        if gain < MIN_GAIN:
-            break
     symbol_starts = np.zeros(len(starts), np.int64)
     lasts = np.flatnonzero(last) + 1
     symbol_starts[1:] = np.concatenate([[0], lasts])[np.cumsum(np.diff(starts) > 0)]

@@ -139,3 +139,15 @@ def test_packed_documents(messy, library):
                  for k in range(0, len(ids), 4096)]
     assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
     assert bp.pack_documents(messy.limit(0), WORD).count() == 0
+
+
+def test_replacing_goes_on_until_no_pair_pays():
+    rng = np.random.default_rng(5)
+    ids = np.minimum(rng.zipf(1.3, 300_000), 20_000).astype("<u4")
+    starts = np.arange(0, len(ids) + 1, 1_000)
+    g = to.compress(ids, starts, 20_001)
+    assert (to.expand(g, g.symbols) == ids).all()
+    inside = np.ones(len(g.symbols) - 1, bool)
+    inside[g.starts[1:-1] - 1] = False
+    pairs = (g.symbols[:-1].astype(np.int64) << 32 | g.symbols[1:])[inside]
+    assert np.unique(pairs, return_counts=True)[1].max() < to.MIN_COUNT
