@@ -71,6 +71,22 @@ def crc32_mod(id_col: str | Column, m: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % m
 
 
+#: Parts into which the rows of one key are dealt in ``salted_join``.
+SALTS = 16
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str, how: str = "inner",
+                salts: int = SALTS) -> DataFrame:
+    """Join ``big``, any of whose keys may hold a third of its rows, to the far smaller ``small``.
+
+    The rows of a key are dealt to ``salts`` tasks by a hash of ``spread``, a column that tells them apart; ``small``
+    is repeated as often. Larger keys yet are left to AQE, which can split either side's partition.
+    """
+    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, spread: int = 64) -> DataFrame:
     """Number the rows 0, 1, 2 ... within ``keys`` without gathering a key in one task.
 

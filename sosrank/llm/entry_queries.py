@@ -12,13 +12,16 @@ from sosrank.llm import (
     best_fit_packing,
     byte_bpe,
     exact_dedup,
+    hard_negatives,
     html_extraction,
     language_id,
+    line_dedup,
     simhash_fingerprints,
     simhash_neardup,
     substring_dedup,
     token_output,
     toxicity,
+    whitening,
 )
 from sosrank.llm.common import crc32_mod, read_table
 
@@ -72,9 +75,26 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_tokens"), "ids_sha256", "decoded_sha256")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(line_dedup.dedup_lines(read_table(spark, sf_dir, "documents")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_exact_dedup, op2_document_fingerprints, op3_language_id, op4_toxicity, op5_simhash_neardup,
-        op6_html_extraction, op7_best_fit_packing, op8_substring_dedup, op9_token_output, op10_byte_bpe)
+        op6_html_extraction, op7_best_fit_packing, op8_substring_dedup, op9_token_output, op10_byte_bpe,
+        op11_hard_negatives, op12_line_dedup, op13_whitening)
 }
-ORACLES: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE,
+                            "op11_hard_negatives": hard_negatives.ORACLE,
+                            "op12_line_dedup": line_dedup.ORACLE}
