@@ -311,8 +311,9 @@ def mine(rows: DataFrame, anchors: Column, positives: int = POSITIVES, negatives
     classes = few.groupBy("label", "x").agg(ids.alias("ids"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     wanted = fit.filter("anchor").select("id", "label", "x").distinct()
-    asking = written(salted_join(wanted, classes.select("label", "x", "cid"), ["label", "x"], "id")
-                     .select("id", "cid"), "asking")
+    heads = written(classes.select("label", "x", "cid").hint("merge")
+                    .join(wanted.select("label", "x").distinct(), ["label", "x"], "left_semi"), "heads")
+    asking = written(salted_join(wanted, heads, ["label", "x"], "id").select("id", "cid"), "asking")
 
     groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = scratch(spark, "rows")
@@ -322,8 +323,7 @@ def mine(rows: DataFrame, anchors: Column, positives: int = POSITIVES, negatives
     blocks = spark.table(table)
     top = blocks.agg(F.max("top")).first()[0] or 0.0
 
-    heads = classes.join(asking.select("cid").distinct(), "cid", "left_semi").select("cid", "label", "x")
-    queries = heads.select("*", F.lit(0).cast("long").alias("key"), F.lit(LEAST).alias("lo"), F.lit(MOST).alias("hi"))
+    queries = heads.select("cid", "label", "x", F.lit(0).cast("long").alias("key"), F.lit(LEAST).alias("lo"), F.lit(MOST).alias("hi"))
     found = _threshold_join(blocks, groups, top, queries, positives + 1, True, [(s, None) for s in SHARES])
     own = found.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "score"))).alias("own"))
     others = F.slice(F.filter("own", lambda t: t["id"] != F.col("id")), 1, positives)
