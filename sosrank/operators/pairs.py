@@ -18,6 +18,7 @@ from sosrank.functions.probability import pair_win_prob, predicted_winner, winne
 from sosrank.operators.enrich import NEUTRAL_MULTIPLIER, dim_view
 from sosrank.operators.ranking import top_k, top_k_per_group
 
+# The columns of a history, and the label of a missing cell.
 HISTORY_COLUMNS = ["contest_id", "attacker", "defender", "winner", "multiplier", "att_grp", "def_grp",
                    "contest_date"]
 NEUTRAL_LABEL = "normal"
@@ -69,22 +70,31 @@ def profile(competitors: DataFrame, name: str) -> DataFrame:
 
 # --- recent history -----------------------------------------------------------------------------
 
-def recent_contests(contests: DataFrame, name: str, k: int = 10) -> DataFrame:
+def recent_contests(contests: DataFrame, name: str, k: int = 10, by_defender: DataFrame | None = None) -> DataFrame:
     """The latest k contests of one competitor in either role.
 
     One branch a role, so that each filter reaches the table the name comes from; a branch keeps its k latest.
+    ``by_defender`` is a copy of the contests laid out by defender (``Model.contests_by_defender``).
     """
+    other = contests if by_defender is None else by_defender
     mine = [where_eq(contests, "attacker", name),
-            where_eq(contests, "defender", name).where(F.col("attacker") != F.lit(name))]
+            where_eq(other, "defender", name).where(F.col("attacker") != F.lit(name))]
     a, d = (top_k(c.select(*HISTORY_COLUMNS), latest_first(), k) for c in mine)
     return top_k(a.unionByName(d), latest_first(), k)
 
 
 def recent_contests_all(contests: DataFrame, k: int = 10) -> DataFrame:
-    """For every competitor, its latest k contests in either role (batch form)."""
+    """For every competitor, its latest k contests in either role (batch form).
+
+    The latest are chosen over ``(competitor, contest_date, contest_id)`` alone; the other columns are joined back to
+    the chosen contests by their key.
+    """
     roles = contests.select(
-        F.explode(F.array_distinct(F.array("attacker", "defender"))).alias("competitor"), *HISTORY_COLUMNS)
-    return top_k_per_group(roles, ["competitor"], latest_first(), k).select("competitor", *HISTORY_COLUMNS)
+        F.explode(F.array_distinct(F.array("attacker", "defender"))).alias("competitor"), "contest_date", "contest_id")
+    chosen = top_k_per_group(roles, ["competitor"], latest_first(), k).select("competitor", "contest_id")
+    return contests.select(*HISTORY_COLUMNS).join(chosen, "contest_id").where(
+        (F.col("competitor") == F.col("attacker")) | (F.col("competitor") == F.col("defender"))).select(
+        "competitor", *HISTORY_COLUMNS)
 
 
 def pair_history(contests: DataFrame, a: str, b: str, k: int = 15) -> DataFrame:

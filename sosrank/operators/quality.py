@@ -59,40 +59,45 @@ def check_constraints(df: DataFrame, table: str, pk: Sequence[str] = (), unique:
     * ``predicates``: name -> boolean Column that must hold on every row (NULL counts as a violation);
     * ``fks``: ``(column, parent_df, parent_column)``: non-NULL values without a parent.
 
-    ``df`` is read once: each row gives one entry a key and foreign key, and one for the row rules. Entries are
-    counted by value, combined before the shuffle, so a hot value is one row a task; the distinct values then look
-    up their parents.
+    ``df`` is read once: one typed grouping set a key and a foreign key, and one for the outcome of all row rules (a
+    bit each). Sets are counted by value, combined before the shuffle, so a hot value is one row a task; only keys
+    that repeat and foreign values go on to look up their parents.
     """
     row_rules = [(f"{table}.not_null({c})", F.col(c).isNull()) for c in dict.fromkeys([*pk, *not_null])]
     row_rules += [(f"{table}.{name}", ~F.coalesce(cond, F.lit(False))) for name, cond in (predicates or {}).items()]
     keyed = ([(f"{table}.pk({','.join(pk)})", pk)] if pk else []) + [(f"{table}.unique({','.join(u)})", u)
                                                                     for u in unique]
-    text = lambda cols: F.to_json(F.array(*[F.col(c).cast("string") for c in cols]))
-    entries = [F.struct(F.lit(rule).alias("rule"), F.lit("key").alias("kind"), text(cols).alias("value"),
-                        F.lit(1).alias("n")) for rule, cols in keyed]
-    entries += [F.struct(F.lit(f"{table}.fk({c})").alias("rule"), F.lit("parent").alias("kind"),
-                         text([c]).alias("value"), F.col(c).isNotNull().cast("int").alias("n")) for c, _, _ in fks]
-    entries += [F.struct(F.lit(rule).alias("rule"), F.lit("row").alias("kind"), F.lit("").alias("value"),
-                         bad.cast("int").alias("n")) for rule, bad in row_rules]
-    counted = (df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-               .groupBy("rule", "kind", "value").agg(F.sum("n").alias("n")))
+    outcome = F.lit(0).cast("long")
+    for i, (_, bad) in enumerate(row_rules):
+        outcome = outcome + F.when(bad, F.lit(1 << i)).otherwise(F.lit(0))
+    cols = [*dict.fromkeys([c for _, k in keyed for c in k] + [c for c, _, _ in fks]), "_outcome"]
+    sets = list(dict.fromkeys([tuple(k) for _, k in keyed] + [(c,) for c, _, _ in fks] + [("_outcome",)]))
+    bits = lambda of: sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in of)
+    counted = (df.withColumn("_outcome", outcome).select(*cols)
+               .groupingSets([[F.col(c) for c in s] for s in sets], *cols)
+               .agg(F.grouping_id().cast("long").alias("_set"), F.count(F.lit(1)).alias("_n")))
+    of_set = lambda s: F.col("_set") == bits(tuple(s))
+    parent_sets = F.col("_set").isin([bits((c,)) for c, _, _ in fks]) if fks else F.lit(False)
+    counted = counted.where(parent_sets | of_set(["_outcome"]) | (F.col("_n") > 1))
     known = F.lit(False)
     if fks:
+        text = F.coalesce(*[F.when(of_set([c]), F.col(c).cast("string")) for c, _, _ in fks])
         parents = None
         for c, parent, pcol in fks:
-            p = parent.select(F.lit(f"{table}.fk({c})").alias("rule"), text([pcol]).alias("value"))
+            p = parent.select(F.lit(bits((c,))).cast("long").alias("_set"), F.col(pcol).cast("string").alias("_value"))
             parents = p if parents is None else parents.unionByName(p)
         parents = parents.distinct().withColumn("_known", F.lit(True))
-        counted = counted.join(parents, ["rule", "value"], "left")
+        counted = counted.withColumn("_value", text).join(parents, ["_set", "_value"], "left")
         known = F.coalesce(F.col("_known"), F.lit(False))
-    bad = (F.when(F.col("kind") == "key", (F.col("n") > 1).cast("int"))
-           .when(F.col("kind") == "parent", F.when(known, 0).otherwise(F.col("n"))).otherwise(F.col("n")))
-    found = counted.groupBy("rule").agg(F.sum(bad).cast("bigint").alias("violations"))
-    # an empty table has no entries: every rule is listed all the same
-    rules = [*[r for r, _ in keyed], *[f"{table}.fk({c})" for c, _, _ in fks], *[r for r, _ in row_rules]]
-    every = df.sparkSession.sql("SELECT 1 AS one").select(F.explode(F.array(*[F.lit(r) for r in rules])).alias("rule"))
-    return every.join(found, "rule", "left").select("rule", F.coalesce("violations", F.lit(0)).cast("bigint")
-                                                    .alias("violations"))
+    found = [(rule, F.count_if(of_set(k) & (F.col("_n") > 1))) for rule, k in keyed]
+    found += [(f"{table}.fk({c})", F.sum(F.when(of_set([c]) & F.col("_value").isNotNull() & ~known, F.col("_n"))))
+              for c, _, _ in fks]
+    found += [(rule, F.sum(F.when(of_set(["_outcome"]) & (F.col("_outcome").bitwiseAND(F.lit(1 << i)) != 0),
+                                  F.col("_n")))) for i, (rule, _) in enumerate(row_rules)]
+    one = counted.agg(*[n.alias(f"r{i}") for i, (_, n) in enumerate(found)])
+    rules = [F.struct(F.lit(rule).alias("rule"), F.coalesce(F.col(f"r{i}"), F.lit(0)).cast("bigint").alias("violations"))
+             for i, (rule, _) in enumerate(found)]
+    return one.select(F.inline(F.array(*rules)))
 
 
 def seed_violations(contests: DataFrame) -> DataFrame:

@@ -11,8 +11,9 @@ single task. :func:`histogram_rank` instead ranks the *distinct values*:
 
 It reproduces SQL ``RANK`` and ``PERCENT_RANK`` exactly, ties included, with
 Spark's NULL order (ASC NULLS FIRST, DESC NULLS LAST). It is the right tool
-for rounded scores (a few thousand distinct values at one decimal); for a
-top-k report over unrounded values use :func:`top_k_with_rank`.
+for rounded scores (a few thousand distinct values at one decimal). For
+unrounded values :func:`range_ranks` ranks and numbers every row, and
+:func:`top_k_with_rank` those of a top-k report.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sosrank.session import stored
+
 
 def _order(col: str, descending: bool) -> Column:
     return F.col(col).desc_nulls_last() if descending else F.col(col).asc_nulls_first()
@@ -131,25 +134,71 @@ def both_ends(df: DataFrame, score: str, k: int, tie_break: Sequence[Column], la
     return hi.withColumn(label_col, F.lit(top_label)).unionByName(lo.withColumn(label_col, F.lit(bottom_label)))
 
 
-def number_rows(df: DataFrame, order_col: str, out_col: str = "position",
-                keys_per_bucket: int = 1_000_000) -> DataFrame:
-    """1-based ``ROW_NUMBER`` by a unique integer key, fully distributed.
+def _ranges(df: DataFrame, order: Sequence[tuple[str, bool]], ties: Sequence[tuple[str, bool]],
+            partitions: int | None) -> tuple[DataFrame, DataFrame]:
+    """``df`` dealt to ranges of ``order`` (column, descending), each row with its range ``_part`` and its place there
+    from 0, ``_place``; and one row a range with the rows before it and where its first value begins.
 
-    Rows are dealt to buckets of ``keys_per_bucket`` neighbouring key values, so a
-    bucket holds at most that many rows whatever the number of rows. Bucket sizes
-    become offsets through a window over the buckets, and rows are numbered inside
-    each bucket. A NULL key comes first.
+    Rows alike in ``order`` are dealt on by ``ties`` and a hash of the whole row, so that a value that a third of all rows share
+    fills many ranges instead of one task. The rows are stored once: range borders come from a sample, and a second
+    evaluation could draw others.
+    """
+    key = F.struct(*[F.col(c) for c, _ in order])
+    dealt = df.select("*", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_spread"))
+    sorting = [*[_order(c, desc) for c, desc in (*order, *ties)], F.col("_spread")]
+    ranged = dealt.repartitionByRange(*([partitions] if partitions else []), *sorting)
+    # an id made in a sorted range holds the range's number and the row's place
+    placed = ranged.sortWithinPartitions(*sorting).withColumn("_id", F.monotonically_increasing_id())
+    rows = stored(placed.select(*df.columns, F.shiftright("_id", 33).alias("_part"),
+                                F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")), "ranges")
+
+    ends = (rows.groupBy("_part")
+            .agg(F.count(F.lit(1)).alias("_n"), F.min_by(key, "_place").alias("_first"),
+                 F.max_by(key, "_place").alias("_last")))
+    tails = (rows.join(F.broadcast(ends.select(F.col("_part").alias("_of_part"), "_last")),
+                       (F.col("_part") == F.col("_of_part")) & key.eqNullSafe(F.col("_last")))
+             .groupBy("_part").agg(F.count(F.lit(1)).alias("_tail")))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    parts = ends.join(tails, "_part").select(
+        "_part", "_first", "_last", "_tail", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    # a value that runs over borders begins in the first range that ends with it
+    begins = parts.groupBy("_last").agg(F.min(F.col("_before") + F.col("_n") - F.col("_tail")).alias("_begin"))
+    begins = begins.withColumnRenamed("_last", "_value")
+    parts = parts.join(begins, F.col("_first").eqNullSafe(F.col("_value")), "left").select(
+        "_part", "_before", "_total", F.coalesce("_begin", "_before").alias("_begin"))
+    return rows, parts
+
+
+def range_ranks(df: DataFrame, order: Sequence[tuple[str, bool]], rank_col: str | None = "rank",
+                percent_col: str | None = None, number_col: str | None = None,
+                ties: Sequence[tuple[str, bool]] = (), partitions: int | None = None) -> DataFrame:
+    """SQL ``RANK``, ``PERCENT_RANK`` and ``ROW_NUMBER`` of every row over any key, without a window over all rows.
+
+    ``order`` lists ``(column, descending)``. Rows are range-partitioned by it; the ranges' counts become offsets
+    (one row a range), and each range ranks its own rows. Ties that run over a border get the rank of where their
+    value begins. Among ties the row number follows ``ties``, then a hash of the row. NULL order is Spark's (ASC NULLS FIRST, DESC
+    NULLS LAST). Runs a job when called: the ranges are stored.
     """
-    key = F.col(order_col)
-    bucket = F.floor(key / F.lit(keys_per_bucket)).cast("bigint")
-    tagged = df.withColumn("_bkt", F.coalesce(bucket, F.lit(-(1 << 62))))
-    sizes = tagged.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_bn"))
-    offsets = sizes.select(
-        F.col("_bkt").alias("_obkt"),
-        F.coalesce(F.sum("_bn").over(Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
-    )
-    inner = F.row_number().over(Window.partitionBy("_bkt").orderBy(key.asc_nulls_first()))
-    out = tagged.join(offsets, F.col("_bkt") == F.col("_obkt")).withColumn(
-        out_col, (F.col("_off") + inner).cast("bigint"))
-    return out.drop("_bkt", "_obkt", "_off")
+    rows, parts = _ranges(df, order, ties, partitions)
+    own = Window.partitionBy("_part").orderBy(*[_order(c, desc) for c, desc in order])
+    # as many rows as ranges, at most the number of shuffle partitions
+    found = rows.join(F.broadcast(parts), "_part")
+    rank = F.col("_before") + F.col("_own")
+    if rank_col or percent_col:
+        found = found.withColumn("_own", F.rank().over(own))
+        rank = F.when(F.col("_own") == 1, F.col("_begin") + 1).otherwise(rank).cast("bigint")
+    outs = []
+    if rank_col:
+        outs.append(rank.alias(rank_col))
+    if percent_col:
+        outs.append(F.when(F.col("_total") > 1, (rank - 1).cast("double") / (F.col("_total") - 1).cast("double"))
+                    .otherwise(F.lit(0.0)).alias(percent_col))
+    if number_col:
+        outs.append((F.col("_before") + F.col("_place") + 1).cast("bigint").alias(number_col))
+    return found.select(*df.columns, *outs)
+
+
+def number_rows(df: DataFrame, order_col: str, out_col: str = "position", partitions: int | None = None) -> DataFrame:
+    """1-based ``ROW_NUMBER`` by a key of any type and spread (a NULL key comes first); see :func:`range_ranks`."""
+    return range_ranks(df, [(order_col, False)], rank_col=None, number_col=out_col, partitions=partitions)

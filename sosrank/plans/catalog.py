@@ -28,6 +28,16 @@ def _raw_rev(t):
     return lb.raw_leaderboard(t.outcomes_reversed, t.competitors)
 
 
+@register("raw_rank_all", osql.raw_rank_all_sql())
+def _raw_all(t):
+    return lb.raw_rank_all(t.outcomes, t.competitors)
+
+
+@register("raw_rank_all_reversed", osql.raw_rank_all_sql(reversed_roles=True))
+def _raw_all_rev(t):
+    return lb.raw_rank_all(t.outcomes_reversed, t.competitors)
+
+
 @register("matchup_leaderboard", osql.matchup_leaderboard_sql())
 def _matchup(t):
     return lb.matchup_leaderboard(t.outcomes, t.competitors, t.matchups)

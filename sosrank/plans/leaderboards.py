@@ -15,7 +15,7 @@ from sosrank.functions.metrics import (
     verdict,
 )
 from sosrank.operators.enrich import dim_view
-from sosrank.operators.ranking import both_ends, histogram_ranks, top_k, top_k_with_rank
+from sosrank.operators.ranking import both_ends, histogram_ranks, range_ranks, top_k, top_k_with_rank
 from sosrank.operators.stats import competitor_stats, round_mean_1dp, win_counts
 
 ADJUSTED_COLUMNS = ["name", "grp", "total_contests", "raw_pct", "adj_pct", "gap", "avg_mult",
@@ -49,6 +49,16 @@ def raw_leaderboard(contests: DataFrame, competitors: DataFrame, min_contests: i
                       F.round("_p", 1).alias("raw_pct")).orderBy("overall_rank", "name")
 
 
+def raw_rank_all(contests: DataFrame, competitors: DataFrame, min_contests: int = 30) -> DataFrame:
+    """Every qualifying competitor with its global RANK and PERCENT_RANK by the unrounded raw rate, best first, and its
+    position (1-based, ties by name)."""
+    wc = win_counts(contests, min_contests).join(dim_view(competitors, "name", {"grp": "grp"}), "name")
+    wc = wc.withColumn("_p", pct("wins", "total_contests"))
+    ranked = range_ranks(wc, [("_p", True)], "overall_rank", "_pr", "position", ties=[("name", False)])
+    return ranked.select("position", "overall_rank", "name", "grp", "total_contests", "wins",
+                         F.round("_p", 1).alias("raw_pct"), F.round(F.col("_pr") * 100.0, 1).alias("behind_pct"))
+
+
 def matchup_leaderboard(contests: DataFrame, competitors: DataFrame, matchups: DataFrame,
                         min_contests: int = 30, k: int = 25) -> DataFrame:
     """Raw and adjusted rate side by side; adjusts by the mean multiplier *rounded to 3 dp*."""

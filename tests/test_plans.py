@@ -25,8 +25,9 @@ def test_totals_collapse_before_the_matrix(spark):
     assert logical.count("Aggregate") >= 2
 
 
-#: These run jobs when called: they write files and read them back, or need a pivot's column names.
-EAGER = {"csv_roundtrip", "contests_csv_roundtrip", "matrix_wide", "matrix_wide_hidden"}
+#: These run jobs when called: they write files and read them back (ranges are stored), or need a pivot's column names.
+EAGER = {"csv_roundtrip", "contests_csv_roundtrip", "matrix_wide", "matrix_wide_hidden", "raw_rank_all",
+         "raw_rank_all_reversed", "roster_numbered"}
 
 
 def test_building_runs_no_job_and_ranks_no_wide_input_in_one_task(spark):

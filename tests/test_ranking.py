@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sosrank.operators.ranking import histogram_ranks, number_rows, top_k_per_group, top_k_with_rank
+from sosrank.operators.ranking import histogram_ranks, number_rows, range_ranks, top_k_per_group, top_k_with_rank
 
 
 def _data(spark, n=600, seed=7):
@@ -43,17 +43,49 @@ def test_top_k_with_rank_is_global_rank(spark):
     assert all(full[i] == rk for i, rk in got.items())
 
 
-def test_number_rows_equals_row_number(spark):
-    df = spark.range(0, 5000).select((F.col("id") * 7 % 5003).alias("k"), F.lit("x").alias("p"))
-    got = {r.k: r.position for r in number_rows(df, "k", keys_per_bucket=800).collect()}
-    assert sorted(got.values()) == list(range(1, 5001))
-    assert all(got[k] == i + 1 for i, k in enumerate(sorted(got)))
+def test_number_rows_equals_row_number_over_hash_like_ids(spark):
+    df = spark.range(0, 5000).select(F.xxhash64("id").alias("k"), F.lit("x").alias("p"))
+    got = {r.k: r.position for r in number_rows(df, "k", partitions=7).collect()}
+    assert [got[k] for k in sorted(got)] == list(range(1, 5001))
+    texts = df.select(F.hex("k").alias("k"))
+    got = {r.k: r.position for r in number_rows(texts, "k").collect()}
+    assert [got[k] for k in sorted(got)] == list(range(1, 5001))
+    some = spark.createDataFrame([(None,), (5,), (-3,)], "k long")
+    assert [r.k for r in number_rows(some, "k").orderBy("position").collect()] == [None, -3, 5]
+    assert number_rows(some.limit(0), "k").count() == 0
 
 
-def test_number_rows_single_bucket(spark):
-    df = spark.range(0, 300).select((F.col("id") * 7 % 301).alias("k"))
-    got = [r.k for r in number_rows(df, "k").orderBy("position").collect()]
-    assert got == sorted(got)
+def test_range_ranks_match_windows_with_ties_over_borders(spark):
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice([None, 7.5, 7.5, 7.5, rnd.random(), -0.5, float("nan")]), rnd.choice("ab")) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, v double, s string")
+    for order in ([("v", True)], [("v", False)], [("s", False), ("v", True)]):
+        keys = [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_first() for c, d in order]
+        w, full = Window.orderBy(*keys), Window.orderBy(*keys, F.col("id").desc())
+        want = df.select("id", F.rank().over(w).alias("r"), F.percent_rank().over(w).alias("p"),
+                         F.row_number().over(full).alias("n")).collect()
+        # more ranges than values: the value that half of the rows share lies over several borders
+        got = range_ranks(df, order, "r", "p", "n", ties=[("id", True)], partitions=16).collect()
+        assert sorted((g.id, g.r, g.p, g.n) for g in got) == sorted((x.id, x.r, x.p, x.n) for x in want)
+    assert range_ranks(df.limit(0), [("v", True)], "r", "p", "n").count() == 0
+    one = range_ranks(df.limit(1), [("v", True)], "r", "p", "n").first()
+    assert (one.r, one.p, one.n) == (1, 0.0, 1)
+
+
+def test_no_window_of_range_ranks_covers_all_rows(spark):
+    df = spark.range(0, 4000).select("id", (F.col("id") % 3).cast("double").alias("v"))
+    out = range_ranks(df, [("v", True)], "r", "p", "n", partitions=8)
+    rows = out.groupBy(F.spark_partition_id()).count().collect()
+    assert out.count() == 4000 and rows
+    # ranges, ties split: no range holds more than a share of the rows
+    from sosrank.operators.ranking import _ranges
+    sizes = [r["count"] for r in _ranges(df, [("v", True)], [], 8)[0].groupBy("_part").count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 1500
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        if "Window [" in line and "_total" not in line and "_before" not in line and "sum(_n" not in line:
+            assert "_part" in line, line
+
 
 
 def test_top_k_per_group_plans_partial_group_limit(spark):
