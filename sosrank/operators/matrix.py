@@ -81,14 +81,17 @@ def matrix_wide(matchups: DataFrame, order: Sequence[str], hide_neutral: bool =
                 neutral: float = NEUTRAL_MULTIPLIER) -> DataFrame:
     """Pivot to one row per attacker group and one column per group in ``order``.
 
-    ``order`` is the canonical column order (the groups to show); a cell absent
-    from the long matrix is NULL and ``hide_neutral`` blanks the neutral cells.
-    The explicit value list spares the pivot its distinct-values job. Rows are the
-    attacker groups present, in the order of ``order``; groups outside it are left out.
+    ``order`` is the canonical order; rows are the attacker groups present, columns
+    the defender groups present, both in that order, and groups outside it are left
+    out. A cell absent from the long matrix is NULL and ``hide_neutral`` blanks the
+    neutral cells. The columns are part of the plan, so the defender groups, one a
+    column, are read first.
     """
+    present = {r.def_grp for r in matchups.select("def_grp").distinct().collect()}
+    columns = [g for g in order if g in present]
     value = F.col("multiplier")
     if hide_neutral:
         value = F.when(value != F.lit(neutral), value)
-    wide = matchups.withColumn("_v", value).groupBy("att_grp").pivot("def_grp", list(order)).agg(F.max("_v"))
+    wide = matchups.withColumn("_v", value).groupBy("att_grp").pivot("def_grp", columns).agg(F.max("_v"))
     at = F.array_position(F.array(*[F.lit(g) for g in order]), F.col("att_grp"))
-    return wide.where(at > 0).orderBy(at).select("att_grp", *order)
+    return wide.where(at > 0).orderBy(at).select("att_grp", *columns)

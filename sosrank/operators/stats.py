@@ -36,7 +36,7 @@ def win_counts(contests: DataFrame, min_contests: int | None = None) -> DataFram
 
 
 def schedule_totals(contests: DataFrame, competitors: DataFrame, matchups: DataFrame,
-                    default: float = NEUTRAL_MULTIPLIER) -> DataFrame:
+                    default: float = NEUTRAL_MULTIPLIER, by_part: DataFrame | None = None) -> DataFrame:
     """Per (attacker, att_grp): total_contests, wins and mult_sum (sum of multipliers).
 
     Contests are collapsed to counts per ``(attacker, def_grp)`` before the
@@ -44,10 +44,16 @@ def schedule_totals(contests: DataFrame, competitors: DataFrame, matchups: DataF
     per attacker. The defender join is the only join of fact rows; whether it is
     broadcast is left to Spark, which measures the side. Multipliers are summed
     as decimals of nine places, so the sum does not depend on the order of rows.
+
+    ``by_part`` is the dimension once a part (``Model.competitors_by_part``); ``contests`` then have a ``part`` as
+    well (``Model.outcomes_by_defender``), and the two meet bucket by bucket.
     """
-    c = contests.select("attacker", "defender", win_flag().alias("_w"))
+    spread = [] if by_part is None else ["part"]
+    c = contests.select("attacker", "defender", *spread, win_flag().alias("_w"))
+    defenders = role_view(competitors if by_part is None else by_part, "defender",
+                          {"grp": "def_grp", **{p: p for p in spread}})
     per_grp = (
-        c.join(role_view(competitors, "defender", {"grp": "def_grp"}), "defender")
+        c.join(defenders if by_part is None else defenders.hint("merge"), ["defender", *spread])
         .groupBy("attacker", "def_grp")
         .agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_wins"))
     )
@@ -62,17 +68,18 @@ def schedule_totals(contests: DataFrame, competitors: DataFrame, matchups: DataF
 
 
 def competitor_stats(contests: DataFrame, competitors: DataFrame, matchups: DataFrame,
-                     min_contests: int = 30, default: float = NEUTRAL_MULTIPLIER) -> DataFrame:
+                     min_contests: int = 30, default: float = NEUTRAL_MULTIPLIER,
+                     by_part: DataFrame | None = None) -> DataFrame:
     """Per competitor with at least ``min_contests`` contests as attacker.
 
     Columns: name, grp, total_contests, wins, raw_pct, adj_pct (by the unrounded
     mean multiplier), avg_mult (rounded to 3 dp), mean_mult (unrounded).
     """
-    return stats_from_totals(schedule_totals(contests, competitors, matchups, default), min_contests)
+    return stats_from_totals(schedule_totals(contests, competitors, matchups, default, by_part), min_contests)
 
 
 def stats_from_totals(totals: DataFrame, min_contests: int = 30) -> DataFrame:
-    """Rates from per-(attacker, att_grp) totals (``schedule_totals`` or its streaming state)."""
+    """Rates from per-(attacker, att_grp) totals (``schedule_totals``)."""
     t = totals.where(F.col("total_contests") >= F.lit(min_contests))
     mean = safe_div("mult_sum", "total_contests")
     return t.select(

@@ -304,3 +304,7 @@ def _contests_csv(t):
 def _csv(t):
     return lk.csv_roundtrip(t.spark, t.competitors)
 
+
+@register("contests_csv_rejects", osql.contests_csv_rejects_sql())
+def _rejects(t):
+    return lk.contests_csv_rejects(t.spark, t.outcomes)

@@ -69,22 +69,25 @@ def matchup_leaderboard(contests: DataFrame, competitors: DataFrame, matchups: D
 
 
 def adjusted_win_rate(contests: DataFrame, competitors: DataFrame, matchups: DataFrame,
-                      min_contests: int = 30, tag_labels: dict | None = None) -> DataFrame:
+                      min_contests: int = 30, tag_labels: dict | None = None,
+                      by_part: DataFrame | None = None) -> DataFrame:
     """The headline, ordered by adjusted rate (best first); see :func:`adjusted_rows`."""
-    return adjusted_rows(contests, competitors, matchups, min_contests, tag_labels).orderBy(
+    return adjusted_rows(contests, competitors, matchups, min_contests, tag_labels, by_part).orderBy(
         F.col("adj_pct").desc_nulls_last(), F.col("name"))
 
 
 def adjusted_rows(contests: DataFrame, competitors: DataFrame, matchups: DataFrame,
-                  min_contests: int = 30, tag_labels: dict | None = None) -> DataFrame:
+                  min_contests: int = 30, tag_labels: dict | None = None,
+                  by_part: DataFrame | None = None) -> DataFrame:
     """The headline: adjusted rate, gap, rank in group, global percentile and tag, all qualifying rows.
 
     ``rank_in_grp`` is RANK within the group by the rounded adjusted rate
     (descending); ``percentile`` is PERCENT_RANK by the same value ascending,
     x100, 1 dp. Both come from :func:`histogram_ranks`, so no window sees more
-    than the distinct values of the score.
+    than the distinct values of the score. ``by_part``: see ``stats.schedule_totals``.
     """
-    return rank_adjusted(competitor_stats(contests, competitors, matchups, min_contests), tag_labels)
+    stats = competitor_stats(contests, competitors, matchups, min_contests, by_part=by_part)
+    return rank_adjusted(stats, tag_labels)
 
 
 def rank_adjusted(s: DataFrame, tag_labels: dict | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sosrank.functions.labels import pad_id, pct_text, signed_text, thousands, title_case
 from sosrank.functions.metrics import pct, win_flag
@@ -16,7 +17,7 @@ from sosrank.operators.quality import check_constraints
 from sosrank.plans.leaderboards import adjusted_rows
 from sosrank.schemas import COMPETITOR_COLUMNS, COMPETITORS
 from sosrank.session import scratch_path
-from sosrank.sources.files import read_table, write_csv
+from sosrank.sources.files import read_table, read_with_rejects, write_csv
 
 
 def competitor_report(competitors: DataFrame, contests: DataFrame, matchups: DataFrame,
@@ -126,3 +127,24 @@ def contests_csv_roundtrip(spark: SparkSession, contests: DataFrame) -> DataFram
     write_csv(text, path, CONTEST_COLUMNS)
     back = read_table(spark, path, CONTESTS_TEXT_DATE, "csv")
     return back.withColumn("contest_date", F.to_date("contest_date", "yyyy-MM-dd"))
+
+
+#: The lean contest as text: everything but the date and the strengths may hold any text.
+OUTCOMES_CSV = StructType.fromDDL("contest_id STRING NOT NULL, attacker STRING NOT NULL, defender STRING NOT NULL, "
+                                  "winner STRING, att_strength INT, def_strength INT, contest_date DATE")
+
+
+def contests_csv_rejects(spark: SparkSession, outcomes: DataFrame) -> DataFrame:
+    """The rejected records, with reasons, of contests written as text lines with faults by the sides' strengths:
+    values of another type, missing and left-over fields, empty keys."""
+    s = (F.col("att_strength") + F.col("def_strength")) % 97
+    text = {f.name: F.coalesce(F.col(f.name).cast("string"), F.lit("")) for f in OUTCOMES_CSV.fields}
+    text["att_strength"] = F.when(s.isin(1, 2), F.lit("strong")).otherwise(text["att_strength"])
+    text["contest_date"] = F.when(s.isin(2, 3), F.lit("someday")).otherwise(text["contest_date"])
+    text["attacker"] = F.when(s == 4, F.lit("")).otherwise(text["attacker"])
+    line = F.concat_ws(",", *text.values())
+    short = F.concat_ws(",", *list(text.values())[:4])
+    line = F.when(s == 5, short).when(s == 6, F.concat(line, F.lit(",more"))).otherwise(line)
+    path = scratch_path(spark, f"lines-{uuid.uuid4().hex}")
+    outcomes.select(line.alias("value")).write.text(path)
+    return read_with_rejects(spark, path, OUTCOMES_CSV, header=False)[1]

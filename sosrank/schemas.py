@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Column names, types and orders of the model and of its payloads.
 STAT_COLUMNS = ["hp", "attack", "defense", "sp_atk", "sp_def", "speed"]
 
 COMPETITORS = T.StructType(

@@ -1,8 +1,8 @@
 """Nested-payload ingestion: one JSON document per row in a string column.
 
-Everything is parsed with ``from_json`` against a declared schema and unpacked
-with built-in array functions (``transform``, ``filter``, ``inline``) -- no
-per-row Python.
+Payloads are parsed once, to a VARIANT or with ``from_json`` against a declared
+schema, and unpacked with built-in array functions (``transform``, ``filter``,
+``inline``) -- no per-row Python.
 """
 
 from __future__ import annotations
@@ -41,34 +41,38 @@ def stats_from_array(stats: Column) -> list[Column]:
     return [last(api).alias(col) for api, col in STAT_NAME_MAP]
 
 
-def key_or_default(json_col: Column, key: str, path: str, default: str = "") -> Column:
-    """Value at ``path``; ``default`` only when ``key`` is absent (an explicit null stays NULL).
-
-    ``get_json_object`` cannot tell an absent key from a null value, so the
-    key's presence is checked on the object's key list.
-    """
-    parent = path.rsplit(".", 1)[0]
-    keys = F.json_object_keys(F.get_json_object(json_col, parent))
-    return F.when(F.array_contains(keys, F.lit(key)), F.get_json_object(json_col, path)).otherwise(F.lit(default))
+def value_or_default(doc: Column, path: str, default: str = "") -> Column:
+    """Text at ``path`` of a VARIANT; ``default`` only where the key is absent (an explicit null stays NULL)."""
+    found = F.try_variant_get(doc, path, "variant")
+    return F.when(found.isNull(), F.lit(default)).otherwise(F.try_variant_get(doc, path, "string"))
 
 
 def profiles_from_json(df: DataFrame, payload_col: str = "payload") -> DataFrame:
-    """Competitor rows from profile payloads.
+    """Competitor rows from profile payloads, each parsed once to a VARIANT.
 
     Ordered type list: the first is the group, the second (or NULL) the second
     group; strength is the sum of the six stats; the image URL defaults to ""
     only when the ``front_default`` key is absent. Failed payloads are dropped.
     """
-    p = drop_failed(parse_json(df, payload_col, PROFILE_PAYLOAD), "_doc.id", "_doc.name")
+    field = {f.name: f.dataType.simpleString() for f in PROFILE_PAYLOAD.fields}
+
+    def unpacked(doc: Column) -> Column:
+        part = lambda name: F.try_variant_get(doc, f"$.{name}", field[name])
+        return F.struct(part("id").alias("id"), part("name").alias("name"), part("types").alias("types"),
+                        part("stats").alias("stats"),
+                        value_or_default(doc, "$.sprites.front_default").alias("image_url"))
+
+    # unpacked as the one entry of a list: filters on its fields then stay above the parse instead of repeating it
+    once = F.transform(F.array(F.try_parse_json(F.col(payload_col))), unpacked)
+    p = drop_failed(df.select(F.explode(once).alias("_doc")), "_doc.id", "_doc.name")
     types = F.transform(F.col("_doc.types"), lambda t: t["type"]["name"])
-    stats = stats_from_array(F.col("_doc.stats"))
     out = p.select(
         F.col("_doc.id").alias("id"),
         F.col("_doc.name").alias("name"),
         F.get(types, 0).alias("grp"),
         F.get(types, 1).alias("grp2"),
-        *stats,
-        key_or_default(F.col(payload_col), "front_default", "$.sprites.front_default").alias("image_url"),
+        *stats_from_array(F.col("_doc.stats")),
+        F.col("_doc.image_url").alias("image_url"),
     )
     strength = None
     for c in STAT_COLUMNS:

@@ -29,3 +29,16 @@ def make_contests(spark, rows):
         day = r[3] if len(r) > 3 else dt.date(2024, 1, 1) + dt.timedelta(days=i)
         out.append((f"c{i:05d}", a, d, a if won else d, None, None, None, None, None, day))
     return spark.createDataFrame(out, CONTESTS)
+
+
+def ancestors(plan: str, marker: str) -> list[str]:
+    """The operators of a printed plan above the first line that holds ``marker``, the nearest first."""
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if marker in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    above, level = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < level:
+            above.append(line)
+            level = depth(line)
+    return above

@@ -22,3 +22,13 @@ def test_failed_records_go_and_the_last_stat_counts(spark):
     rows = [(1, None), (2, "{bad"), (3, "[]"), (4, ""), (5, json.dumps(doc))]
     out = nested.profiles_from_json(spark.createDataFrame(rows, "k long, payload string")).collect()
     assert len(out) == 1 and out[0].hp == 7 and out[0].strength == 17
+
+
+def test_profiles_parse_once_and_tell_an_absent_key_from_a_null(spark):
+    base = {"id": 1, "name": "e", "types": [{"type": {"name": "g"}}], "stats": []}
+    docs = [{**base, "id": i, "sprites": s} for i, s in enumerate(({}, {"front_default": None}, {"front_default": "u"}))]
+    rows = [(json.dumps(d),) for d in [*docs, {**base, "id": 3}, {**base, "id": 4, "sprites": None}]]
+    out = nested.profiles_from_json(spark.createDataFrame(rows, "payload string"))
+    assert {r.id: r.image_url for r in out.collect()} == {0: "", 1: None, 2: "u", 3: "", 4: ""}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("ParseJson") == 1 or plan.count("parseJson") == 1, plan

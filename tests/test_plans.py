@@ -27,7 +27,7 @@ def test_totals_collapse_before_the_matrix(spark):
 
 #: These run jobs when called: they write files and read them back (ranges are stored), or need a pivot's column names.
 EAGER = {"csv_roundtrip", "contests_csv_roundtrip", "matrix_wide", "matrix_wide_hidden", "raw_rank_all",
-         "raw_rank_all_reversed", "roster_numbered"}
+         "raw_rank_all_reversed", "roster_numbered", "contests_csv_rejects"}
 
 
 def test_building_runs_no_job_and_ranks_no_wide_input_in_one_task(spark):
@@ -112,6 +112,28 @@ def test_wide_matrix_rows_in_canonical_order(spark):
     assert [r.att_grp for r in matrix.matrix_wide(t.matchups, order[::-1]).collect()] == order[::-1]
 
 
+def test_wide_matrix_shows_present_groups_only(spark):
+    from sosrank.operators import matrix
+
+    cells = [("b", "a", 2.0), ("b", "c", 1.0), ("c", "a", 0.5), ("x", "c", 0.0)]
+    m = spark.createDataFrame(cells, "att_grp string, def_grp string, multiplier double")
+    wide = matrix.matrix_wide(m, ["a", "b", "c", "d"])
+    assert wide.columns == ["att_grp", "a", "c"]
+    assert [tuple(r) for r in wide.collect()] == [("b", 2.0, 1.0), ("c", 0.5, None)]
+
+
+def test_recent_contests_travel_as_three_columns(spark):
+    import re
+
+    t = Tables(spark, SF_SMALL)
+    plan = pairs.recent_contests_all(t.contests)._jdf.queryExecution().executedPlan().toString().splitlines()
+    sent = [i for i, line in enumerate(plan) if re.search(r"Exchange hashpartitioning\(competitor", line)]
+    assert len(sent) == 1
+    limit = next(line for line in plan[sent[0]:] if "Sort [" in line)
+    narrow = next(line for line in plan[sent[0]:] if "Project" in line or "Generate" in line)
+    assert "contest_date" in limit and "multiplier" not in narrow and "att_grp" not in narrow
+
+
 def test_model_partitioned_by_month(spark):
     from sosrank.sources.load import materialize_model
     m = materialize_model(Tables(spark, SF_SMALL))
