@@ -35,8 +35,6 @@ MIN_COUNT = 12
 #: A round replaces the pairs that are at least this share as frequent as the most frequent one; the rest wait, as
 #: their counts change by the replacements.
 ROUND_SHARE = 1 / 64
-#: Size of the table that pairs are counted in: it stays in a core's cache.
-_HASH_BITS = 18
 
 
 @dataclass
@@ -48,7 +46,7 @@ class Grammar:
     rules: np.ndarray
     rounds: np.ndarray
     base: int
-    starts: np.ndarray
+    starts: np.ndarray  # of each document's symbols, and where the last ends
 
     def lengths(self) -> np.ndarray:
         """How many ids each nonterminal expands to; a rule only uses symbols of earlier rounds."""
@@ -62,12 +60,12 @@ class Grammar:
         return out
 
 
-def _chosen(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def _chosen(at: np.ndarray, rank: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Which of the pairs at places ``at`` (ascending) are replaced: of two that overlap the better rank, in a run of
-    one pair every second."""
+    one pair every second. ``after`` is the place of each pair's second symbol."""
     n = len(at)
     touches = np.zeros(n + 1, bool)  # whether a pair overlaps the one before it
-    touches[1:n] = at[1:] == at[:-1] + 1
+    touches[1:n] = at[1:] == after[:-1]
     same, better_before, better_after = (np.zeros(n, bool) for _ in range(3))
     same[1:] = touches[1:n] & (rank[1:] == rank[:-1])
     better_before[1:] = touches[1:n] & (rank[:-1] < rank[1:])
@@ -77,71 +75,133 @@ def _chosen(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return ((place - run) % 2 == 0) & ~better_after & ~(better_before[run] & (place == run))
 
 
+def _by_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both sorted by key, then value (neither negative): as one number where the two fit in it, which is far faster."""
+    if not len(keys):
+        return keys, values
+    bits = int(values.max()).bit_length()
+    if int(keys.max()).bit_length() + bits <= 63:
+        both = np.sort((keys << bits) | values)
+        return both >> bits, both & ((1 << bits) - 1)
+    order = np.lexsort((values, keys))
+    return keys[order], values[order]
+
+
+class _Pairs:
+    """The pairs that occur MIN_COUNT times or more: their symbols, counts and places.
+
+    A pair's count only falls once it is known, so that rarer ones are never looked at again.
+    """
+
+    def __init__(self, n: int, base: int):
+        self.symbol_bits = (base + n).bit_length()
+        self.marked = np.zeros(n, bool)
+        self.of = np.full(n, -1, np.int64)  # place -> number of the pair that begins there
+        self.keys = np.zeros(0, np.int64)
+        self.counts = np.zeros(0, np.int64)
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.places = np.zeros(0, np.int64)
+
+    def distinct(self, *places: np.ndarray) -> np.ndarray:
+        """Places, ascending, each once; below 0 is none."""
+        for p in places:
+            self.marked[p[p >= 0]] = True
+        out = np.flatnonzero(self.marked)
+        self.marked[out] = False
+        return out
+
+    def add(self, places: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+        """Pairs that were not there before, at ``places``."""
+        ranked, places = _by_key((left << self.symbol_bits) | right, places)
+        starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else ranked
+        sizes = np.diff(np.concatenate([starts, [len(ranked)]]))
+        often = sizes >= MIN_COUNT
+        if not often.any():
+            return
+        held = places[np.repeat(often, sizes)]
+        sizes, number = sizes[often], len(self.counts) + np.arange(int(often.sum()))
+        self.of[held] = np.repeat(number, sizes)
+        self.keys = np.concatenate([self.keys, ranked[starts[often]]])
+        self.counts = np.concatenate([self.counts, sizes])
+        self.first = np.concatenate([self.first, len(self.places) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.places = np.concatenate([self.places, held])
+
+    def drop(self, places: np.ndarray) -> None:
+        """The pairs at ``places`` (each once) are gone."""
+        lost = self.of[places]
+        self.of[places] = -1
+        self.counts -= np.bincount(lost[lost >= 0], minlength=len(self.counts))
+
+    def at(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs ``numbers``, ascending, and which of them each is."""
+        sizes = self.size[numbers]
+        which = np.repeat(np.arange(len(numbers)), sizes)
+        index = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes - self.first[numbers], sizes)
+        places = self.places[index]
+        still = self.of[places] == numbers[which]
+        return _by_key(places[still], which[still])
+
+    def symbols(self, numbers: np.ndarray) -> np.ndarray:
+        """The two symbols of each pair."""
+        keys = self.keys[numbers]
+        return np.stack([keys >> self.symbol_bits, keys & ((1 << self.symbol_bits) - 1)], axis=1)
+
+
 def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> Grammar:
-    """Re-Pair over ``ids`` (each below ``base``); documents start at ``starts``, the last of which is ``len(ids)``."""
+    """Re-Pair over ``ids`` (each below ``base``); documents start at ``starts``, the last of which is ``len(ids)``.
+
+    Symbols are a list linked by place. Pairs are counted once; a round only touches the places of the pairs that it
+    replaces and their neighbours, where all new pairs hold a symbol of the round.
+    """
+    n = len(ids)
     seq = ids.astype(np.int64)
-    last = np.zeros(len(seq), bool)
-    ends = starts[1:][np.diff(starts) > 0] - 1
-    last[ends] = True
-    rules, rounds, size = [], [], base
-    mask = (1 << _HASH_BITS) - 1
-    pair_of = np.zeros(mask + 1, np.int64)
-    while len(seq) > 1:
-        # one pair a bucket of a hash table is counted; the few others in it wait for a round with another hash
-        keys = (seq[:-1] << 32) | seq[1:]
-        bucket = ((keys * (0x2545F4914F6CDD1D + 2 * len(rounds))) >> 40) & mask
-        bucket[last[:-1]] = mask
-        keys[last[:-1]] = -1
-        pair_of[bucket] = keys
-        counted = (pair_of[bucket] == keys) & (keys >= 0)
-        counts = np.bincount(bucket[counted], minlength=mask + 1)
-        good = np.flatnonzero(counts >= max(MIN_COUNT, int(counts.max() * ROUND_SHARE)))
-        if len(good):
-            good = good[np.argsort(-counts[good], kind="stable")]
-            picked, slots = pair_of[good], bucket
-        else:  # a pair may have lost its bucket to a rarer one: count all exactly before ending
-            found, slots, counts = np.unique(keys, return_inverse=True, return_counts=True)
-            good = np.flatnonzero((counts >= MIN_COUNT) & (found >= 0))
-            if not len(good):
-                break
-            good = good[np.argsort(-counts[good], kind="stable")]
-            picked, counted = found[good], keys >= 0
-        place = np.full(max(len(counts), mask + 1), -1, np.int32)
-        place[good] = np.arange(len(good), dtype=np.int32)
-        rank = place[slots]
-        at = np.flatnonzero((rank >= 0) & counted)
-        rank = rank[at]
-        take = _chosen(at, rank)
-        hit = at[take]
-        seq[hit] = size + rank[take]
-        keep = np.ones(len(seq), bool)
-        keep[hit + 1] = False
-        last[hit] = last[hit + 1]
-        seq, last = seq[keep], last[keep]
-        rules.append(np.stack([picked >> 32, picked & 0xFFFFFFFF], axis=1))
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    edges = starts[(starts > 0) & (starts < n)]
+    after[edges - 1], before[edges] = -1, -1  # documents are lists of their own
+    if n:
+        after[-1] = -1
+    alive = np.ones(n, bool)
+    pairs, rules, rounds, size = _Pairs(n, base), [], [], base
+    whole = np.flatnonzero(after >= 0)
+    pairs.add(whole, seq[whole], seq[after[whole]])
+    while len(pairs.counts) and pairs.counts.max() >= MIN_COUNT:
+        picked = np.flatnonzero(pairs.counts >= max(MIN_COUNT, int(pairs.counts.max() * ROUND_SHARE)))
+        picked = picked[np.argsort(-pairs.counts[picked], kind="stable")]
+        at, rank = pairs.at(picked)
+        take = _chosen(at, rank, after[at])
+        hit, rank = at[take], rank[take]
+        second, previous = after[hit], before[hit]
+        # pairs that end or begin with a replaced symbol are gone, each once
+        pairs.drop(pairs.distinct(hit, second, previous))
+        seq[hit] = size + rank
+        alive[second] = False
+        following = after[second]
+        after[hit] = following
+        before[following[following >= 0]] = hit[following >= 0]
+        rules.append(pairs.symbols(picked))
+        new = pairs.distinct(hit, before[hit])  # where the symbol before was replaced as well, its new one
+        new = new[after[new] >= 0]
+        pairs.add(new, seq[new], seq[after[new]])
         rounds.append(len(picked))
         size += len(picked)
-    symbol_starts = np.zeros(len(starts), np.int64)
-    lasts = np.flatnonzero(last) + 1
-    symbol_starts[1:] = np.concatenate([[0], lasts])[np.cumsum(np.diff(starts) > 0)]
+    symbol_starts = np.concatenate([[0], np.cumsum(alive)])[starts]
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return Grammar(seq.astype("<u4"), table.astype("<u4"), np.array(rounds, np.int64), base, symbol_starts)
+    return Grammar(seq[alive].astype("<u4"), table.astype("<u4"), np.array(rounds, np.int64), base, symbol_starts)
 
 
 def expand(g: Grammar, symbols: np.ndarray) -> np.ndarray:
-    """The ids of a stretch of symbols: nonterminals are replaced by their rules, the latest round first."""
+    """The ids of a stretch of symbols: all nonterminals are replaced by their rules until none is left."""
     out = symbols.astype(np.int64)
-    low = g.base + len(g.rules)
-    for n in g.rounds[::-1].tolist():
-        low -= n
-        hit = out >= low
-        if hit.any():
-            wide = np.repeat(out, 1 + hit)
-            at = np.flatnonzero(hit) + np.arange(hit.sum())
-            pair = g.rules[out[hit] - g.base].astype(np.int64)
-            wide[at], wide[at + 1] = pair[:, 0], pair[:, 1]
-            out = wide
-    return out.astype("<u4")
+    while True:
+        hit = out >= g.base
+        if not hit.any():
+            return out.astype("<u4")
+        wide = np.repeat(out, 1 + hit)
+        at = np.flatnonzero(hit) + np.arange(hit.sum())
+        pair = g.rules[out[hit] - g.base].astype(np.int64)
+        wide[at], wide[at + 1] = pair[:, 0], pair[:, 1]
+        out = wide
 
 
 def _pack(symbols: np.ndarray) -> bytes:
@@ -179,13 +239,47 @@ def decode_document(record: dict, i: int) -> np.ndarray:
     return expand(g, g.symbols[g.starts[i]:g.starts[i + 1]])
 
 
+def decode_stretch(record: dict, i: int, start: int, stop: int) -> np.ndarray:
+    """The ids ``start`` to ``stop`` (exclusive) of the shard's ``i``-th document.
+
+    The stored expansion lengths tell which symbols the stretch lies in; a nonterminal at either end that reaches over
+    it is opened until its parts do not, so that little more than the stretch itself is expanded.
+    """
+    g = grammar_of(record)
+    lengths = np.frombuffer(record["rule_lengths"], "<u4").astype(np.int64)
+    symbols = g.symbols[g.starts[i]:g.starts[i + 1]].astype(np.int64)
+    size = lambda s: np.where(s >= g.base, lengths[np.maximum(s - g.base, 0)], 1) if len(lengths) else np.ones_like(s)
+    while True:
+        ends = np.cumsum(size(symbols))
+        start, stop = max(0, start), min(stop, int(ends[-1]) if len(ends) else 0)
+        if start >= stop:
+            return np.zeros(0, "<u4")
+        first, last = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left"))
+        skipped = int(ends[first - 1]) if first else 0
+        symbols, ends = symbols[first:last + 1], ends[first:last + 1] - skipped
+        start, stop = start - skipped, stop - skipped
+        open_first = start > 0 and symbols[0] >= g.base
+        open_last = stop < ends[-1] and symbols[-1] >= g.base
+        if not open_first and not open_last:
+            return expand(g, symbols)
+        parts = [g.rules[symbols[0] - g.base].astype(np.int64)] if open_first else [symbols[:1]]
+        if len(symbols) > 1:
+            parts += [symbols[1:-1], g.rules[symbols[-1] - g.base].astype(np.int64) if open_last else symbols[-1:]]
+        elif not open_first:
+            parts = [g.rules[symbols[0] - g.base].astype(np.int64)]
+        symbols = np.concatenate(parts)
+
+
 def _plain_id(kind: str) -> str:
     return "long" if kind == "bigint" else kind
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, base: int = 1 << 16, shard_tokens: int = SHARD_TOKENS,
-                 id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode all documents in ascending order of their id and write the shards to ``path`` as Parquet."""
+def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id",
+                 text_col: str = "text") -> None:
+    """Encode all documents in ascending order of their id and write the shards to ``path`` as Parquet.
+
+    Nonterminals are numbered from the vocabulary's size on.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(tokenizer))
     rows = id_text(docs, id_col, text_col)
@@ -197,6 +291,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, base: int = 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = word_encoder(tokenizer, shared.value), TaskContext.get().partitionId(), 0
+        base = max(len(encoder.ends), END_ID + 1)
         ids: list = []
         packed: list[bytes] = []
         held = 0

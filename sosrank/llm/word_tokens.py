@@ -1,20 +1,20 @@
 """Token ids of whole texts by the ``tokenizers`` library, for the operators that store or pack them.
 
 The vocabulary drops white space and never joins across it, so a text's ids are those of its words in turn. Words
-recur: each worker process remembers the ids of the first WORDS words and RUNS runs that it meets, and encodes others
-with the library each time. A text with white space on which Python and the library might differ
-is encoded whole.
+recur: each worker process numbers the first WORDS words that it meets and keeps their ids; a batch's other words are
+encoded once a batch. The ids of a batch are then gathered by word number. A text with white space on which Python and
+the library might differ counts as one word.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 
-#: Words, and runs of their signs, whose ids a worker process remembers.
-WORDS, RUNS = 350_000, 450_000
+#: Words whose ids a worker process remembers, and the longest that it remembers.
+WORDS, WORD_CHARS = 450_000, 64
 #: Runs that are encoded in one text, and texts in one call.
 JOINED, CALL = 256, 32
 _RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
@@ -24,88 +24,113 @@ _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
-class WordEncoder(dict):
-    """Word -> its ids as little-endian unsigned 32-bit integers."""
+class _Numbers(dict):
+    """Word -> number; words that are not remembered are numbered on from there, for the present batch."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        return len(self) + self.fresh.setdefault(word, len(self.fresh))
+
+
+def _stretches(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places ``first``, ``first + 1``, ... of each stretch, one stretch after the other."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - first, size)
+
+
+def _cut(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    data, cuts = ids.tobytes(), (4 * ends).tolist()
+    return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+
+class WordEncoder:
+    """Encodes batches of texts; ids are little-endian unsigned 32-bit integers."""
 
     def __init__(self, vocabulary_json: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_str(vocabulary_json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         # runs need no normalising and no splitting but at the blanks between them; the model is shared
         self.run_tokenizer = Tokenizer(self.tokenizer.model)
         self.run_tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.runs: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _encode_runs(self, runs: list[str]) -> dict[str, bytes]:
-        """Ids of runs, many in one call: each ends with a word-end token."""
-        out: dict[str, bytes] = {}
-        for at in range(0, len(runs), JOINED * CALL):
-            some = runs[at:at + JOINED * CALL]
-            texts = [" ".join(some[i:i + JOINED]) for i in range(0, len(some), JOINED)]
-            found = self.run_tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            ids = np.fromiter(chain.from_iterable(e.ids for e in found), "<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(cuts) != len(some):
-                raise ValueError("the vocabulary does not mark word ends as expected")
-            packed = ids.tobytes()
-            out.update((run, packed[a:b]) for run, a, b in zip(some, [0, *cuts], cuts, strict=False))
-        return out
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        get, split, missing = self.get, [], {}
-        for text in texts:
-            if _RARE_SPACE.search(text):
-                split.append(self.whole(text))
-                continue
-            words = text.split()
-            parts = list(map(get, words))
-            if None in parts:
-                for i, p in enumerate(parts):
-                    if p is None:
-                        missing[words[i]] = None
-                        parts[i] = words[i]
-            split.append(parts)
-        self._learn(missing)
-        return [p if isinstance(p, bytes) else b"".join([x if isinstance(x, bytes) else missing[x] for x in p])
-                if missing else b"".join(p) for p in split]
-
-    def _learn(self, missing: dict[str, bytes | None]) -> None:
-        """Fill in the ids of words that are not remembered."""
-        known, single, several, others, new = self.runs, {}, {}, [], {}
-        for word in missing:
+        self.numbers = _Numbers()
+        self.ids, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64)  # of the remembered words, by number
+
+    def _encode_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs one after the other, and how many each has: a run ends with its first word-end token."""
+        texts = [" ".join(runs[i:i + JOINED]) for i in range(0, len(runs), JOINED)]
+        ids = [np.zeros(0, "<u4")]
+        for at in range(0, len(texts), CALL):
+            found = self.run_tokenizer.encode_batch_fast(texts[at:at + CALL], add_special_tokens=False)
+            ids.append(np.fromiter(chain.from_iterable(e.ids for e in found), "<u4"))
+        ids = np.concatenate(ids)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(runs):
+            raise ValueError("the vocabulary does not mark word ends as expected")
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and how many each has."""
+        runs: dict[str, int] = {}
+        others: list[str] = []
+        parts, counts = [], []
+        for word in words:
             if word.isascii() and word.isalpha():
-                single[word] = runs = word.lower()
-                if runs not in known:
-                    new[runs] = None
+                parts.append(runs.setdefault(word.lower(), len(runs)))
+                counts.append(1)
             elif _PLAIN.fullmatch(word):
-                several[word] = runs = tuple(_RUN.findall(word.lower()))
-                for run in runs:
-                    if run not in known:
-                        new[run] = None
+                own = [runs.setdefault(r, len(runs)) for r in _RUN.findall(word.lower())]
+                parts += own
+                counts.append(len(own))
             else:
                 others.append(word)
-        if new:
-            new = self._encode_runs(list(new))
-        for word, run in single.items():
-            missing[word] = new[run] if run in new else known[run]
-        for word, runs in several.items():
-            missing[word] = b"".join([new[r] if r in new else known[r] for r in runs])
-        for word, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            missing[word] = np.array(e.ids, "<u4").tobytes()
-        for cache, found, limit in ((known, new, RUNS), (self, missing, WORDS)):
-            if len(cache) + len(found) <= limit:
-                cache.update(found)
-            elif len(cache) < limit:
-                cache.update(islice(found.items(), limit - len(cache)))
+                parts.append(-len(others))
+                counts.append(1)
+        ids, size = self._encode_runs(list(runs))
+        whole = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(whole), "<u4")])
+        size = np.concatenate([size, np.fromiter(map(len, whole), np.int64, len(whole))])
+        parts, counts = np.array(parts, np.int64), np.array(counts, np.int64)
+        parts[parts < 0] = len(runs) - 1 - parts[parts < 0]
+        first = np.cumsum(size) - size
+        total = np.concatenate([[0], np.cumsum(size[parts])])
+        ends = np.cumsum(counts)
+        return ids[_stretches(first[parts], size[parts])], total[ends] - total[ends - counts]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's end."""
+        split = [[t] if _RARE_SPACE.search(t) else t.split() for t in texts]
+        numbers = self.numbers
+        n_words = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), np.int64, int(n_words.sum()))
+        fresh = list(numbers.fresh)
+        ids, size = self.ids, self.size
+        if fresh:
+            new_ids, new_size = self._learn(fresh)
+            ids, size = np.concatenate([ids, new_ids]), np.concatenate([size, new_size])
+            numbers.fresh = {}
+        first = np.cumsum(size) - size
+        out = ids[_stretches(first[at], size[at])]
+        ends = np.concatenate([[0], np.cumsum(size[at])])[np.cumsum(n_words)]
+        if fresh and len(numbers) < WORDS:
+            kept = [i for i, w in enumerate(fresh) if len(w) <= WORD_CHARS][:WORDS - len(numbers)]
+            place = np.array(kept, np.int64) + len(numbers)
+            self.ids = np.concatenate([self.ids, ids[_stretches(first[place], size[place])]])
+            self.size = np.concatenate([self.size, size[place]])
+            for i in kept:
+                dict.__setitem__(numbers, fresh[i], len(numbers))
+        return out, ends
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        return _cut(*self.encode(texts))
 
 
 _made: dict[str, WordEncoder] = {}

@@ -151,3 +151,27 @@ def test_replacing_goes_on_until_no_pair_pays():
     inside[g.starts[1:-1] - 1] = False
     pairs = (g.symbols[:-1].astype(np.int64) << 32 | g.symbols[1:])[inside]
     assert np.unique(pairs, return_counts=True)[1].max() < to.MIN_COUNT
+
+
+def test_stretches_inside_a_document_and_large_vocabularies():
+    rng = np.random.default_rng(7)
+    base = 200_000  # ids beyond 16 bits
+    texts = [(199_000 + np.minimum(rng.zipf(1.2, n), 900)).astype("<u4") for n in (4000, 0, 1, 2500)]
+    texts[3][:2000] = np.tile(texts[3][:40], 50)
+    record = to._record(0, 0, list(range(4)), [t.tobytes() for t in texts], base)
+    g = to.grammar_of(record)
+    assert len(g.rules) and g.symbols.max() >= base
+    for i, ids in enumerate(texts):
+        assert (to.decode_document(record, i) == ids).all()
+        for _ in range(60):
+            a, b = sorted(rng.integers(-5, len(ids) + 5, 2).tolist())
+            assert (to.decode_stretch(record, i, a, b) == ids[max(0, a):max(0, b)]).all()
+
+
+def test_a_stretch_expands_little_more_than_itself(monkeypatch):
+    ids = np.tile(np.arange(16, dtype="<u4"), 4096)
+    record = to._record(0, 0, [0], [ids.tobytes()], 16)
+    seen, whole = [], to.expand
+    monkeypatch.setattr(to, "expand", lambda g, s: seen.append(whole(g, s)) or seen[-1])
+    assert to.decode_stretch(record, 0, 30_001, 30_020).tolist() == ids[30_001:30_020].tolist()
+    assert len(seen) == 1 and len(seen[0]) == 19
