@@ -52,10 +52,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer, shared.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 4000):
+                batch = whole.slice(at, 4000)
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, found in enumerate(encoder.encode_batch(batch.column(2).to_pylist())):
+                for i, found in enumerate(encoder.encode_batch(batch.column(2))):
                     data = found + end
                     for k in range(0, len(data), 4 * capacity):
                         part = data[k:k + 4 * capacity]

@@ -297,16 +297,14 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int =
         held = 0
         for batch in batches:
             arrow = {f.name: f.type for f in batch.schema}
-            for at in range(0, batch.num_rows, 1000):
-                part_of = batch.slice(at, 1000)
-                texts = part_of.column(1).to_pylist()
-                for doc_id, found in zip(part_of.column(0).to_pylist(), encoder.encode_batch(texts), strict=True):
-                    ids.append(doc_id)
-                    packed.append(found + end)
-                    held += len(found) // 4 + 1
-                    if held >= shard_tokens:
-                        yield _batch(_record(part, seq, ids, packed, base), arrow["doc_id"])
-                        ids, packed, held, seq = [], [], 0, seq + 1
+            found = encoder.encode_batch(batch.column(1))
+            for doc_id, own in zip(batch.column(0).to_pylist(), found, strict=True):
+                ids.append(doc_id)
+                packed.append(own + end)
+                held += len(own) // 4 + 1
+                if held >= shard_tokens:
+                    yield _batch(_record(part, seq, ids, packed, base), arrow["doc_id"])
+                    ids, packed, held, seq = [], [], 0, seq + 1
         if ids:
             yield _batch(_record(part, seq, ids, packed, base), arrow["doc_id"])
 

@@ -3,7 +3,7 @@
 The vocabulary drops white space and never joins across it, so a text's ids are those of its words in turn. Words
 recur: each worker process numbers the first WORDS words that it meets and keeps their ids; a batch's other words are
 encoded once a batch. The ids of a batch are then gathered by word number. A text with white space on which Python and
-the library might differ counts as one word.
+the library might differ is encoded whole.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words whose ids a worker process remembers, and the longest that it remembers.
 WORDS, WORD_CHARS = 450_000, 64
@@ -20,24 +22,23 @@ JOINED, CALL = 256, 32
 _RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
 #: Words of these signs are split here: lower case and composition treat them sign by sign.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: The two simplest forms: ASCII letters, and such letters before signs.
+_SIMPLE = r"^(?P<letters>[A-Za-z]+)(?P<signs>[!-/:-@\[-`{-~]*)$"
 #: Fixed value: how the vocabulary's file splits lower-case text, over those signs.
 _RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
-class _Numbers(dict):
-    """Word -> number; words that are not remembered are numbered on from there, for the present batch."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: dict[str, int] = {}
-
-    def __missing__(self, word: str) -> int:
-        return len(self) + self.fresh.setdefault(word, len(self.fresh))
-
-
 def _stretches(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Places ``first``, ``first + 1``, ... of each stretch, one stretch after the other."""
-    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - first, size)
+    if not size.all():
+        first, size = first[size > 0], size[size > 0]
+    if not len(size):
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(size)
+    steps = np.ones(int(ends[-1]), np.int64)  # from each place to the next
+    steps[0] = first[0]
+    steps[ends[:-1]] = first[1:] - first[:-1] - size[:-1] + 1
+    return np.cumsum(steps)
 
 
 def _cut(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -60,8 +61,9 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.numbers = _Numbers()
-        self.ids, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64)  # of the remembered words, by number
+        # the remembered words, their ids one after the other, and where each word's begin and how many there are
+        self.words = pa.array([], pa.string())
+        self.ids, self.first, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of runs one after the other, and how many each has: a run ends with its first word-end token."""
@@ -76,59 +78,75 @@ class WordEncoder:
             raise ValueError("the vocabulary does not mark word ends as expected")
         return ids, np.diff(ends, prepend=0)
 
-    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words one after the other, and how many each has."""
-        runs: dict[str, int] = {}
-        others: list[str] = []
-        parts, counts = [], []
-        for word in words:
-            if word.isascii() and word.isalpha():
-                parts.append(runs.setdefault(word.lower(), len(runs)))
-                counts.append(1)
-            elif _PLAIN.fullmatch(word):
-                own = [runs.setdefault(r, len(runs)) for r in _RUN.findall(word.lower())]
-                parts += own
-                counts.append(len(own))
-            else:
+    def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words: a table of ids, and where each word's begin and how many there are."""
+        # letters, and letters before signs, are taken apart by Arrow; words of another form one by one
+        found = pc.extract_regex(words, _SIMPLE)
+        simple = np.asarray(found.is_valid())
+        at = np.flatnonzero(simple)
+        found = found.filter(pa.array(simple))
+        parts, places = [pc.ascii_lower(found.field("letters"))], [at]
+        signs = found.field("signs")
+        signed = np.asarray(pc.not_equal(signs, ""))
+        parts.append(signs.filter(pa.array(signed)))
+        places.append(at[signed])
+        rest, others, other_at = words.filter(pa.array(~simple)).to_pylist(), [], []
+        runs, run_at = [], []
+        for i, word in zip(np.flatnonzero(~simple).tolist(), rest, strict=True):
+            if _PLAIN.fullmatch(word):
+                own = _RUN.findall(word.lower())
+                runs += own
+                run_at += [i] * len(own)
+            elif word:  # empty before and after white space at the ends of a text
                 others.append(word)
-                parts.append(-len(others))
-                counts.append(1)
-        ids, size = self._encode_runs(list(runs))
+                other_at.append(i)
+        runs = pa.concat_arrays([*parts, pa.array(runs, pa.string())]).dictionary_encode()
+        run_at = np.concatenate([*places, np.array(run_at, np.int64)])
+        order = np.argsort(run_at, kind="stable")  # a word's runs in their order
+        ids, size = self._encode_runs(runs.dictionary.to_pylist())
+        number = np.asarray(runs.indices)[order]
+        table = ids[_stretches((np.cumsum(size) - size)[number], size[number])]
+        n = np.bincount(run_at, size[np.asarray(runs.indices)], len(words)).astype(np.int64)
+        first = np.cumsum(n) - n
         whole = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
-        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(whole), "<u4")])
-        size = np.concatenate([size, np.fromiter(map(len, whole), np.int64, len(whole))])
-        parts, counts = np.array(parts, np.int64), np.array(counts, np.int64)
-        parts[parts < 0] = len(runs) - 1 - parts[parts < 0]
-        first = np.cumsum(size) - size
-        total = np.concatenate([[0], np.cumsum(size[parts])])
-        ends = np.cumsum(counts)
-        return ids[_stretches(first[parts], size[parts])], total[ends] - total[ends - counts]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.fromiter(map(len, whole), np.int64, len(whole))
+        n[other_at], first[other_at] = lengths, len(table) + np.cumsum(lengths) - lengths
+        return np.concatenate([table, np.fromiter(chain.from_iterable(whole), "<u4")]), first, n
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text's end."""
-        split = [[t] if _RARE_SPACE.search(t) else t.split() for t in texts]
-        numbers = self.numbers
-        n_words = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), np.int64, int(n_words.sum()))
-        fresh = list(numbers.fresh)
-        ids, size = self.ids, self.size
-        if fresh:
-            new_ids, new_size = self._learn(fresh)
-            ids, size = np.concatenate([ids, new_ids]), np.concatenate([size, new_size])
-            numbers.fresh = {}
-        first = np.cumsum(size) - size
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        odd = np.asarray(pc.match_substring_regex(texts, _RARE_SPACE.pattern))
+        split = pc.utf8_split_whitespace(pc.if_else(pa.array(odd), "", texts))
+        words = split.flatten().dictionary_encode()  # a batch's distinct words are looked up
+        known = pc.index_in(words.dictionary, self.words)
+        fresh = words.dictionary.filter(known.is_null())
+        number = np.array(known.fill_null(-1), np.int64)
+        number[number < 0] = len(self.words) + np.arange(len(fresh))
+        new_ids, new_first, new_size = self._learn(fresh)
+        ids = np.concatenate([self.ids, new_ids])
+        first, size = (np.concatenate(c) for c in ((self.first, new_first + len(self.ids)), (self.size, new_size)))
+        at = number[np.asarray(words.indices)]
         out = ids[_stretches(first[at], size[at])]
-        ends = np.concatenate([[0], np.cumsum(size[at])])[np.cumsum(n_words)]
-        if fresh and len(numbers) < WORDS:
-            kept = [i for i, w in enumerate(fresh) if len(w) <= WORD_CHARS][:WORDS - len(numbers)]
-            place = np.array(kept, np.int64) + len(numbers)
-            self.ids = np.concatenate([self.ids, ids[_stretches(first[place], size[place])]])
-            self.size = np.concatenate([self.size, size[place]])
-            for i in kept:
-                dict.__setitem__(numbers, fresh[i], len(numbers))
+        ends = np.concatenate([[0], np.cumsum(size[at])])[np.cumsum(np.asarray(pc.list_value_length(split)))]
+        if odd.any():
+            odd_ids, odd_first, odd_size = self._learn(texts.filter(pa.array(odd)))
+            n, start = np.diff(ends, prepend=0), np.concatenate([[0], ends[:-1]])
+            n[odd], start[odd] = odd_size, len(out) + odd_first
+            out, ends = np.concatenate([out, odd_ids])[_stretches(start, n)], np.cumsum(n)
+        if len(self.words) < WORDS:
+            self._remember(fresh, new_ids, new_first, new_size)
         return out, ends
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
+    def _remember(self, words: pa.Array, ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        kept = np.flatnonzero(np.asarray(pc.utf8_length(words)) <= WORD_CHARS)[:WORDS - len(self.words)]
+        size = size[kept]
+        self.words = pa.concat_arrays([self.words, words.take(pa.array(kept))])
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.ids = np.concatenate([self.ids, ids[_stretches(first[kept], size)]])
+        self.size = np.concatenate([self.size, size])
+
+    def encode_batch(self, texts: pa.Array | list[str]) -> list[bytes]:
         """The ids of each text."""
         return _cut(*self.encode(texts))
 
