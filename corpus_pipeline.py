@@ -31,10 +31,16 @@ def _text_key() -> Column:
 
 
 def _only(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose key is in ``kept`` (column ``_key``), one a key."""
-    rows = docs.select(F.struct("*").alias("_doc"), key.alias("_key")).join(kept.hint("merge"), "_key", "left_semi")
-    one = Window.partitionBy("_key").orderBy("_key")
-    return rows.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select("_doc.*")
+    """The rows of ``docs`` whose key is in ``kept`` (column ``_key``), one a key: the first by a hash of the row.
+
+    Rows of one key are cut to one in each task before they travel, so that a key that a third of all rows share sends
+    one text a task.
+    """
+    pick = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("_doc"), key.alias("_key"), pick.alias("_pick"))
+    one = Window.partitionBy("_key").orderBy("_pick")
+    first = rows.withColumn("_n", F.row_number().over(one)).filter("_n = 1")
+    return first.join(kept.hint("merge"), "_key", "left_semi").select("_doc.*")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, which need not have it installed (once an application), and
-    bound the batches that go there."""
+    bound the batches that go there: the setting stays in the session, where it has none of its own."""
     sc = spark.sparkContext
     if BATCH_SETTING not in spark.conf.getAll:
         spark.conf.set(BATCH_SETTING, BATCH_BYTES)
@@ -65,6 +65,20 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def give_back() -> None:
+    """Return memory that a Python worker no longer uses to the system: the process goes on to other operators' tasks,
+    and what it once held would count against its executor for good."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
 def crc32_mod(id_col: str | Column, m: int) -> Column:
     """crc32 of the id as text, modulo ``m``; a null id counts as the empty text."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

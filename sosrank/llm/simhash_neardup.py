@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sosrank.llm.common import id_text, ship, written
+from sosrank.llm.common import give_back, id_text, ship, written
 from sosrank.llm.components import connected_components
 
 SEED = 42
@@ -75,6 +75,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS, id_col: str = "doc_id"
             fps = np.array([fingerprint(t.as_py(), k) for t in batch.column(2)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())],
                                              ["doc_id", "text_key", "fp"])
+        give_back()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, text_key long, fp long")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sosrank.llm.common import scratch, ship, written
+from sosrank.llm.common import give_back, scratch, ship, written
 
 WINDOW = 20
 #: Window lengths: each twice the one before, the last is WINDOW.
@@ -68,21 +68,43 @@ def _steps(sorted_values: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Bytes of a block that are taken apart at a time.
+STRETCH = 1 << 16
+
+
 class Block:
-    """A block's words, and hashes of its windows."""
+    """A block's words, one after the other with a blank between two, and hashes of its windows."""
 
     def __init__(self, words: bytes, sizes: list[int]):
         import xxhash
 
-        self.words = _expand(words).split()
+        self.data = _expand(words)
         self.sizes = np.array(sizes, np.int64)
         self.ends = np.repeat(np.cumsum(self.sizes), self.sizes)
-        h = xxhash.xxh64_intdigest
-        self.word_hashes = np.fromiter((h(w, _SEED) for w in self.words), np.uint64, len(self.words))
+        n = len(self.ends)
+        self.word_hashes, self.stops = np.empty(n, np.uint64), np.empty(n, np.int64)
+        h, at, done = xxhash.xxh64_intdigest, 0, 0
+        while done < n:  # a stretch at a time: words as objects of their own take many times their length
+            cut = self.data.find(b" ", at + STRETCH)
+            some = self.data[at:cut if cut >= 0 else None].split(b" ")
+            here = slice(done, done + len(some))
+            self.word_hashes[here] = np.fromiter((h(w, _SEED) for w in some), np.uint64, len(some))
+            self.stops[here] = at + np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1) - 1
+            done, at = done + len(some), cut + 1
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def text(self, first: int, last: int, gone: np.ndarray) -> bytes:
+        """The words from ``first`` to before ``last`` that are not ``gone``."""
+        starts = np.flatnonzero(np.diff(gone[first:last].astype(np.int8), prepend=1, append=1))
+        begin = lambda w: int(self.stops[w - 1]) + 1 if w else 0
+        return b" ".join(self.data[begin(first + a):int(self.stops[first + b - 1])]
+                         for a, b in zip(starts[::2].tolist(), starts[1::2].tolist(), strict=True))
 
     def starts(self, length: int) -> np.ndarray:
         """Where a window of so many words fits in its document."""
-        return np.flatnonzero(np.arange(len(self.words)) + length <= self.ends)
+        return np.flatnonzero(np.arange(len(self)) + length <= self.ends)
 
     def hashes(self, length: int, prime: int = _PRIMES[0]) -> np.ndarray:
         """Hash of the window at each word (meaningful where it fits), by doubling shorter windows."""
@@ -147,6 +169,8 @@ def _make_blocks(docs: DataFrame, id_col: str, text_col: str, block_words: int)
                     seq, held, n = seq + 1, [], 0
         if held:
             yield record(first + seq, held)
+        held = None
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
@@ -212,7 +236,7 @@ def _candidates(block: Block, level: int, lengths: list[int], answers: list[list
     at = block.starts(lengths[0])
     for i in range(level):
         coarse, _, number = _entries(_coarse(block.hashes(lengths[i])[at], bits))
-        repeats = np.zeros(len(block.words) + lengths[i] + 1, bool)
+        repeats = np.zeros(len(block) + lengths[i] + 1, bool)
         repeats[at] = _bits_of(answers[i])[number]
         at = block.starts(lengths[i + 1])
         at = at[repeats[at] & repeats[at + lengths[i]]]
@@ -262,7 +286,7 @@ def _removed(row: dict, lengths: list[int], buckets: int) -> tuple[Block, np.nda
     is_first = np.zeros(len(at), bool)
     is_first[first] = _bits_of(row["answers"][last])
     later = at[~is_first]
-    edge = np.zeros(len(block.words) + 1, np.int64)
+    edge = np.zeros(len(block) + 1, np.int64)
     edge[later] += 1
     np.add.at(edge, later + lengths[last], -1)
     return block, np.cumsum(edge[:-1]) > 0
@@ -273,6 +297,7 @@ def _sender(level: int, lengths: list[int], buckets: int) -> Callable:
         for batch in batches:
             for i in range(batch.num_rows):
                 yield from _level_rows(batch.slice(i, 1).to_pylist()[0], level, lengths, buckets)
+        give_back()
 
     return send
 
@@ -331,11 +356,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS,
                 ends = np.cumsum(block.sizes)
                 n_gone = np.diff(np.concatenate([[0], np.cumsum(gone)])[np.concatenate([[0], ends])])
                 texts = []
-                for end, size, lost in zip(ends.tolist(), block.sizes.tolist(), n_gone.tolist(), strict=True):
-                    own = block.words[end - size:end]
-                    if lost:
-                        own = [w for w, g in zip(own, gone[end - size:end].tolist(), strict=True) if not g]
-                    texts.append(b" ".join(own))
+                for end, size in zip(ends.tolist(), block.sizes.tolist(), strict=True):
+                    texts.append(block.text(end - size, end, gone))
                 cols = {"doc_id": pa.array(row["doc_id"], pa.int64()), "text_key": pa.array(row["text_key"], pa.int64()),
                         "n_words": pa.array(block.sizes), "n_removed": pa.array(n_gone.astype(np.int64)),
                         "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())}

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from sosrank.llm.common import crc32_mod, ship, written
+from sosrank.llm.common import crc32_mod, give_back, ship, written
 
 #: Labelled rows that lexicon, trees and calibration are fitted on, at most (in expectation).
 FIT_ROWS = 30_000
@@ -38,8 +38,8 @@ NEAR = 5
 TREES, DEPTH, STEP = 24, 4, 0.25
 #: Share of the uncalibrated score in the result, so that texts on one calibration step keep their order.
 TIE_SHARE = 0.01
-#: Words whose lexicon weight a worker process remembers.
-CACHE_WORDS = 300_000
+#: Words whose lexicon weight is remembered within a partition.
+CACHE_WORDS = 100_000
 
 SECOND_PERSON = frozenset(
     "you your yours yourself tu te toi ton vous votre vos du dich dir dein deine ihr euch euer ti tus usted ustedes"
@@ -93,27 +93,18 @@ class Featurizer:
                 text.count("?") / chars, len(_SIGNS.findall(text)) / chars, 1 - len(set(words)) / n, math.log1p(n)]
 
 
-_made: dict[int, Featurizer] = {}
-
-
-def _featurizer(key: int, lexicon: dict[str, float]) -> Featurizer:
-    if key not in _made:
-        _made.clear()
-        _made[key] = Featurizer(lexicon)
-    return _made[key]
-
-
 def features(rows: DataFrame, lexicon: dict[str, float], text_col: str = "text") -> DataFrame:
     """The other columns of ``rows`` and ``features`` (array of doubles); only texts go to the Python workers."""
     others = [c for c in rows.columns if c != text_col]
     ship(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
-    key = hash(tuple(sorted(lexicon.items())))
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        make = _featurizer(key, shared.value)
+        make = Featurizer(shared.value)
         for some in texts:
             yield pa.array([make(t.as_py()) for t in some], pa.list_(pa.float64()))
+        del make, some
+        give_back()
 
     # one call a row, wherever the result is used
     made = F.arrow_udf(run, ArrayType(DoubleType())).asNondeterministic()
@@ -192,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, holdout: C
     share = min(million, million * fit_rows // max(rows, 1))
     chosen = known.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(million)) < share)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # about fit_rows rows of an id and a label: bounded whatever the size of the corpus
+    # about fit_rows ids that have a label, with all rows of each
     sample = written(texts.join(F.broadcast(chosen), "doc_id"), "toxic-sample")
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
