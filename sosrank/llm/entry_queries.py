@@ -30,7 +30,7 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"), batches=2)
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

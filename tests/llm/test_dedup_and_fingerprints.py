@@ -6,6 +6,7 @@ import pytest
 import xxhash
 
 from sosrank.llm import components, exact_dedup, simhash_fingerprints as sf, simhash_neardup as nd, substring_dedup as sd
+from sosrank.llm.common import scratch
 
 
 def _norm(t):
@@ -29,7 +30,7 @@ def test_exact_dedup_marks_one_row_a_text(messy):
 
 
 def test_index_holds_later_batches_against_earlier_ones(spark, make_docs):
-    index = exact_dedup.DigestIndex(spark, "digest_index_test", buckets=4)
+    index = exact_dedup.DigestIndex(spark, "digest_index_test", buckets=4, location=scratch(spark, "index"))
     first = exact_dedup.exact_dedup(make_docs([(5, "a b", "en"), (6, "c", "en")]), index).collect()
     assert all(r.kept for r in first)
     again = {r.doc_id: r for r in exact_dedup.exact_dedup(
@@ -39,6 +40,29 @@ def test_index_holds_later_batches_against_earlier_ones(spark, make_docs):
     assert index.read().count() == 3
 
 
+def test_a_batch_added_twice_keeps_its_texts(spark, make_docs):
+    index = exact_dedup.DigestIndex(spark, "digest_index_retry", buckets=3, location=scratch(spark, "index"))
+    one, two = make_docs([(5, "a b", "en"), (6, "c", "en"), (6, "c", "en")]), make_docs([(1, "a  b", "en"), (2, "d", "en")])
+    want = {}
+    for _ in range(2):
+        for name, docs in (("one", one), ("two", two)):
+            rows = sorted(tuple(r) for r in exact_dedup.exact_dedup(docs, index, batch=name).collect())
+            assert want.setdefault(name, rows) == rows
+    assert [r[3] for r in want["two"]] == [False, True] and sum(r[3] for r in want["one"]) == 2
+    assert index.read().count() == 3
+    index.drop()
+
+
+def test_batches_of_one_table_give_its_groups(spark, messy):
+    once = sorted((tuple(r) for r in exact_dedup.exact_dedup(messy).collect()), key=str)
+    for n in (2, 5):
+        got = sorted((tuple(r) for r in exact_dedup.exact_dedup(messy, batches=n).collect()), key=str)
+        assert [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in once]
+        assert sum(r[3] for r in got) == sum(r[3] for r in once)
+    assert exact_dedup.exact_dedup(messy.limit(0), batches=2).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index_") and t.name != "digest_index_test"]
+
+
 def test_edited_texts_and_likeness(messy):
     rows = sf.edited_fingerprints(messy).collect()
     assert len(rows) == messy.count()
