@@ -40,11 +40,15 @@ IN_ARTICLE = -0.05
 #: Bounds of learned weights: words of text score positive, tags negative.
 WORD_BOUNDS, TAG_BOUNDS, FURNITURE_BOUNDS = (0.25, 2.0), (-8.0, -0.25), (-4.0, -0.5)
 
+_ATTRS = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|math|iframe|object|canvas|select)\b[^>]*+>"
-    r".*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    # drawings and formulas may close themselves; what else holds no text of the page ends with its own end tag, and
+    # where that is missing only elements whose content is raw text take the rest of the page
+    rf"|<(?:svg|math)(?=[\s/>]){_ATTRS}(?<=/)>"
+    rf"|<(?P<raw>script|style|noscript|textarea|title|iframe)(?=[\s/>]){_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<void>template|svg|math|object|canvas|select)(?=[\s/>]){_ATTRS}>.*?</(?P=void)\s*>"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attrs>{_ATTRS})>"
     r"|</?[a-zA-Z][^>]*+(?:>|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)", re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -60,6 +64,8 @@ FURNITURE_WORDS = frozenset(
     " menu menus nav navbar navigation pager pagination footer masthead topbar toolbar login search searchform form"
     " complementary contentinfo dialog skiplink copyright".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
+#: Elements that hold the text of an article itself.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th blockquote pre figcaption".split())
 #: Elements that stand in a line of text; all others end the block before and after them. <br> is white space.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span"
@@ -94,14 +100,18 @@ def _is_furniture(name: str, attrs: str, in_article: bool) -> bool:
         return True
     if not attrs or name in ARTICLE_TAGS or name in ("body", "html"):
         return name in ARTICLE_TAGS and _says_furniture(attrs)
-    return _says_furniture(attrs)
+    return _says_furniture(attrs, strict=in_article and name in TEXT_BLOCKS)
 
 
-def _says_furniture(attrs: str) -> bool:
+def _says_furniture(attrs: str, strict: bool = False) -> bool:
+    """Whether the attributes mark furniture; ``strict``: by whole names of classes only, as a paragraph of an article
+    may be of any class (``notice-period``) and its headings have ids to be linked to."""
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
+        if strict and key == "id":
+            continue
         if key in ("class", "id", "role"):
-            words = {w.lower() for w in _PARTS.findall(value)}
+            words = set(value.lower().split()) if strict else {w.lower() for w in _PARTS.findall(value)}
             if words & FURNITURE_WORDS or {"site", "page"} & words and "header" in words:
                 return True
         elif key == "style" and re.search(r"display\s*:\s*none", value, re.I):

@@ -134,3 +134,23 @@ def test_dictionaries_reach_beyond_a_shared_opening(make_docs):
     words = li.fit(docs)["en"].decode().split()
     assert len(" ".join(words)) > 20 * 1_000
     assert sum(w in ("shared", "opening", "of", "every", "text") for w in words) < len(words) / 4
+
+
+@pytest.mark.parametrize("inside, text", [
+    ("<p>One</p><svg class='i' viewBox='0 0 1 1'/><p>Two</p><math/><p>Three</p>", "One\nTwo\nThree"),
+    ("<p>One</p><svg><path d='M0'/><title>icon</title></svg><p>Two</p>", "One\nTwo"),
+    ("<p>One</p><svg title='a>b'/><p>Two</p>", "One\nTwo"),
+    ("<select-box>Text</select-box><p>Two</p>", "Text\nTwo"),
+    ("<title-card><p>Here</p></title-card><p>Two</p>", "Here\nTwo"),
+    ("<p>One</p><script-note>kept</script-note><p>Two</p>", "One\nkept\nTwo"),
+    ("<p>One</p><select><option>x</select><p>Two</p>", "One\nTwo"),
+    ("<p>One</p><canvas><p>Two, never closed</p>", "One\nTwo, never closed"),
+    ("<p>One</p><script>if (a < b) {}</script><p>Two</p>", "One\nTwo"),
+    ("<h2 id='form'>Form</h2><p class='notice-period'>Four weeks</p>", "Form\nFour weeks"),
+    ("<p>One</p><p class='ad'>Buy</p><div class='share-buttons'>Share</div><p>Two</p>", "One\nTwo"),
+])
+def test_articles_keep_their_text(inside, text):
+    from sosrank.llm import html_extraction as he
+
+    page = f"<html><body><nav>Menu</nav><article>{inside}</article><footer>Imprint</footer></body></html>"
+    assert he.extract(page, he.DEFAULT_WEIGHTS) == text
