@@ -2,7 +2,7 @@
 
 The test tables contain no contests, so this adapter maps them onto the
 library's data model (the same derivation is written in SQL in
-``sosrank.plans.oracle`` for the DuckDB check):
+``sosrank.plans.oracle_sql`` for the DuckDB check):
 
 * competitors = suppliers UNION ALL customers, group = nation name;
 * contests    = one per lineitem: the supplier attacks the ordering customer
