@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, IntegerType, StringType, StructField, StructType
 
 from sosrank.functions.labels import pad_id, pct_text, signed_text, thousands, title_case
 from sosrank.functions.metrics import pct, win_flag
@@ -130,8 +130,11 @@ def contests_csv_roundtrip(spark: SparkSession, contests: DataFrame) -> DataFram
 
 
 #: The lean contest as text: everything but the date and the strengths may hold any text.
-OUTCOMES_CSV = StructType.fromDDL("contest_id STRING NOT NULL, attacker STRING NOT NULL, defender STRING NOT NULL, "
-                                  "winner STRING, att_strength INT, def_strength INT, contest_date DATE")
+OUTCOMES_CSV = StructType([
+    StructField("contest_id", StringType(), False), StructField("attacker", StringType(), False),
+    StructField("defender", StringType(), False), StructField("winner", StringType()),
+    StructField("att_strength", IntegerType()), StructField("def_strength", IntegerType()),
+    StructField("contest_date", DateType())])
 
 
 def contests_csv_rejects(spark: SparkSession, outcomes: DataFrame) -> DataFrame:
