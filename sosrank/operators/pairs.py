@@ -87,14 +87,14 @@ def recent_contests_all(contests: DataFrame, k: int = 10) -> DataFrame:
     """For every competitor, its latest k contests in either role (batch form).
 
     The latest are chosen over ``(competitor, contest_date, contest_id)`` alone; the other columns are joined back to
-    the chosen contests by their key.
+    the chosen contests by their key. Where a key is repeated, its rows are chosen among once more.
     """
     roles = contests.select(
         F.explode(F.array_distinct(F.array("attacker", "defender"))).alias("competitor"), "contest_date", "contest_id")
-    chosen = top_k_per_group(roles, ["competitor"], latest_first(), k).select("competitor", "contest_id")
-    return contests.select(*HISTORY_COLUMNS).join(chosen, "contest_id").where(
-        (F.col("competitor") == F.col("attacker")) | (F.col("competitor") == F.col("defender"))).select(
-        "competitor", *HISTORY_COLUMNS)
+    chosen = top_k_per_group(roles, ["competitor"], latest_first(), k).select("competitor", "contest_id").distinct()
+    found = contests.select(*HISTORY_COLUMNS).join(chosen, "contest_id").where(
+        (F.col("competitor") == F.col("attacker")) | (F.col("competitor") == F.col("defender")))
+    return top_k_per_group(found, ["competitor"], latest_first(), k).select("competitor", *HISTORY_COLUMNS)
 
 
 def pair_history(contests: DataFrame, a: str, b: str, k: int = 15) -> DataFrame:
