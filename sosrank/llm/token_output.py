@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sosrank.llm.common import id_text, scratch, ship
-from sosrank.llm.word_tokens import read_vocabulary, word_encoder
+from sosrank.llm.word_tokens import read_vocabulary, stretches, word_encoder
 
 END_ID = 1
 SHARD_TOKENS = 1 << 20
@@ -191,7 +191,18 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> Grammar:
 
 
 def expand(g: Grammar, symbols: np.ndarray) -> np.ndarray:
-    """The ids of a stretch of symbols: all nonterminals are replaced by their rules until none is left."""
+    """The ids of a stretch of symbols; of a long one by a table of all rules' expansions."""
+    if not 0 < len(g.rules) < len(symbols):
+        return _opened(g, symbols)
+    lengths, terminals = g.lengths(), np.arange(g.base)
+    table = np.concatenate([terminals, _opened(g, g.base + np.arange(len(g.rules)))]).astype("<u4")
+    first = np.concatenate([terminals, g.base + np.cumsum(lengths) - lengths])
+    size = np.concatenate([np.ones(g.base, np.int64), lengths])
+    return table[stretches(first[symbols], size[symbols])]
+
+
+def _opened(g: Grammar, symbols: np.ndarray) -> np.ndarray:
+    """All nonterminals are replaced by their rules until none is left."""
     out = symbols.astype(np.int64)
     while True:
         hit = out >= g.base

@@ -28,7 +28,7 @@ _SIMPLE = r"^(?P<letters>[A-Za-z]+)(?P<signs>[!-/:-@\[-`{-~]*)$"
 _RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
-def _stretches(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+def stretches(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Places ``first``, ``first + 1``, ... of each stretch, one stretch after the other."""
     if not size.all():
         first, size = first[size > 0], size[size > 0]
@@ -105,7 +105,7 @@ class WordEncoder:
         order = np.argsort(run_at, kind="stable")  # a word's runs in their order
         ids, size = self._encode_runs(runs.dictionary.to_pylist())
         number = np.asarray(runs.indices)[order]
-        table = ids[_stretches((np.cumsum(size) - size)[number], size[number])]
+        table = ids[stretches((np.cumsum(size) - size)[number], size[number])]
         n = np.bincount(run_at, size[np.asarray(runs.indices)], len(words)).astype(np.int64)
         first = np.cumsum(n) - n
         whole = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
@@ -127,13 +127,13 @@ class WordEncoder:
         ids = np.concatenate([self.ids, new_ids])
         first, size = (np.concatenate(c) for c in ((self.first, new_first + len(self.ids)), (self.size, new_size)))
         at = number[np.asarray(words.indices)]
-        out = ids[_stretches(first[at], size[at])]
+        out = ids[stretches(first[at], size[at])]
         ends = np.concatenate([[0], np.cumsum(size[at])])[np.cumsum(np.asarray(pc.list_value_length(split)))]
         if odd.any():
             odd_ids, odd_first, odd_size = self._learn(texts.filter(pa.array(odd)))
             n, start = np.diff(ends, prepend=0), np.concatenate([[0], ends[:-1]])
             n[odd], start[odd] = odd_size, len(out) + odd_first
-            out, ends = np.concatenate([out, odd_ids])[_stretches(start, n)], np.cumsum(n)
+            out, ends = np.concatenate([out, odd_ids])[stretches(start, n)], np.cumsum(n)
         if len(self.words) < WORDS:
             self._remember(fresh, new_ids, new_first, new_size)
         return out, ends
@@ -143,7 +143,7 @@ class WordEncoder:
         size = size[kept]
         self.words = pa.concat_arrays([self.words, words.take(pa.array(kept))])
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
-        self.ids = np.concatenate([self.ids, ids[_stretches(first[kept], size)]])
+        self.ids = np.concatenate([self.ids, ids[stretches(first[kept], size)]])
         self.size = np.concatenate([self.size, size])
 
     def encode_batch(self, texts: pa.Array | list[str]) -> list[bytes]:
