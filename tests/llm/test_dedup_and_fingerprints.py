@@ -123,7 +123,7 @@ def test_simhash_fingerprint_is_the_contracts(messy):
     assert nd.near_duplicates(messy.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("bits", [1, 2, 3])
+@pytest.mark.parametrize("bits", [1, 2, 3, 4])
 def test_links_keep_every_component(spark, bits):
     rng = random.Random(bits)
     base = [rng.getrandbits(64) for _ in range(6)]
@@ -151,6 +151,39 @@ def test_links_keep_every_component(spark, bits):
     assert {p: root.get(p, p) for p in prints} == want
 
 
+@pytest.mark.parametrize("bits", range(5))
+def test_one_segment_is_always_within_its_radius(bits):
+    radii = nd.segment_radii(bits)
+    assert all(a <= radii[0] or bits_apart - a <= radii[1] for bits_apart in range(bits + 1)
+               for a in range(bits_apart + 1))
+
+
+@pytest.mark.parametrize("shift", [0, 32])
+def test_a_segment_that_all_share_lists_no_pairs(spark, shift):
+    rng = random.Random(shift)
+    shared = 0x1234ABCD << (32 - shift)
+    rest = {rng.getrandbits(32) for _ in range(1500)}
+    base = rng.getrandbits(32)
+    rest |= {base ^ sum(1 << b for b in rng.sample(range(32), rng.randint(1, 2))) for _ in range(200)}
+    prints = [shared | (r << shift) for r in rest]
+    signed = {p - (1 << 64) if p >> 63 else p for p in prints}
+    links = nd.near_links(spark.createDataFrame([(p,) for p in signed], "fp long"), 2).collect()
+    apart = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    assert all(apart(r.a, r.b) <= 2 for r in links)
+    pairs = [(a, b) for a in signed for b in signed if a < b and apart(a, b) <= 2]
+    assert pairs and len(links) < len(signed) * 33
+    root = {p: p for p in signed}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in links:
+        root[find(r.a)] = find(r.b)
+    assert all(find(a) == find(b) for a, b in pairs)
+
+
 def _brute_removed(rows, window=20):
     seen, out = set(), []
     for doc_id, text in rows:
