@@ -5,7 +5,8 @@ later passes join their results to it without moving texts. A level hashes windo
 distinct hash once, packed by hash bucket, and a bucket answers each block with one bit a hash. At the shorter levels
 the bit says that the window occurs elsewhere too, and only where both halves repeat is a window of twice the length
 looked at; at the last level it says whether the block holds the window's first occurrence (smallest id, then
-start). A window that many documents share is one entry a block, so no bucket or task gathers its occurrences.
+start). Levels go on until windows have their full length or no candidate survives: where no window of a level repeats,
+nothing is removed and the longer levels are not run. A window that many documents share is one entry a block, so no bucket or task gathers its occurrences.
 
 Hashes of the shorter levels are 32 bits within a bucket: a collision only adds a candidate. The last level compares
 96 bits within a bucket.
@@ -30,7 +31,7 @@ from sosrank.llm.common import give_back, scratch, ship, written
 
 WINDOW = 20
 #: Window lengths: each twice the one before, the last is WINDOW.
-LEVELS = 2
+LEVELS = 3
 BLOCK_WORDS = 1 << 20
 #: Distinct windows that a bucket holds, about, and the fewest buckets.
 BUCKET_WINDOWS, LEAST_BUCKETS = 1 << 20, 64
@@ -39,16 +40,28 @@ _SEED = 7
 NO_ID = -(1 << 63)
 
 
+#: Shorter data stands as it is: its compression would take more time and room than it saves.
+LEAST_SQUEEZED = 64
+
+
 def _squeeze(data: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(data)
+    return b"z" + zstandard.ZstdCompressor(level=3).compress(data) if len(data) >= LEAST_SQUEEZED else b"-" + data
 
 
 def _expand(data: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompress(data)
+    return zstandard.ZstdDecompressor().decompress(data[1:]) if data[:1] == b"z" else data[1:]
+
+
+def _stretches(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """``(value, from, to)`` of each value that occurs: its cost grows with the values there, not with all possible."""
+    cuts = np.flatnonzero(np.diff(sorted_values)) + 1
+    starts = np.concatenate([[0], cuts]) if len(sorted_values) else cuts
+    ends = np.append(cuts, len(sorted_values))
+    yield from zip(sorted_values[starts].tolist(), starts.tolist(), ends.tolist(), strict=False)
 
 
 def _pack_array(a: np.ndarray) -> bytes:
@@ -179,13 +192,10 @@ def _send(buckets: int, keys: np.ndarray, extra: list[np.ndarray], block: int) -
     """One row a bucket with entries: the block's ascending ``keys`` there and what belongs to them, packed."""
     bits = buckets.bit_length() - 1
     of = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    cuts = np.searchsorted(of, np.arange(buckets + 1))
     blobs, where = [], []
-    for b in range(buckets):
-        lo, hi = int(cuts[b]), int(cuts[b + 1])
-        if lo < hi:
-            where.append(b)
-            blobs.append([_pack_array(_steps(keys[lo:hi])), *[_pack_array(x[lo:hi]) for x in extra]])
+    for b, lo, hi in _stretches(of):
+        where.append(b)
+        blobs.append([_pack_array(_steps(keys[lo:hi])), *[_pack_array(x[lo:hi]) for x in extra]])
     yield pa.RecordBatch.from_arrays(
         [pa.array([block] * len(where), pa.int64()), pa.array(where, pa.int32()),
          pa.array(blobs, pa.list_(pa.binary()))], ["block", "bucket", "blobs"])
@@ -219,9 +229,11 @@ def _answer(group: pa.Table, last_level: bool) -> pa.Table:
     bits = np.empty(len(key), bool)
     bits[order] = bit
     ends = np.cumsum(sizes)
+    n_set = [int(bits[e - n:e].sum()) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
     packed = [_squeeze(np.packbits(bits[e - n:e]).tobytes()) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
     return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": group.column("bucket"),
-                     "n": pa.array(sizes, pa.int64()), "bits": pa.array(packed, pa.binary())})
+                     "n": pa.array(sizes, pa.int64()), "n_set": pa.array(n_set, pa.int64()),
+                     "bits": pa.array(packed, pa.binary())})
 
 
 def _bits_of(answers: list[dict] | None) -> np.ndarray:
@@ -253,7 +265,7 @@ def _level_rows(row: dict, level: int, lengths: list[int], buckets: int) -> Iter
         keys, _, number = _entries(_coarse(hashes, bits))
         # bucket and 32 bits, moved to the top of 64 bits; a second occurrence in the block is enough to repeat
         many = np.bincount(number, minlength=len(keys)) > 1
-        yield from _send_coarse(buckets, keys, many, row["block"])
+        yield from _send_coarse(keys, many, row["block"])
     else:
         keys, first, _ = _entries(hashes)
         second = (block.hashes(lengths[level], _PRIMES[1])[at[first]] >> np.uint64(32)).astype("<u4")
@@ -262,25 +274,24 @@ def _level_rows(row: dict, level: int, lengths: list[int], buckets: int) -> Iter
         yield from _send(buckets, keys, [second, ids[doc]], row["block"])
 
 
-def _send_coarse(buckets: int, keys: np.ndarray, many: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
+def _send_coarse(keys: np.ndarray, many: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
     of = (keys >> np.uint64(32)).astype(np.int64)
     low = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
-    cuts = np.searchsorted(of, np.arange(buckets + 1))
     where, blobs = [], []
-    for b in range(buckets):
-        lo, hi = int(cuts[b]), int(cuts[b + 1])
-        if lo < hi:
-            where.append(b)
-            blobs.append([_pack_array(_steps(low[lo:hi])), _squeeze(np.packbits(many[lo:hi]).tobytes())])
+    for b, lo, hi in _stretches(of):
+        where.append(b)
+        blobs.append([_pack_array(_steps(low[lo:hi])), _squeeze(np.packbits(many[lo:hi]).tobytes())])
     yield pa.RecordBatch.from_arrays(
         [pa.array([block] * len(where), pa.int64()), pa.array(where, pa.int32()),
          pa.array(blobs, pa.list_(pa.binary()))], ["block", "bucket", "blobs"])
 
 
 def _removed(row: dict, lengths: list[int], buckets: int) -> tuple[Block, np.ndarray]:
-    """Which words of a block are covered by a window that also starts earlier."""
+    """Which words of a block are covered by a window that also starts earlier; none if a level found no candidate."""
     block = Block(row["words"], row["n_words"])
     last = len(lengths) - 1
+    if len(row["answers"]) <= last:
+        return block, np.zeros(len(block), bool)
     at = _candidates(block, last, lengths, row["answers"], buckets.bit_length() - 1)
     _, first, number = _entries(block.hashes(lengths[last])[at])
     is_first = np.zeros(len(at), bool)
@@ -342,8 +353,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, levels: int = LEVELS,
         sent = _with_answers(blocks, answers).mapInArrow(_sender(level, lengths, buckets),
                                                          "block long, bucket int, blobs array<binary>")
         found = sent.groupBy("bucket").applyInArrow(_answerer(level + 1 == levels),
-                                                    "block long, bucket int, n long, bits binary")
+                                                    "block long, bucket int, n long, n_set long, bits binary")
         answers.append(written(found, f"level{level}"))
+        if level + 1 < levels and not answers[-1].agg(F.sum("n_set")).first()[0]:
+            break
 
     out = "doc_id long, text_key long, n_words long, n_removed long, kept_sha256 string"
     out = f"{out}, text string" if with_text else out

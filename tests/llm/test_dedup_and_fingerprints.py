@@ -216,6 +216,38 @@ def test_substring_dedup_matches_brute_force(make_docs, block_words):
     assert got == _brute_removed([(i, t) for i, t, _ in rows])
 
 
+def test_levels_end_where_no_candidate_survives(make_docs, monkeypatch):
+    words = [f"w{i}" for i in range(200)]
+    none = [(i, " ".join(words[i * 25:i * 25 + 25]), "en") for i in range(8)]
+    short = [(i, " ".join([*words[:7], f"x{i}", *words[i * 20 + 7:i * 20 + 27]]), "en") for i in range(8)]
+    for rows, want in ((none, ["level0"]), (short, ["level0", "level1"])):
+        run, inner = [], sd.written
+        monkeypatch.setattr(sd, "written", lambda df, name, inner=inner, run=run: run.append(name) or inner(df, name))
+        out = sd.remove_repeats(make_docs(rows)).collect()
+        monkeypatch.setattr(sd, "written", inner)
+        assert run == want
+        got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out)
+        assert got == _brute_removed([(i, t) for i, t, _ in rows])
+
+
+@pytest.mark.parametrize("bits", [6, 12, 20])
+def test_what_a_block_sends_grows_with_its_entries(bits):
+    import numpy as np
+
+    rng = np.random.default_rng(bits)
+    keys = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2))
+    coarse = np.unique(sd._coarse(keys, bits))
+    many = np.arange(len(coarse)) % 3 == 0
+    for batches, kind, all_keys in ((sd._send(1 << bits, keys, [], 1), "<u8", keys),
+                                    (sd._send_coarse(coarse, many, 1), "<u4", coarse & np.uint64(0xFFFFFFFF))):
+        rows = [r for b in batches for r in b.to_pylist()]
+        assert len(rows) == len({r["bucket"] for r in rows}) <= min(1 << bits, len(keys))
+        assert sum(sum(map(len, r["blobs"])) for r in rows) <= 14 * len(keys) + 40 * 64
+        back = [np.cumsum(sd._unpack_array(r["blobs"][0], kind), dtype=kind) for r in rows]
+        assert np.array_equal(np.concatenate(back), all_keys)
+    assert list(sd._stretches(np.array([], np.int64))) == []
+
+
 def test_substring_dedup_odd_rows(messy):
     rows = sd.remove_repeats(messy, with_text=True).collect()
     assert len(rows) == messy.count()
