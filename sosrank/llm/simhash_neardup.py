@@ -2,13 +2,14 @@
 
 A fingerprint is cut into two segments of 32 bits, each with a table of the segment's values. Fingerprints at most d
 bits apart are at most ``segment_radii(d)`` bits apart in one of the segments, so the small Hamming ball about every
-value of that segment is enumerated and looked up in the segment's table. What a match brings together is compared over
-all 64 bits.
+value of that segment is enumerated and looked up in the segment's table. Fingerprints whose value meets no other's in
+any table have no partner; all others are candidates.
 
-A segment value may be shared by any number of near copies, so a match lists no pairs: its fingerprints meet under the
-values of small balls about their other segment (one side's radius is half the bits left, rounded up, the other's the
-rest), a bucket's members all link to its smallest inner one, and each link is verified over all bits. A bucket holds no
-more fingerprints than such a ball has values. Equal fingerprints count once in the tables.
+A segment value may be shared by any number of near copies, so a match lists no pairs. Candidates are compared over
+their complete values: each enters once under every value of a small ball about all its bits (radius d/2, rounded up on
+one side and down on the other), where two in reach always meet; a bucket's members all link to its smallest inner one,
+and the complete distance of each link is verified. So a candidate makes as many entries as its ball has values (65 for
+2 bits), however large its group, and a bucket holds no more members than that. Equal fingerprints count once.
 
 Results in odd cases: null text counts as empty; texts without words share the fingerprint zero and link like any
 other; rows repeated with one id are members of their groups like others; a null id is never a component's id unless
@@ -22,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sosrank.llm.common import give_back, id_text, ship, written
@@ -93,41 +94,42 @@ def segment_radii(max_bits: int) -> list[int]:
     return [radius if s <= extra else radius - 1 for s in range(SEGMENTS)]
 
 
-def _ball(radius: int) -> list[tuple[int, int]]:
-    """Masks of at most ``radius`` of a segment's bits, each with its number of bits."""
-    return [(sum(1 << b for b in bits), r) for r in range(radius + 1)
-            for bits in combinations(range(SEGMENT_BITS), r)]
-
-
-def _mask_array(masks: list[tuple[int, int]], inner: int) -> Column:
-    return F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(r <= inner).alias("inner"))
-                     for m, r in masks])
+def _ball(radius: int, bits: int) -> list[tuple[int, int]]:
+    """Masks of at most ``radius`` of ``bits`` bits as signed longs, each with its number of bits."""
+    masks = [(sum(1 << b for b in chosen), r) for r in range(radius + 1) for chosen in combinations(range(bits), r)]
+    return [(m - (1 << 64) if m >= 1 << 63 else m, r) for m, r in masks]
 
 
 def segment_tables(classes: DataFrame, radii: list[int]) -> DataFrame:
-    """``(fp, seg, own, rest)``: each fingerprint's value in every segment that is searched, and its other segment."""
-    high = F.shiftrightunsigned("fp", SEGMENT_BITS)
-    low = F.col("fp").bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
-    cuts = [F.struct(F.lit(s).alias("seg"), own.alias("own"), rest.alias("rest"))
-            for s, (own, rest) in enumerate([(high, low), (low, high)]) if radii[s] >= 0]
+    """``(fp, seg, own)``: each fingerprint's value in every segment that is searched."""
+    cuts = [F.struct(F.lit(s).alias("seg"), own.alias("own"))
+            for s, own in enumerate([F.shiftrightunsigned("fp", SEGMENT_BITS),
+                                     F.col("fp").bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))]) if radii[s] >= 0]
     return classes.select("fp", F.explode(F.array(*cuts)).alias("t")).select("fp", "t.*")
 
 
 def segment_matches(tables: DataFrame, radii: list[int]) -> DataFrame:
-    """``(seg, own, near, flips)``: segment values of the tables whose balls reach each other, ``own <= near``; a value
-    matches itself where several fingerprints share it."""
+    """``(seg, own)``: the segment values that several fingerprints share or whose ball reaches another value."""
     values = tables.groupBy("seg", "own").agg(F.count(F.lit(1)).alias("n"))
-    balls = F.array().cast("array<struct<mask:bigint,flips:int>>")
+    balls = F.array().cast("array<bigint>")
     for s, radius in enumerate(radii):
-        here = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(r).alias("flips"))
-                         for m, r in _ball(radius) if r])
-        balls = F.when(F.col("seg") == s, here).otherwise(balls) if radius > 0 else balls
-    reached = (values.select("seg", "own", F.explode(balls).alias("e"))
-               .select("seg", "own", F.col("own").bitwiseXOR(F.col("e.mask")).alias("near"), F.col("e.flips"))
-               .filter("own < near"))
+        if radius > 0:
+            here = F.array(*[F.lit(m).cast("long") for m, r in _ball(radius, SEGMENT_BITS) if r])
+            balls = F.when(F.col("seg") == s, here).otherwise(balls)
+    probes = values.select("seg", "own", F.explode(balls).alias("mask")).select(
+        "seg", "own", F.col("own").bitwiseXOR(F.col("mask")).alias("near"))
     table = values.select("seg", F.col("own").alias("near"))
-    same = values.filter("n > 1").select("seg", "own", F.col("own").alias("near"), F.lit(0).alias("flips"))
-    return reached.join(table, ["seg", "near"], "left_semi").select(same.columns).unionByName(same)
+    reached = probes.join(table, ["seg", "near"], "left_semi").select("seg", "own")
+    return reached.unionByName(values.filter("n > 1").select("seg", "own")).distinct()
+
+
+def candidates(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The fingerprints ``fp`` that meet another one in a segment's table: all that have a partner in reach."""
+    radii = segment_radii(max_bits)
+    tables = segment_tables(classes, radii)
+    # shuffled on both sides, so that AQE can split the partition of a segment value that very many share
+    found = tables.join(segment_matches(tables, radii).hint("merge"), ["seg", "own"], "left_semi")
+    return found.select("fp").distinct()
 
 
 def near_links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -140,26 +142,15 @@ def near_links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         raise ValueError("the balls are enumerated for 0 to 4 bits")
     if max_bits == 0:
         return classes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    radii = segment_radii(max_bits)
-    tables = segment_tables(classes, radii)
-    matches = written(segment_matches(tables, radii), "segment-matches")
-    side = lambda own, lower: F.struct(F.col(own).alias("own"), F.lit(lower).alias("lower"))
-    both = F.array(side("own", True), side("near", False))
-    sides = matches.select("seg", F.col("own").alias("v"), "near", "flips", F.explode(
-        F.when(F.col("flips") == 0, F.slice(both, 1, 1)).otherwise(both)).alias("s")).select(
-        "seg", "v", "near", "flips", "s.*")
-    masks = _mask_array(_ball((max_bits + 1) // 2), max_bits // 2)  # one value: all fingerprints are on both sides
-    for flips in range(1, max(radii) + 1):
-        left = max_bits - flips
-        two = F.when(F.col("lower"), _mask_array(_ball((left + 1) // 2), -1)).otherwise(
-            _mask_array(_ball(left // 2), left // 2))
-        masks = F.when(F.col("flips") == flips, two).otherwise(masks)
-    # shuffled on both sides, so that AQE can split the partition of a segment value that very many share
-    met = tables.join(sides.hint("merge"), ["seg", "own"])
-    entries = met.select("fp", "seg", "v", "near", "rest", F.explode(masks).alias("e")).select(
-        "seg", F.shiftleft("v", SEGMENT_BITS).bitwiseOR(F.col("rest").bitwiseXOR(F.col("e.mask"))).alias("key"),
-        F.col("v").bitwiseXOR(F.col("near")).alias("apart"), "fp", F.col("e.inner").alias("inner"))
-    buckets = (entries.groupBy("seg", "key", "apart")
+    found = written(candidates(classes, max_bits), "candidates")
+    inner = max_bits // 2
+    masks = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(r <= inner).alias("inner"))
+                      for m, r in _ball((max_bits + 1) // 2, 64)])
+    # a small table of candidates makes many entries: deal them out first
+    dealt = found.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    entries = dealt.select("fp", F.explode(masks).alias("e")).select(
+        F.col("fp").bitwiseXOR(F.col("e.mask")).alias("key"), "fp", F.col("e.inner").alias("inner"))
+    buckets = (entries.groupBy("key")
                .agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("a"), F.collect_list("fp").alias("members"))
                .filter(F.col("a").isNotNull() & (F.size("members") > 1)))
     return (buckets.select("a", F.explode("members").alias("b")).filter("a <> b")
