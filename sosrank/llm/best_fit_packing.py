@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sosrank.llm.common import id_text, numbered, ship, written
+from sosrank.llm.common import give_back, id_text, numbered, ship, written
 from sosrank.llm.word_tokens import read_vocabulary, word_encoder
 
 CAPACITY = 4096
@@ -71,6 +71,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with
                 if with_ids:
                     arrays.append(pa.array(ids, pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, out.names)
+        give_back()
 
     return rows.mapInArrow(run, out)
 

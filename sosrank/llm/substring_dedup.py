@@ -209,11 +209,12 @@ def _answer(group: pa.Table, last_level: bool) -> pa.Table:
     keys = [np.cumsum(_unpack_array(x[0], kind), dtype=kind) for x in blobs]
     sizes = np.array([len(k) for k in keys])
     key = np.concatenate(keys)
-    block = np.repeat(np.array(blocks), sizes)
+    keys = None
     if last_level:
         second = np.concatenate([_unpack_array(x[1], "<u4") for x in blobs])
         ids = np.concatenate([_unpack_array(x[2], "<i8") for x in blobs])
-        order = np.lexsort((block, ids, second, key))
+        order = np.lexsort((np.repeat(np.array(blocks), sizes), ids, second, key))
+        ids = None
         k, s = key[order], second[order]
         bit = np.ones(len(k), bool)
         bit[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
@@ -314,7 +315,12 @@ def _sender(level: int, lengths: list[int], buckets: int) -> Callable:
 
 
 def _answerer(last_level: bool) -> Callable:
-    return lambda group: _answer(group, last_level)
+    def answer(group: pa.Table) -> pa.Table:
+        out = _answer(group, last_level)
+        give_back()
+        return out
+
+    return answer
 
 
 def _with_answers(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sosrank.llm.common import id_text, scratch, ship
+from sosrank.llm.common import give_back, id_text, scratch, ship
 from sosrank.llm.word_tokens import read_vocabulary, stretches, word_encoder
 
 END_ID = 1
@@ -318,6 +318,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int =
                     ids, packed, held, seq = [], [], 0, seq + 1
         if ids:
             yield _batch(_record(part, seq, ids, packed, base), arrow["doc_id"])
+        ids, packed = [], []
+        give_back()
 
     ordered.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
 

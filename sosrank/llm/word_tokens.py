@@ -8,6 +8,7 @@ the library might differ is encoded whole.
 
 from __future__ import annotations
 
+import os
 import re
 from itertools import chain
 
@@ -19,6 +20,8 @@ import pyarrow.compute as pc
 WORDS, WORD_CHARS = 450_000, 64
 #: Runs that are encoded in one text, and texts in one call.
 JOINED, CALL = 256, 32
+#: Words that are told apart and encoded at a time, which bounds the memory that a batch of new words takes.
+LEARN = 1 << 14
 _RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
 #: Words of these signs are split here: lower case and composition treat them sign by sign.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -50,6 +53,8 @@ class WordEncoder:
     """Encodes batches of texts; ids are little-endian unsigned 32-bit integers."""
 
     def __init__(self, vocabulary_json: str):
+        # a task has one core; threads of its own would only each keep memory
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(vocabulary_json)
@@ -80,6 +85,16 @@ class WordEncoder:
 
     def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct words: a table of ids, and where each word's begin and how many there are."""
+        tables, firsts, sizes, at = [], [], [], 0
+        for i in range(0, max(len(words), 1), LEARN):
+            table, first, size = self._learn_some(words.slice(i, LEARN))
+            tables.append(table)
+            firsts.append(first + at)
+            sizes.append(size)
+            at += len(table)
+        return np.concatenate(tables), np.concatenate(firsts), np.concatenate(sizes)
+
+    def _learn_some(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         # letters, and letters before signs, are taken apart by Arrow; words of another form one by one
         found = pc.extract_regex(words, _SIMPLE)
         simple = np.asarray(found.is_valid())

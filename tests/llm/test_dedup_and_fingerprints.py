@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import struct
 
 import pytest
 import xxhash
@@ -77,6 +78,49 @@ def test_edited_texts_and_likeness(messy):
     assert sf.edited_fingerprints(messy.limit(0)).count() == 0
 
 
+def _hash64(start, *words):
+    """Spark's xxhash64 over a number and words: each is hashed with the hash before it as the seed."""
+    h = xxhash.xxh64_intdigest(struct.pack("<i", start), 42)
+    for w in words:
+        h = xxhash.xxh64_intdigest(w.encode(), h)
+    return h
+
+
+def _simhash128(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+    if len(words) < 2:
+        return _hash64(1, *words) << 64 | _hash64(2, *words) if words else 0
+    terms = [(_hash64(1, a, b) << 64 | _hash64(2, a, b), min(15, len(a) + len(b)))
+             for a, b in zip(words, words[1:], strict=False)]
+    total = sum(w for _, w in terms)
+    return sum(1 << k for k in range(128) if 2 * sum(w for h, w in terms if h >> k & 1) > total)
+
+
+def test_every_column_of_the_fingerprint_query_by_brute_force(make_docs):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(60)] + ["a", "Über", "日本", "x" * 40]
+    texts = ["", "one", None, "  ", "two words"] + [
+        " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 90))) for _ in range(60)]
+    texts += texts[10:20]  # copies
+    # ids close together, far apart, negative and beyond what a double tells apart
+    ids = [*range(20), *[10**6 * i for i in range(1, 21)], *[-7 * i for i in range(1, 21)],
+           *[2**62 + 2**33 * i + i for i in range(len(texts) - 60)]]
+    rng.shuffle(ids)
+    docs = sorted(zip(ids, [t or "" for t in texts], strict=True))
+    want = {}
+    for i, (doc_id, text) in enumerate(docs):
+        after = docs[(i + 1) % len(docs)][1]
+        half = len(text) // 2
+        edited = text[:len(text) - half] + after[:half]
+        own, ed, nxt = (_simhash128(t) for t in (text, edited, after))
+        want[doc_id] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), f"{own:032x}", f"{ed:032x}",
+                        1 - (own ^ ed).bit_count() / 128, 1 - (own ^ nxt).bit_count() / 128)
+    rows = sf.edited_fingerprints(make_docs([(i, t, "en") for i, t in zip(ids, texts, strict=True)])).collect()
+    assert len(rows) == len(want)
+    assert {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next)
+            for r in rows} == want
+
+
 def test_votes_match_brute_force(spark, make_docs):
     from pyspark.sql import functions as F
 
