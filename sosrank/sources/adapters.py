@@ -120,11 +120,9 @@ def _contest_rows(lineitem: DataFrame, orders: DataFrame, supplier: DataFrame, c
     o = orders.select("o_orderkey", "o_custkey")
     s = supplier.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     c = customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
-    return (
-        li.join(o, li.l_orderkey == o.o_orderkey)
-        .join(s, li.l_suppkey == s.s_suppkey)
-        .join(c, o.o_custkey == c.c_custkey)
-    )
+    # orders, a fraction of the lines, meet their customers first: no line moves by customer
+    oc = o.join(c, o.o_custkey == c.c_custkey)
+    return li.join(oc, li.l_orderkey == oc.o_orderkey).join(s, li.l_suppkey == s.s_suppkey)
 
 
 def _core_columns() -> list[Column]:
